@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagmill.llm import bpe_tree, packing, simhash
+from tagmill.llm import avi, bpe_tree, packing, simhash
 from tagmill.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op9_byte_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.digest_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -24,6 +28,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_avi_mjpeg": op1_avi_mjpeg,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_byte_bpe_tree": op9_byte_bpe_tree,
