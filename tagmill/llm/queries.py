@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagmill.llm import avi, bpe_tree, packing, simhash
+from tagmill.llm import avi, bpe_tree, lang_id, line_dedup, packing, simhash
 from tagmill.llm.common import read
 
 
+def op8_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = lang_id.predict(docs.select("doc_id", "text"), lang_id.fit(docs))
+    return found.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "label_share")
+
+
 def op9_byte_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -19,6 +26,10 @@ def op1_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digest_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -29,8 +40,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi_mjpeg": op1_avi_mjpeg,
+    "op2_line_winnowing": op2_line_winnowing,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_language_gru": op8_language_gru,
     "op9_byte_bpe_tree": op9_byte_bpe_tree,
 }
 ORACLE: dict[str, str] = {}
