@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import avi, bpe_tree, lang_id, line_dedup, packing, simhash
+from tagmill.llm import avi, bpe_tree, chat, lang_id, line_dedup, packing, simhash, token_counts
 from tagmill.llm.common import read
 
 
+def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op8_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = lang_id.predict(docs.select("doc_id", "text"), lang_id.fit(docs))
@@ -30,6 +34,10 @@ def op2_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op3_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -41,8 +49,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi_mjpeg": op1_avi_mjpeg,
     "op2_line_winnowing": op2_line_winnowing,
+    "op3_token_attribution": op3_token_attribution,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_chat_repair": op6_chat_repair,
     "op8_language_gru": op8_language_gru,
     "op9_byte_bpe_tree": op9_byte_bpe_tree,
 }
