@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import avi, bpe_tree, chat, lang_id, line_dedup, packing, simhash, token_counts
+from tagmill.llm import additive, avi, bpe_tree, chat, lang_id, line_dedup, packing, simhash, token_counts
 from tagmill.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_conversations(read(spark, sf_dir, "conversations"))
 
 
+def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = lang_id.predict(docs.select("doc_id", "text"), lang_id.fit(docs))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_chat_repair": op6_chat_repair,
+    "op7_additive_quantisation": op7_additive_quantisation,
     "op8_language_gru": op8_language_gru,
     "op9_byte_bpe_tree": op9_byte_bpe_tree,
 }
