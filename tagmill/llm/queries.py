@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import additive, avi, bpe_tree, chat, lang_id, line_dedup, packing, simhash, token_counts
+from tagmill.llm import additive, avi, bpe_tree, chat, lang_id, licenses, line_dedup, packing, simhash, token_counts
 from tagmill.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi_mjpeg": op1_avi_mjpeg,
     "op2_line_winnowing": op2_line_winnowing,
@@ -60,5 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_additive_quantisation": op7_additive_quantisation,
     "op8_language_gru": op8_language_gru,
     "op9_byte_bpe_tree": op9_byte_bpe_tree,
+    "op10_license_scan": op10_license_scan,
+}
+ORACLE: dict[str, str] = {
+    "op10_license_scan": licenses.oracle(),
 }
-ORACLE: dict[str, str] = {}
