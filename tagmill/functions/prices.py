@@ -80,8 +80,12 @@ def consistent(card: Column, default: Column, percent: Column) -> Column:
 
 def refine(card: Column, default: Column, percent: Column) -> tuple[Column, Column]:
     """Default price and whether it was inferred: where it is missing, not above the card price, or inconsistent."""
-    inferred = infer_default(card, percent)
-    use = inferred.isNotNull() & (default.isNull() | (default <= card + 1) | ~consistent(card, default, percent))
+    return refine_with(card, default, infer_default(card, percent))
+
+
+def refine_with(card: Column, default: Column, inferred: Column) -> tuple[Column, Column]:
+    agrees = F.abs(default - inferred) * 100 <= inferred * TOLERANCE_PERCENT
+    use = inferred.isNotNull() & (default.isNull() | (default <= card + 1) | ~agrees)
     return F.when(use, inferred).otherwise(default), F.coalesce(use, F.lit(False))
 
 
@@ -180,17 +184,26 @@ def product_name(text: Column) -> Column:
 
 def parse_text(text: Column) -> Column:
     """Whole recognised text to name, prices and discount."""
-    found, percent = prices(text), discount(text)
-    n = F.size(found)
-    card = F.when(n >= 1, F.element_at(found, -1))
-    default, inferred = refine(card, F.when(n >= 2, found[0]), percent)
-    return F.struct(
-        product_name(text).alias("product_name"),
-        F.coalesce(plain(F.coalesce(default, card)), F.lit("")).alias("price_default"),
-        F.coalesce(plain(card), F.lit("")).alias("price_card"),
-        F.coalesce(F.concat(F.lit("-"), percent.cast("string"), F.lit("%")), F.lit("")).alias("discount_amount"),
-        inferred.alias("price_default_inferred"),
-    )
+    # Bound once: each reading is an expression of some size that would else be repeated in every field.
+    read = F.struct(prices(text).alias("found"), discount(text).alias("percent"), product_name(text).alias("name"))
+
+    def fields(r: Column) -> Column:
+        n = F.size(r["found"])
+        card = F.when(n >= 1, F.element_at(r["found"], -1))
+        first = F.when(n >= 2, F.element_at(r["found"], 1))
+        return F.struct(r["name"].alias("name"), r["percent"].alias("percent"), card.alias("card"), first.alias("first"), infer_default(card, r["percent"]).alias("inferred"))
+
+    def chosen(r: Column) -> Column:
+        default, used = refine_with(r["card"], r["first"], r["inferred"])
+        return F.struct(
+            r["name"].alias("product_name"),
+            F.coalesce(plain(F.coalesce(default, r["card"])), F.lit("")).alias("price_default"),
+            F.coalesce(plain(r["card"]), F.lit("")).alias("price_card"),
+            F.coalesce(F.concat(F.lit("-"), r["percent"].cast("string"), F.lit("%")), F.lit("")).alias("discount_amount"),
+            used.alias("price_default_inferred"),
+        )
+
+    return F.transform(F.transform(F.array(read), fields), chosen)[0]
 
 
 def display_line(default: Column, card: Column, raw: Column) -> Column:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tagmill.functions.coerce import trimmed
 
@@ -77,12 +78,12 @@ def _ratio(left: pd.Series, right: pd.Series, one_blank: float, both_blank: floa
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return _ratio(left, right, 0.0, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _similarity_strict(left: pd.Series, right: pd.Series) -> pd.Series:
     return _ratio(left, right, 0.0, 0.0)
 

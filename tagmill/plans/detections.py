@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.functions import geometry as geo
@@ -12,13 +12,16 @@ from tagmill.operators import contract, suppression
 from tagmill.plans.proxies import DET, FIELDS, GT, ID, OCR, VIDEO, det, gt, ocr, video
 from tagmill.plans.registry import query
 
-ORDER = [-F.col("conf"), F.col("line"), F.col("part"), F.col("supp")]
 RANKED = "o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, line, part, supp) AS rn FROM {src})"
 OVER = "greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
 AREA = "(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1))"
 BOXED = "struct_pack(x1 := {t}.x1, y1 := {t}.y1, x2 := {t}.x2, y2 := {t}.y2, conf := {t}.conf, line := {t}.line, part := {t}.part, supp := {t}.supp)"
 
 
+def order() -> list[Column]:
+    return [-F.col("conf"), F.col("line"), F.col("part"), F.col("supp")]
+
+
 def sql_iou(a: str, b: str, num: int, den: int) -> str:
     inter = OVER.format(a=a, b=b)
     return f"({inter} > 0 AND {den} * ({inter}) >= {num} * ({AREA.format(a=a)} + {AREA.format(a=b)} - ({inter})))"
@@ -67,14 +70,14 @@ def flt_color_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {DET}, {sql_nms('det')} {KEPT}")
 def dup_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP01, DUP02: greedy suppression in an image."""
-    return suppression.nms(det(spark, sf_dir), ["image_id"], ORDER, FIELDS).select("image_id", *FIELDS)
+    return suppression.nms(det(spark, sf_dir), ["image_id"], order(), FIELDS).select("image_id", *FIELDS)
 
 
 @query(f"WITH RECURSIVE {DET}, a AS (SELECT * REPLACE ((x2 - x1) * (y2 - y1) AS conf) FROM det), {sql_nms('a')} SELECT image_id, k.line, k.part, k.supp, k.conf AS area FROM (SELECT image_id, unnest(kept[1:2]) AS k FROM f)")
 def dup_nms_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP03: suppression by area, then the two largest."""
     by_area = det(spark, sf_dir).withColumn("conf", Box.columns().area)
-    return suppression.nms(by_area, ["image_id"], ORDER, FIELDS, top=2).select(*ID, F.col("conf").alias("area"))
+    return suppression.nms(by_area, ["image_id"], order(), FIELDS, top=2).select(*ID, F.col("conf").alias("area"))
 
 
 def _sql_first_match(group: str, rank: str, fits: str, update: str, new: str, src: str) -> str:
@@ -97,7 +100,7 @@ _JOIN_CLUSTER = f"CASE WHEN o.conf > c.conf THEN {_NEW_CLUSTER} ELSE struct_pack
 def dup_precluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP04: clusters over neighbouring frames of a video."""
     df = video(det(spark, sf_dir))
-    out = suppression.precluster(df, ["video"], "frame", [F.col("frame"), *ORDER], ["frame", *FIELDS], "conf", gap=4)
+    out = suppression.precluster(df, ["video"], "frame", [F.col("frame"), *order()], ["frame", *FIELDS], "conf", gap=4)
     return out.select("video", "frame", "line", "part", "supp", "conf")
 
 
@@ -226,7 +229,7 @@ def flagship_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagmill.functions.barcodes import valid_ean13
     from tagmill.plans.proxies import ean
 
-    kept = suppression.nms(rules(det(spark, sf_dir)), ["image_id"], ORDER, FIELDS)
+    kept = suppression.nms(rules(det(spark, sf_dir)), ["image_id"], order(), FIELDS)
     best = suppression.best_by(kept, ["image_id"], [F.col("conf"), -F.col("line"), -F.col("part"), -F.col("supp")])
     labels = ocr(spark, sf_dir)
     shown = F.when(F.col("percent").between(5, 40), F.concat(F.lit("-"), F.col("percent").cast("string"), F.lit("%"))).otherwise("")
