@@ -120,3 +120,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.size("_deleted").cast("long").alias("n_deleted"),
         F.col("_deleted").alias("deleted"),
     )
+
+
+def oracle(min_words: int = MIN_WORDS) -> str:
+    """DuckDB SQL for dedup_lines() on documents: every window compared whole, without fingerprints."""
+    return f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM d),
+w AS (SELECT doc_id, i, len(list_filter(string_split_regex(line, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> '')) AS n FROM x),
+c AS (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
+p AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {min_words}),
+f AS (SELECT doc_id, a, min(b) AS b FROM p GROUP BY doc_id, a UNION SELECT doc_id, max(a) AS a, b FROM p GROUP BY doc_id, b),
+k AS (SELECT f.*, md5(array_to_string(l[a + 1 : b + 1], chr(10))) AS h FROM f JOIN d USING (doc_id)),
+o AS (SELECT h, min(struct_pack(d := doc_id, a := a)) AS origin FROM k GROUP BY h),
+g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(a, b + 1)) AS i FROM k JOIN o USING (h) WHERE struct_pack(d := doc_id, a := a) > origin) GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_deleted,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string([l[i + 1] for i in range(len(l)) if NOT list_contains(gone, i)], chr(10)) END AS text
+FROM d LEFT JOIN g USING (doc_id)"""

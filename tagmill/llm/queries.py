@@ -67,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 ORACLE: dict[str, str] = {
+    "op2_line_winnowing": line_dedup.oracle(),
     "op10_license_scan": licenses.oracle(),
 }
