@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tagmill.sources.scratch import discard, materialize
 
+SALTS = 16
+
 
 def _stars(links: DataFrame, both: bool) -> DataFrame:
     """Links u-v, v < u: hang u's neighbours (all, or only the smaller ones) on the smallest node among them and u."""
@@ -19,7 +21,9 @@ def _stars(links: DataFrame, both: bool) -> DataFrame:
     if both:
         seen = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    hung = seen.join(least, "u")
+    # A node with very many neighbours meets its minimum in SALTS places.
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hung = seen.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
     if both:
         return hung.filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
