@@ -35,10 +35,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, once; a document without an id stays."""
-    docs = docs.dropDuplicates(docs.columns)
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.dropDuplicates(docs.columns)  # moves every text, so only where an id occurs twice
     groups = simhash.similar_documents(docs)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
