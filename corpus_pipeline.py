@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.llm import lang_id, line_dedup, packing, simhash
-from tagmill.llm.common import materialize, read
+from tagmill.llm.common import materialize, read, text_key
 
 #: A text whose pooled language probability is below this is in no language that was learned.
 MIN_SCORE = 0.4
@@ -34,12 +34,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once; a document without an id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays, once; a document without an id stays.
+
+    Documents are told apart by id and text, so of two texts with one id each stays or goes on its own.
+    """
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         docs = docs.dropDuplicates(docs.columns)  # moves every text, so only where an id occurs twice
     groups = simhash.similar_documents(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = (F.col("doc_id") == F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import materialize, slices
+from tagmill.llm.common import materialize, slices, text_key
 from tagmill.operators.graph import components
 
 SHINGLE = 3
@@ -183,7 +183,7 @@ def join_similar(prints: np.ndarray, sets: list[np.ndarray], similarity: float =
 
 
 def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, component_id: groups of texts linked by a Jaccard similarity of their shingle sets.
+    """doc_id, key, class_id, component_id: groups of texts linked by a Jaccard similarity of their shingle sets.
 
     Texts with equal shingle sets collapse into classes.  Classes that share one of ``BLOCKS`` MinHash values meet in a
     block (a pair at 0.8 misses all six with probability 0.2^6), where join_similar() puts them together.  A block of
@@ -196,17 +196,17 @@ def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarit
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for doc_id, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
                 hashes = shingle_hashes((text or "").encode(), shingle)
                 unique = np.unique(hashes)
                 mixed = unique ^ (unique >> np.uint64(31))
                 mins = [int(((mixed * a) ^ ((mixed * a) >> np.uint64(29))).min()) & (1 << 63) - 1 for a in odd] if len(unique) else []
-                rows.append((doc_id, xxhash.xxh128_digest(unique.tobytes()), int(np.array(bits_over_half(hashes) if len(hashes) else 0, np.uint64).view(np.int64)), mins, np.unique(unique.astype(np.uint32)).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["doc_id", "set_id", "print", "mins", "members"])
+                rows.append((doc_id, key, xxhash.xxh128_digest(unique.tobytes()), int(np.array(bits_over_half(hashes) if len(hashes) else 0, np.uint64).view(np.int64)), mins, np.unique(unique.astype(np.uint32)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["doc_id", "key", "set_id", "print", "mins", "members"])
 
-    drawn = docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, set_id binary, print long, mins array<long>, members binary")
+    drawn = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").mapInArrow(sketch, "doc_id long, key long, set_id binary, print long, mins array<long>, members binary")
     drawn = materialize(drawn)
-    of_docs = drawn.select("doc_id", "set_id")
+    of_docs = drawn.select("doc_id", "key", "set_id")
     # One document's row stands for its class; which one doesn't matter, as all are equal in these columns.
     rows = drawn.select("set_id", "print", F.posexplode("mins").alias("band", "value")).distinct()
     sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
@@ -231,4 +231,4 @@ def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarit
     rooted = classes.join(components(found).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rooted = materialize(rooted)
     least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    return of_docs.join(rooted.join(least, "root").select("set_id", "class_id", "component_id"), "set_id").select("doc_id", "class_id", "component_id")
+    return of_docs.join(rooted.join(least, "root").select("set_id", "class_id", "component_id"), "set_id").select("doc_id", "key", "class_id", "component_id")
