@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("detections", "labels", "tables", "jobs")
+MODULES = ("detections", "labels", "tables", "rows", "jobs")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
