@@ -29,7 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,18 +120,13 @@ def path(matrices: list[np.ndarray]) -> tuple[list[int], int]:
     return states[::-1], ends[state]
 
 
-def _ordered(turns: pd.DataFrame) -> pd.DataFrame:
-    # Nulls sort as the least value.
-    key = pd.DataFrame({"t": turns["turn"].fillna(-np.inf), "r": turns["role"].fillna(""), "x": turns["text"].fillna("")})
-    return turns.loc[key.sort_values(["t", "r", "x"], kind="stable").index]
+def _ordered(turns: list[dict]) -> list[dict]:
+    """In the order (turn, role, text); nulls sort as the least value."""
+    return sorted(turns, key=lambda t: (t["turn"] is not None, t["turn"] or 0, t["role"] or "", t["text"] or ""))
 
 
-def _roles(turns: pd.DataFrame) -> list[int]:
-    return [ROLES.index(r) + 1 if r in ROLES else 0 for r in turns["role"]]
-
-
-def _block_costs(turns: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"conv_id": turns["conv_id"].iloc[:1], "block": turns["block"].iloc[:1], "costs": [matrix(_roles(_ordered(turns))).ravel().tolist()]})
+def _roles(turns: list[dict]) -> list[int]:
+    return [ROLES.index(t["role"]) + 1 if t["role"] in ROLES else 0 for t in turns]
 
 
 def render_turns(roles: list[int], texts: list[str], entry: int, exit_state: int, last: bool) -> tuple[str, str, int]:
@@ -156,17 +151,42 @@ def render_turns(roles: list[int], texts: list[str], entry: int, exit_state: int
     return "".join(out), ",".join(actions), n
 
 
-def _render(turns: pd.DataFrame) -> pd.DataFrame:
-    turns = _ordered(turns)
-    first = turns.iloc[0]
-    text, actions, n = render_turns(_roles(turns), turns["text"].fillna("").tolist(), int(first["entry"]), int(first["exit"]), bool(first["last"]))
-    return pd.DataFrame({"conv_id": [first["conv_id"]], "block": [first["block"]], "cost": [first["cost"]], "n_turns": [len(turns)], "n_repaired": [n], "actions": [actions], "rendered": [text]})
+def _columns(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
+
+
+def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple, list[int]] = {}
+    for b in batches:
+        rows = []
+        for conv_id, block, turns in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            roles = tuple(_roles(_ordered(turns)))
+            if roles not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[roles] = matrix(list(roles)).ravel().tolist()
+            rows.append((conv_id, block, known[roles]))
+        yield _columns(rows, ["conv_id", "block", "costs"], [pa.int64(), pa.int64(), pa.list_(pa.int64())])
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for conv_id, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            blocks = sorted(blocks, key=lambda x: x["block"])
+            states, cost = path([np.array(x["costs"], np.int64).reshape(4, 4) for x in blocks])
+            rows += [(conv_id, x["block"], states[k], states[k + 1], cost, k == len(blocks) - 1) for k, x in enumerate(blocks)]
+        yield _columns(rows, ["_conv_id", "_block", "entry", "exit", "cost", "last"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()])
 
 
-def _borders(blocks: pd.DataFrame) -> pd.DataFrame:
-    blocks = blocks.sort_values("block", na_position="first")
-    states, cost = path([np.array(c, np.int64).reshape(4, 4) for c in blocks["costs"]])
-    return pd.DataFrame({"conv_id": blocks["conv_id"], "block": blocks["block"], "entry": states[:-1], "exit": states[1:], "cost": cost, "last": [False] * (len(blocks) - 1) + [True]})
+def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for conv_id, block, turns, entry, exit_state, cost, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            turns = _ordered(turns)
+            text, actions, n = render_turns(_roles(turns), [t["text"] or "" for t in turns], entry, exit_state, last)
+            rows.append((conv_id, block, cost, len(turns), n, actions, text))
+        yield _columns(rows, ["conv_id", "block", "cost", "n_turns", "n_repaired", "actions", "rendered"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
 
 def repair_conversations(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -174,9 +194,14 @@ def repair_conversations(conversations: DataFrame, block: int = BLOCK) -> DataFr
 
     A conversation's text is its blocks' `rendered` in order; almost all have one block.
     """
-    turns = conversations.select("conv_id", "turn", "role", "text").withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long"))
-    costs = turns.drop("text").withColumn("text", F.lit(None).cast("string")).groupBy("conv_id", "block").applyInPandas(_block_costs, "conv_id long, block long, costs array<long>")
-    borders = materialize(materialize(costs).groupBy("conv_id").applyInPandas(_borders, "conv_id long, block long, entry int, exit int, cost long, last boolean"))
-    other = borders.withColumnsRenamed({"conv_id": "_conv_id", "block": "_block"})
-    joined = turns.join(other, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("block") == F.col("_block"))).drop("_conv_id", "_block")
-    return joined.groupBy("conv_id", "block").applyInPandas(_render, "conv_id long, block long, cost long, n_turns long, n_repaired long, actions string, rendered string")
+    number = F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long")
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), number.alias("block"), F.struct("turn", "role", "text").alias("t"))
+    # A group is a block, not a conversation.
+    blocks = materialize(turns.groupBy("conv_id", "block").agg(F.collect_list("t").alias("turns")))
+    bare = blocks.select("conv_id", "block", F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.lit("").alias("text"))).alias("turns"))
+    costs = bare.mapInArrow(_costs, "conv_id long, block long, costs array<long>")
+    of_conversation = costs.groupBy("conv_id").agg(F.collect_list(F.struct("block", "costs")).alias("blocks"))
+    borders = of_conversation.mapInArrow(_borders, "_conv_id long, _block long, entry int, exit int, cost long, last boolean")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("block") == F.col("_block"))
+    joined = blocks.join(borders, same).select("conv_id", "block", "turns", "entry", "exit", "cost", "last")
+    return joined.mapInArrow(_rendered, "conv_id long, block long, cost long, n_turns long, n_repaired long, actions string, rendered string")
