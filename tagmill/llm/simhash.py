@@ -197,11 +197,11 @@ def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarit
         for part in slices(batches):
             rows = []
             for doc_id, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
-                hashes = shingle_hashes((text or "").encode(), shingle)
-                unique = np.unique(hashes)
+                unique = np.unique(shingle_hashes((text or "").encode(), shingle))
                 mixed = unique ^ (unique >> np.uint64(31))
                 mins = [int(((mixed * a) ^ ((mixed * a) >> np.uint64(29))).min()) & (1 << 63) - 1 for a in odd] if len(unique) else []
-                rows.append((doc_id, key, xxhash.xxh128_digest(unique.tobytes()), int(np.array(bits_over_half(hashes) if len(hashes) else 0, np.uint64).view(np.int64)), mins, np.unique(unique.astype(np.uint32)).tobytes()))
+                # Repeats have no vote: the radius is that of sets, and equal sets have one fingerprint.
+                rows.append((doc_id, key, xxhash.xxh128_digest(unique.tobytes()), int(np.array(bits_over_half(unique) if len(unique) else 0, np.uint64).view(np.int64)), mins, np.unique(unique.astype(np.uint32)).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["doc_id", "key", "set_id", "print", "mins", "members"])
 
     drawn = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").mapInArrow(sketch, "doc_id long, key long, set_id binary, print long, mins array<long>, members binary")

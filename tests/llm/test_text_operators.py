@@ -238,6 +238,26 @@ def test_similar_documents_against_all_pairs(spark, odd, empty, monkeypatch):
     assert simhash.similar_documents(odd).count() == len(ODD) and simhash.similar_documents(empty).count() == 0
 
 
+def test_similar_documents_with_repeated_phrases(spark):
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(900)]
+    texts = []
+    for _ in range(12):
+        base = [r.choice(words) for _ in range(300)]
+        for times in (0, 20, 20, 60):
+            texts.append(" ".join(base + [r.choice(words) for _ in range(8)] * times))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(parent, i), find(parent, j)))
+                parent[b] = a
+    want = {i: find(parent, i) for i in range(len(texts))}
+    assert set(want.values()) == set(range(0, len(texts), 4))
+    assert {x.doc_id: x.component_id for x in simhash.similar_documents(docs_of(spark, texts)).collect()} == want
+
+
 # --- packing -----------------------------------------------------------------------------------------------------
 
 
