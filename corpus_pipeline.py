@@ -34,14 +34,21 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once; a document without an id stays.
+    """Of each group of near-duplicates the document that is least by id, then text key, stays, once; those without an id stay.
 
-    Documents are told apart by id and text, so of two texts with one id each stays or goes on its own.
+    Documents are told apart by id and text, so of two texts with one id each stays or goes by its own group.  Of rows
+    equal in both, the one least in its other columns stays; of rows without an id, each that differs in any column.
     """
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = docs.dropDuplicates(docs.columns)  # moves every text, so only where an id occurs twice
+        # Moves every text, so only where an id occurs twice. A null text counts as empty, as in text_key().
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        row = F.struct("doc_id", *rest, F.col("text").isNull().alias("_null"))
+        named = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).agg(F.min(row).alias("_row"))
+        named = named.select("_row.*", "_text").withColumn("text", F.when(~F.col("_null"), F.col("_text"))).select(docs.columns)
+        docs = named.unionByName(docs.filter("doc_id is null").dropDuplicates(docs.columns))
     groups = simhash.similar_documents(docs)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    others = F.col("doc_id").isNotNull() & ((F.col("doc_id") != F.col("component_id")) | (F.col("key") != F.col("component_key")))
+    gone = groups.filter(others).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     same = (F.col("doc_id") == F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
     return docs.join(gone.hint("shuffle_hash"), same, "left_anti").select(docs.columns)
 

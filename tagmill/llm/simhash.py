@@ -183,7 +183,9 @@ def join_similar(prints: np.ndarray, sets: list[np.ndarray], similarity: float =
 
 
 def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, key, class_id, component_id: groups of texts linked by a Jaccard similarity of their shingle sets.
+    """doc_id, key, class_id, component_id, component_key: groups of texts linked by a Jaccard similarity of their shingle sets.
+
+    component_id and component_key name one document of the group: its least by (doc_id, key), without null ids.
 
     Texts with equal shingle sets collapse into classes.  Classes that share one of ``BLOCKS`` MinHash values meet in a
     block (a pair at 0.8 misses all six with probability 0.2^6), where join_similar() puts them together.  A block of
@@ -227,8 +229,10 @@ def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarit
         return pa.table({"u": pa.array([p[0] for p in pairs], pa.binary()), "v": pa.array([p[1] for p in pairs], pa.binary())})
 
     found = dealt.groupBy("band", "value", "a", "b").applyInArrow(join_block, "u binary, v binary").distinct()
-    classes = of_docs.groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    classes = of_docs.groupBy("set_id").agg(F.min(named).alias("least"))
     rooted = classes.join(components(found).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rooted = materialize(rooted)
-    least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    return of_docs.join(rooted.join(least, "root").select("set_id", "class_id", "component_id"), "set_id").select("doc_id", "key", "class_id", "component_id")
+    stands = rooted.groupBy("root").agg(F.min("least").alias("stands"))
+    known = rooted.join(stands, "root").select("set_id", F.col("least.doc_id").alias("class_id"), F.col("stands.doc_id").alias("component_id"), F.col("stands.key").alias("component_key"))
+    return of_docs.join(known, "set_id").select("doc_id", "key", "class_id", "component_id", "component_key")

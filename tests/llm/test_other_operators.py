@@ -150,3 +150,16 @@ def test_pipeline_odd(spark, sf_dir):
     assert sorted((r.doc_id or -1) for r in groups.collect()) == [-1, 1, 3, 5, 6] or groups.count() <= 6
     assert corpus_pipeline.pack(spark, docs.limit(0), sf_dir).count() == 0
     assert P.path("word_bpe_49k.json")
+
+
+def test_one_document_of_a_group_stays(spark, sf_dir):
+    words = [f"w{k}" for k in range(200)]
+    one, near = " ".join(words), " ".join(words[:-1] + ["z"])
+    far = " ".join(reversed(words))
+    rows = [(1, one, "b"), (1, one, "a"), (1, near, "a"), (2, one, "a"), (1, far, "c"), (3, far, None), (4, None, "s"), (4, "", "s"), (None, one, "a"), (None, one, "a"), (None, one, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = {r.text: r.key for r in docs.select("text", corpus_pipeline.text_key(F.col("text")).alias("key")).collect()}
+    stays = min(one, near, key=key.get)
+    got = [(r.doc_id, r.text or "", r.source) for r in corpus_pipeline.dedup_documents(spark, docs, sf_dir).collect()]
+    want = [(1, stays, "a"), (1, far, "c"), (4, "", "s"), (None, one, "a"), (None, one, "b")]
+    assert sorted(got, key=str) == sorted(want, key=str)
