@@ -61,23 +61,33 @@ def gap_sessions(events: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     return events.groupBy(F.col(key), F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def stream_best(events: DataFrame, key: str, frame: str, score: str, gap: int) -> DataFrame:
+def stream_best(events: DataFrame, key: str, frame: str, score: str, gap: int, end: str | None = None) -> DataFrame:
     """Best score of each run of frames without a gap, kept as state of a key: emitted when a later frame closes it.
 
-    Rows of a key must arrive in the order of frames over batches; inside a batch they are sorted.
+    Rows of a key must arrive in the order of frames over batches; inside a batch they are sorted.  The last run of a key
+    is closed by an end marker only: a row, itself no frame, in which the boolean column `end` is true; with a null frame
+    it follows all others of its batch.  Without `end` every key's last run stays open and is not returned.
     """
+    if end:
+        events = events.withColumn(end, F.coalesce(end, F.lit(False)))
+        events = events.withColumn(frame, F.when(F.col(end), F.coalesce(frame, F.lit((1 << 63) - 1))).otherwise(F.col(frame))).withColumn(score, F.when(F.col(end), 0).otherwise(F.col(score)))
 
     def advance(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, first, best, n = state.get if state.exists else (None, None, None, 0)
         out = []
-        rows = pd.concat(list(parts)).sort_values(frame, kind="stable")
-        for f, s in zip(rows[frame].tolist(), rows[score].tolist(), strict=True):
-            if last is not None and f - last > gap:
+        rows = pd.concat(list(parts)).sort_values([frame, end] if end else frame, kind="stable")
+        for f, s, over in zip(rows[frame].tolist(), rows[score].tolist(), rows[end].tolist() if end else [False] * len(rows), strict=True):
+            if last is not None and (over or f - last > gap):
                 out.append((k[0], first, last, best, n))
-                first, best, n = None, None, 0
+                last, first, best, n = None, None, None, 0
+            if over:
+                continue
             first = f if first is None else first
             best, last, n = s if best is None else max(best, s), f, n + 1
-        state.update((last, first, best, n))
+        if last is not None:
+            state.update((last, first, best, n))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=[key, "first_frame", "last_frame", "best", "n"])
 
     schema = f"{key} long, first_frame long, last_frame long, best long, n long"

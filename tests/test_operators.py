@@ -134,6 +134,18 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert got <= want and len(got) >= 5
 
 
+def test_stream_returns_last_runs_at_end_markers(spark, tmp_path):
+    batches = [[(1, 0, 5, None), (1, 2, 9, False), (2, 7, 1, False)], [(1, 30, 4, False), (2, None, None, True)], [(1, 31, 6, False), (1, None, None, True), (3, None, None, True)], [(2, 8, 3, False), (2, 8, None, True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "job long, frame long, score long, ended boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job long, frame long, score long, ended boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.stream_best(stream, "job", "frame", "score", gap=4, end="ended")
+    q = out.writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.table("ended").collect())
+    assert got == [(1, 0, 2, 9, 2), (1, 30, 31, 6, 2), (2, 7, 7, 1, 1), (2, 8, 8, 3, 1)]
+
+
 def test_stage_batches_and_next_stage(spark, tmp_path):
     spark.createDataFrame([("a", "detect"), ("b", "finalize"), ("c", "ocr")], "job string, stage string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("job string, stage string").parquet(str(tmp_path / "in"))
