@@ -18,6 +18,9 @@ either side.  Clips are the runs between cuts, timed by the frame rate.
 Results for odd input: a null or empty text becomes one row of blanks; repeated
 rows give equal results; bytes that are no AVI give no frames and no clips; a
 damaged row of a frame decodes to zeros after the damage.
+
+Only frames of this module's writer are decoded: another Huffman table or width
+raises ValueError, and a baseline frame (SOF0) has height 0 and no samples.
 """
 
 from __future__ import annotations
