@@ -9,27 +9,38 @@ a sequence of turns by
 * merging it into the turn before (``MERGE``; with a relabelling if the roles differ),
 * inserting an empty user or assistant turn (``INSERT``).
 
-Equal costs are settled by the order keep, merge, relabel, insert at the latest
-turn where two repairs differ.  The repaired sequence is then rendered.
-
-Scale: a conversation is worked in blocks of ``BLOCK`` turn numbers.  A block is
-first reduced to its matrix of least costs between entry and exit states; these
-matrices compose by (min, +) products, so a conversation of any length needs
-only its small matrices in one place, from which each block gets its entry and
-exit state and is repaired and rendered on its own.
-
-Results for odd input: turns are taken in the order (turn, role, text), a null
-turn number first; a role outside system, user and assistant is relabelled at
-cost; a null text counts as empty; repeated rows are turns of their own; rows
-with a null conv_id form one conversation; an empty table gives no rows.
+Equal costs are settled at the latest turn where two repairs differ, by the order
+keep, merge, relabel, insert, then by the state before it (start, system, user,
+assistant); if no turn settles it, by the last state, assistant first.  The
+repaired sequence is then rendered.
+
+Scale: rows are dealt in order over range partitions, and a conversation that
+lies inside one partition is repaired at once.  One that reaches over an edge, or
+has more than ``BLOCK`` turns or ``BLOCK_BYTES`` of text, is worked in blocks: a
+block is reduced to its matrix of least costs between entry and exit states, with
+the order of the entries that equal costs prefer; matrices compose by (min, +)
+products, which gives each block its entry and exit state, and the block is then
+repaired on its own.  Where blocks are cut does not change the result.
+
+A conversation is one row.  One that was worked in blocks has a row for each of
+its ``n_parts`` parts; joined in order, their `actions` and `rendered` are the
+conversation's, for any cut.  cost, n_turns and n_repaired are the conversation's
+in every row.
+
+Results for odd input: turns are taken in the order (turn, role, text), nulls
+first; a role outside system, user and assistant is relabelled at cost; a null
+text counts as empty; repeated rows are turns of their own; rows with a null
+conv_id form one conversation; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +49,7 @@ from tagmill.llm.common import materialize
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 MERGE, RELABEL, INSERT = 1, 2, 3
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 
 #: From a state, the roles that may follow at once.
@@ -100,33 +111,64 @@ def repair(roles: list[int], entry: int, exit_state: int) -> list[tuple[str, tup
     return out[::-1]
 
 
-def matrix(roles: list[int]) -> np.ndarray:
-    return np.array([forward(roles, s)[0] for s in range(4)], np.int64)
+def trace(back: list[list[tuple | None]], state: int) -> tuple[list[tuple[int, int]], int]:
+    """What the order of equal costs looks at, from the latest turn on: preference and earlier state; and the turns begun."""
+    out, begun = [], 0
+    for best in reversed(back):
+        (_, preference, before), _, action, inserted = best[state]
+        out.append((preference, before))
+        begun += len(inserted) + (not action.startswith("merge"))
+        state = before
+    return out, begun
+
+
+@dataclass
+class Summary:
+    """Of a block, by entry and exit state: least cost, place of that repair among all where costs are equal, turns it begins."""
+
+    cost: np.ndarray
+    rank: np.ndarray
+    begun: np.ndarray
+
 
+def summary(roles: list[int]) -> Summary:
+    out = Summary(*(np.zeros((4, 4), np.int64) for _ in range(3)))
+    ways = []
+    for entry in range(4):
+        cost, back = forward(roles, entry)
+        out.cost[entry] = cost
+        for exit_state in range(4):
+            if cost[exit_state] < BIG:
+                keys, out.begun[entry, exit_state] = trace(back, exit_state)
+                ways.append((keys, -exit_state, entry))
+    for place, (_, exit_state, entry) in enumerate(sorted(ways)):
+        out.rank[entry, -exit_state] = place
+    return out
 
-def path(matrices: list[np.ndarray]) -> tuple[list[int], int]:
-    """States at the borders of the blocks of a cheapest repair that starts at START, and its cost with the closing turns."""
-    cost, back = np.full(4, BIG), []
+
+def path(blocks: list[Summary]) -> tuple[list[int], int, int]:
+    """States at the borders of the blocks of the chosen repair from START, its cost and its turns, both with the closing ones."""
+    cost, costs = np.full(4, BIG), []
     cost[START] = 0
-    for m in matrices:
-        through = cost[:, None] + m
-        back.append(through.argmin(0))
-        cost = through.min(0)
-    ends = [int(cost[s]) + closing(s)[0] for s in range(4)]
-    state = min(range(4), key=lambda s: (ends[s], -s))
-    states = [state]
-    for b in reversed(back):
-        states.append(int(b[states[-1]]))
-    return states[::-1], ends[state]
+    for block in blocks:
+        costs.append(cost)
+        cost = np.minimum((cost[:, None] + block.cost).min(0), BIG)
 
+    def entry_to(k: int, state: int) -> int:
+        return min(range(4), key=lambda s: (costs[k][s] + blocks[k].cost[s, state], blocks[k].rank[s, state]))
 
-def _ordered(turns: list[dict]) -> list[dict]:
-    """In the order (turn, role, text); nulls sort as the least value."""
-    return sorted(turns, key=lambda t: (t["turn"] is not None, t["turn"] or 0, t["role"] or "", t["text"] or ""))
+    state = min(range(4), key=lambda s: (cost[s] + closing(s)[0], blocks[-1].rank[entry_to(-1, s), s]))
+    least, begun, states = int(cost[state]) + closing(state)[0], len(closing(state)[1]), [state]
+    for k in range(len(blocks) - 1, -1, -1):
+        entry = entry_to(k, state)
+        begun += int(blocks[k].begun[entry, state])
+        state = entry
+        states.append(state)
+    return states[::-1], least, begun
 
 
-def _roles(turns: list[dict]) -> list[int]:
-    return [ROLES.index(t["role"]) + 1 if t["role"] in ROLES else 0 for t in turns]
+def _role(name: str | None) -> int:
+    return ROLES.index(name) + 1 if name in ROLES else 0
 
 
 def render_turns(roles: list[int], texts: list[str], entry: int, exit_state: int, last: bool) -> tuple[str, str, int]:
@@ -151,57 +193,116 @@ def render_turns(roles: list[int], texts: list[str], entry: int, exit_state: int
     return "".join(out), ",".join(actions), n
 
 
-def _columns(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
-
-
-def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, list[int]] = {}
+PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("n_parts", pa.int64()), ("cost", pa.int64()), ("n_turns", pa.int64()), ("n_repaired", pa.int64()), ("actions", pa.string()), ("rendered", pa.string())])
+PARTS_DDL = "conv_id long, part long, n_parts long, cost long, n_turns long, n_repaired long, actions string, rendered string"
+_OPEN = [("task", pa.int64()), ("nth", pa.int64()), ("roles", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))]
+WORKED = pa.schema([*PARTS, *_OPEN])
+WORKED_DDL = PARTS_DDL + ", task long, nth long, roles array<long>, texts array<string>"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def whole(conv_id: int | None, roles: list[int], texts: list[str]) -> tuple:
+    """The row of a conversation that is at hand whole."""
+    cost, back = forward(roles, START)
+    ends = [c + closing(s)[0] for s, c in enumerate(cost)]
+    tied = [s for s in range(4) if ends[s] == min(ends)]
+    end = tied[0] if len(tied) == 1 else min(tied, key=lambda s: (trace(back, s)[0], -s))
+    text, actions, n = render_turns(roles, texts, START, end, True)
+    return conv_id, 0, 1, ends[end], len(roles), n, actions, text
+
+
+def _work(block: int, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over a range partition in order: rows of whole conversations, and open blocks of those that are long or touch an edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, nth, first, held = TaskContext.get().partitionId(), 0, True, 0
+        out: list[tuple] = []
+        begun, cut, conv, roles, texts = False, False, None, [], []
+
+        def close(edge: bool) -> int:
+            nonlocal nth
+            if first or edge or cut:
+                out.append((conv, *[None] * 7, task, nth, list(roles), list(texts)))
+                nth += 1
+            else:
+                out.append((*whole(conv, roles, texts), *[None] * 4))
+            n = sum(map(len, texts))
+            roles.clear()
+            texts.clear()
+            return n
+
+        size = 0
+        for b in batches:
+            for conv_id, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+                if begun and conv_id != conv:
+                    held += close(False)
+                    first, cut, size = False, False, 0
+                elif len(roles) >= block or (roles and size + len(text or "") > block_bytes):
+                    cut = True
+                    held += close(False)
+                    size = 0
+                begun, conv = True, conv_id
+                roles.append(_role(role))
+                texts.append(text or "")
+                size += len(text or "")
+                if held > block_bytes or len(out) >= 4096:
+                    yield _batch(out, WORKED)
+                    out.clear()
+                    held = 0
+        if begun:
+            close(True)
+        yield _batch(out, WORKED)
+
+    return run
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for conv_id, block, turns in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            roles = tuple(_roles(_ordered(turns)))
-            if roles not in known:
-                if len(known) > 10_000:
-                    known.clear()
-                known[roles] = matrix(list(roles)).ravel().tolist()
-            rows.append((conv_id, block, known[roles]))
-        yield _columns(rows, ["conv_id", "block", "costs"], [pa.int64(), pa.int64(), pa.list_(pa.int64())])
+        for conv_id, task, nth, roles in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            s = summary(roles)
+            rows.append((conv_id, task, nth, len(roles), np.stack([s.cost, s.rank, s.begun]).ravel().tolist()))
+        yield _batch(rows, pa.schema([("conv_id", pa.int64()), ("task", pa.int64()), ("nth", pa.int64()), ("n", pa.int64()), ("summary", pa.list_(pa.int64()))]))
+
+
+BORDERS = pa.schema([(n, pa.int64()) for n in ("_task", "_nth", "part", "n_parts", "cost", "n_turns", "n_repaired", "entry", "exit")])
 
 
 def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for conv_id, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            blocks = sorted(blocks, key=lambda x: x["block"])
-            states, cost = path([np.array(x["costs"], np.int64).reshape(4, 4) for x in blocks])
-            rows += [(conv_id, x["block"], states[k], states[k + 1], cost, k == len(blocks) - 1) for k, x in enumerate(blocks)]
-        yield _columns(rows, ["_conv_id", "_block", "entry", "exit", "cost", "last"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()])
+        for blocks in b.column("blocks").to_pylist():
+            blocks = sorted(blocks, key=lambda x: (x["task"], x["nth"]))
+            states, cost, n = path([Summary(*np.array(x["summary"], np.int64).reshape(3, 4, 4)) for x in blocks])
+            n_turns = sum(x["n"] for x in blocks)
+            rows += [(x["task"], x["nth"], k, len(blocks), cost, n_turns, n, states[k], states[k + 1]) for k, x in enumerate(blocks)]
+        yield _batch(rows, BORDERS)
 
 
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for conv_id, block, turns, entry, exit_state, cost, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            turns = _ordered(turns)
-            text, actions, n = render_turns(_roles(turns), [t["text"] or "" for t in turns], entry, exit_state, last)
-            rows.append((conv_id, block, cost, len(turns), n, actions, text))
-        yield _columns(rows, ["conv_id", "block", "cost", "n_turns", "n_repaired", "actions", "rendered"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])
-
-
-def repair_conversations(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """conv_id, block, cost (of the whole conversation), n_turns, n_repaired, actions, rendered: one row a block.
-
-    A conversation's text is its blocks' `rendered` in order; almost all have one block.
-    """
-    number = F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long")
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), number.alias("block"), F.struct("turn", "role", "text").alias("t"))
-    # A group is a block, not a conversation.
-    blocks = materialize(turns.groupBy("conv_id", "block").agg(F.collect_list("t").alias("turns")))
-    bare = blocks.select("conv_id", "block", F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.lit("").alias("text"))).alias("turns"))
-    costs = bare.mapInArrow(_costs, "conv_id long, block long, costs array<long>")
-    of_conversation = costs.groupBy("conv_id").agg(F.collect_list(F.struct("block", "costs")).alias("blocks"))
-    borders = of_conversation.mapInArrow(_borders, "_conv_id long, _block long, entry int, exit int, cost long, last boolean")
-    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("block") == F.col("_block"))
-    joined = blocks.join(borders, same).select("conv_id", "block", "turns", "entry", "exit", "cost", "last")
-    return joined.mapInArrow(_rendered, "conv_id long, block long, cost long, n_turns long, n_repaired long, actions string, rendered string")
+        for conv_id, roles, texts, part, n_parts, cost, n_turns, n, entry, exit_state in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            text, actions, _ = render_turns(roles, texts, entry, exit_state, part == n_parts - 1)
+            rows.append((conv_id, part, n_parts, cost, n_turns, n, ("," if part and actions else "") + actions, text))
+        yield _batch(rows, PARTS)
+
+
+def repair_conversations(conversations: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """conv_id, part, n_parts, cost, n_turns, n_repaired, actions, rendered: one row a conversation, or a part of a long one."""
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    order = ["conv_id", "turn", "role", "text"]
+    # The last key spreads rows that are equal in all others.
+    dealt = turns.withColumn("spread", F.rand(7)).repartitionByRange(*order, "spread").sortWithinPartitions(*order)
+    worked = materialize(dealt.select("conv_id", "role", "text").mapInArrow(_work(block, block_bytes), WORKED_DDL))
+    blocks = worked.filter("roles is not null")
+    # Some 400 bytes for each block of an open conversation.
+    summaries = blocks.select("conv_id", "task", "nth", "roles").mapInArrow(_summaries, "conv_id long, task long, nth long, n long, summary array<long>")
+    of_conversation = summaries.groupBy("conv_id").agg(F.collect_list(F.struct("task", "nth", "n", "summary")).alias("blocks"))
+    borders = of_conversation.select("blocks").mapInArrow(_borders, ", ".join(f"{n} long" for n in BORDERS.names))
+    joined = blocks.select("conv_id", "task", "nth", "roles", "texts").join(borders, (F.col("task") == F.col("_task")) & (F.col("nth") == F.col("_nth")))
+    opened = joined.select("conv_id", "roles", "texts", *BORDERS.names[2:]).mapInArrow(_rendered, PARTS_DDL)
+    return worked.filter("roles is null").select(PARTS.names).unionByName(opened)

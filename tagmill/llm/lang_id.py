@@ -4,29 +4,32 @@ The network reads the UTF-8 bytes of a text in windows of ``WINDOW`` bytes (a
 text's windows have nearly equal lengths and cover all of it), forwards and
 backwards, gives every byte position a distribution over the languages from
 both states, and pools a document's distribution as the mean over all its
-positions.  Weights are trained here, in numpy, by backpropagation through time.
+positions; the states begin anew in each window, so a position is labelled from
+at most ``WINDOW`` bytes around it.  Weights are trained here, in numpy, by
+backpropagation through time.
 
 Training data: windows at hashed places of at most ``SAMPLE_DOCS`` labelled
 documents for each of the ``MAX_LANGS`` most frequent languages, chosen by a hash
-of the id.  These two bounds are the only ones; every text is read whole when
-languages are predicted.
-
-Results for odd input: a null text or one without a letter is ``und`` with score
-0; a document with a null id is never learned from and counts as held out; no
-labelled document at all gives ``und`` everywhere; repeated rows give equal
-results.
+of the id and the text; equal rows beyond the bound are not gathered either.
+These two bounds are the only ones; every text is read whole when languages are
+predicted.
+
+Results for odd input: a null text or one without a letter (Unicode category L;
+number signs, marks and digits are none) is ``und`` with score 0; a document with
+a null id is never learned from and counts as held out; no labelled document at
+all gives ``und`` everywhere; repeated rows give equal results; columns of docs
+named like a result column give way to it.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.llm.common import slices
@@ -39,7 +42,6 @@ WINDOWS_OF_DOC, TRAIN_BYTES = 8, 64
 STEPS, BATCH, RATE = 400, 256, 0.02
 LANES = 2048
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -192,6 +194,11 @@ def position_sums(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     return sums, votes
 
 
+def has_letter(text: str | None) -> bool:
+    """str.isalpha() of a character is true for the categories Lu, Ll, Lt, Lm and Lo, and no others."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
@@ -204,7 +211,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LA
         return new_network([])
     # A share of each language by a hash of the id, slightly more than wanted; the sample is then cut to size exactly.
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, (sample_docs + 5 * sample_docs**0.5) / r["count"]) * (1 << 31)))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31))
     picked = labelled.withColumn("draw", draw).filter(F.col("draw") <= share[F.col("lang")])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,12 +225,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LA
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["lang", "draw", "crc", "bytes"])
 
     # About sample_docs rows of half a kilobyte for each of at most max_langs languages.
-    sample = sorted(map(tuple, picked.select("lang", "text", "draw").mapInArrow(windows, "lang string, draw long, crc long, bytes binary").collect()))
+    drawn = picked.select("lang", "text", "draw").mapInArrow(windows, "lang string, draw long, crc long, bytes binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "crc", "bytes"))
+    sample = sorted(map(tuple, drawn.withColumn("place", place).filter(F.col("place") <= sample_docs).drop("place").collect()))
     langs = sorted({r[0] for r in sample})
-    kept = [r for lang in langs for r in [x for x in sample if x[0] == lang][:sample_docs]]
-    data = np.frombuffer(b"".join(r[3] for r in kept), np.uint8).reshape(-1, TRAIN_BYTES)
+    data = np.frombuffer(b"".join(r[3] for r in sample), np.uint8).reshape(-1, TRAIN_BYTES)
     # Languages weigh alike: those with fewer documents repeat.
-    labels = np.repeat([langs.index(r[0]) for r in kept], WINDOWS_OF_DOC)
+    labels = np.repeat([langs.index(r[0]) for r in sample], WINDOWS_OF_DOC)
     most = np.bincount(labels).max()
     rows = np.concatenate([np.resize(np.nonzero(labels == k)[0], most) for k in range(len(langs))])
     return train(data[rows], labels[rows], langs)
@@ -231,12 +239,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LA
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """All columns of docs with lang_pred, score (its pooled probability) and label_share (share of positions so labelled)."""
+    docs = docs.drop("lang_pred", "score", "label_share")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, label_share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = part.column("text").to_pylist()
-            known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if net.langs else []
+            known = [i for i, t in enumerate(texts) if has_letter(t)] if net.langs else []
             raw = [texts[i].encode() for i in known]
             pred, score, share = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             sums, votes = position_sums(net, raw) if known else ([], [])

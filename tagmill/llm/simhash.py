@@ -151,6 +151,16 @@ def links(prints: DataFrame) -> DataFrame:
     return near.unionByName(hung)
 
 
+def join_classes(of_docs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """of_docs with the row of its class (with class_size). Classes of more than a thousandth of all documents, so fewer
+    than a thousand rows, are broadcast, and their documents stay where they are; the others are met by a shuffle."""
+    total = of_docs.count()
+    large = F.col("class_size") * 1000 > total
+    hot = F.broadcast(classes.filter(large))
+    rest = of_docs.join(hot.select(key), key, "left_anti").join(classes.filter(~large), key)
+    return of_docs.join(hot, key).select(rest.columns).unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id, class_id (smallest id with the same fingerprint), class_size."""
     of_docs = materialize(fingerprints(docs))
@@ -159,7 +169,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = classes.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
     known = rooted.join(least, "root").select("print", "class_id", "class_size", "component_id")
-    return of_docs.join(known, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "class_id", "class_size")
+    return join_classes(of_docs, known, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "class_id", "class_size")
 
 
 def join_similar(prints: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -185,13 +195,14 @@ def join_similar(prints: np.ndarray, sets: list[np.ndarray], similarity: float =
 def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, key, class_id, component_id, component_key: groups of texts linked by a Jaccard similarity of their shingle sets.
 
-    component_id and component_key name one document of the group: its least by (doc_id, key), without null ids.
+    component_id and component_key name one document of the group: its least by (doc_id, key), those without an id last.
 
     Texts with equal shingle sets collapse into classes.  Classes that share one of ``BLOCKS`` MinHash values meet in a
     block (a pair at 0.8 misses all six with probability 0.2^6), where join_similar() puts them together.  A block of
     more than two tiles is dealt out by pairs of tiles, so every pair of a block is still met, in bounded memory; each
-    task returns one link for each class and never its pairs.  Sets travel as the low halves of their hashes, in which
-    two of 500 shingles agree by chance once in about 30,000 sets.
+    task returns one link for each class and never its pairs.  Similarity is computed on the low halves of the shingle
+    hashes: of two sets of 500 shingles, one pair of different shingles agrees by chance in one of 17,000 comparisons,
+    which moves the similarity by a thousandth.
     """
     odd = np.random.default_rng(7).integers(0, 1 << 63, BLOCKS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -229,10 +240,10 @@ def similar_documents(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarit
         return pa.table({"u": pa.array([p[0] for p in pairs], pa.binary()), "v": pa.array([p[1] for p in pairs], pa.binary())})
 
     found = dealt.groupBy("band", "value", "a", "b").applyInArrow(join_block, "u binary, v binary").distinct()
-    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
-    classes = of_docs.groupBy("set_id").agg(F.min(named).alias("least"))
+    named = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    classes = of_docs.groupBy("set_id").agg(F.min(named).alias("least"), F.count("*").alias("class_size"))
     rooted = classes.join(components(found).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rooted = materialize(rooted)
     stands = rooted.groupBy("root").agg(F.min("least").alias("stands"))
-    known = rooted.join(stands, "root").select("set_id", F.col("least.doc_id").alias("class_id"), F.col("stands.doc_id").alias("component_id"), F.col("stands.key").alias("component_key"))
-    return of_docs.join(known, "set_id").select("doc_id", "key", "class_id", "component_id", "component_key")
+    known = rooted.join(stands, "root").select("set_id", "class_size", F.col("least.doc_id").alias("class_id"), F.col("stands.doc_id").alias("component_id"), F.col("stands.key").alias("component_key"))
+    return join_classes(of_docs, known, "set_id").select("doc_id", "key", "class_id", "component_id", "component_key")

@@ -40,43 +40,78 @@ def turns_of(text):
     return re.findall(r"<\|(system|user|assistant)\|>", text)
 
 
+def plain_repair(roles):
+    """(cost, actions, states) of the repair chosen by the stated order, by keeping whole histories compared from the latest turn."""
+    ways = {0: (0, (), ())}
+    for role in roles:
+        new = {}
+        for state, (cost, keys, done) in ways.items():
+            for c, pref, action, inserted, to in chat.MOVES[state, role]:
+                way = (cost + c, ((pref, state), *keys), (*done, (action, inserted, to)))
+                new[to] = min(new.get(to, way), way)
+        ways = new
+    end = min(ways, key=lambda s: (ways[s][0] + chat.closing(s)[0], ways[s][1], -s))
+    return ways[end][0] + chat.closing(end)[0], list(ways[end][2])
+
+
 def test_repair_is_cheapest_and_legal():
     r = random.Random(5)
     for _ in range(150):
         roles = [r.choice([0, 1, 2, 2, 3, 3]) for _ in range(r.randrange(6))]
-        k = r.randrange(len(roles) + 1)
-        states, cost = chat.path([chat.matrix(roles)])
-        assert cost == chat.path([chat.matrix(roles[:k]), chat.matrix(roles[k:])])[1] == cheapest(roles)
-        text, _, n = chat.render_turns(roles, [f"t{i}" for i in range(len(roles))], 0, states[-1], True)
+        states, cost, n = chat.path([chat.summary(roles)])
+        assert cost == cheapest(roles)
+        text, _, begun = chat.render_turns(roles, [f"t{i}" for i in range(len(roles))], 0, states[-1], True)
         seen = turns_of(text)
-        assert len(seen) == n
+        assert len(seen) == n == begun
         seen = seen[1:] if seen[:1] == ["system"] else seen
         assert seen == ["user", "assistant"] * (len(seen) // 2) and all(f"t{i}" in text for i in range(len(roles)))
 
 
+def test_ties_are_settled_alike_for_every_cut():
+    r = random.Random(8)
+    for _ in range(2000):
+        roles = [r.choice([0, 1, 2, 3]) for _ in range(r.randrange(1, 9))]
+        cost, chosen = plain_repair(roles)
+        assert chosen == chat.repair(roles, 0, chosen[-1][2])
+        edges = sorted({0, len(roles), *(r.randrange(len(roles) + 1) for _ in range(3))})  # no block is empty
+        cuts = [roles[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        states, least, _ = chat.path([chat.summary(c) for c in cuts])
+        assert least == cost and [x for k, c in enumerate(cuts) for x in chat.repair(c, states[k], states[k + 1])] == chosen
+
+
+def joined_parts(df):
+    out = {}
+    for x in sorted(df.collect(), key=lambda x: x.part):
+        whole = out.setdefault(x.conv_id, [x.cost, x.n_turns, x.n_repaired, "", "", 0])
+        assert whole[:3] == [x.cost, x.n_turns, x.n_repaired] and whole[5] == x.part
+        whole[3], whole[4], whole[5] = whole[3] + x.actions, whole[4] + x.rendered, whole[5] + 1
+        if whole[5] == x.n_parts:
+            assert whole[4].endswith(chat.CLOSE)
+    return {k: v[:5] for k, v in out.items()}
+
+
 def test_blocks_make_the_same_conversation(spark):
     r = random.Random(1)
     rows = [(c, t, r.choice(["user", "assistant", "system", "tool"]), f"m{t}") for c in range(20) for t in range(r.randrange(1, 30))]
+    rows += [(None, 0, "user", "same")] * 300  # one conversation of equal rows
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole = {x.conv_id: x for x in chat.repair_conversations(df).collect()}
-    parts = {}
-    for x in sorted(chat.repair_conversations(df, block=4).collect(), key=lambda x: x.block):
-        parts.setdefault(x.conv_id, []).append(x)
-    for c, x in whole.items():
-        assert {y.cost for y in parts[c]} == {x.cost} and sum(y.n_turns for y in parts[c]) == x.n_turns
-        seen = turns_of("".join(y.rendered for y in parts[c]))
-        seen = seen[1:] if seen[:1] == ["system"] else seen
-        assert seen == ["user", "assistant"] * (len(seen) // 2)
+    whole = joined_parts(chat.repair_conversations(df))
+    for block, size in ((4, 1 << 20), (1, 1 << 20), (1000, 7)):
+        assert joined_parts(chat.repair_conversations(df, block, size)) == whole
+    for c, (cost, n_turns, n, actions, text) in whole.items():
+        roles = [chat._role(x[2]) for x in sorted((x for x in rows if x[0] == c), key=lambda x: x[1])]
+        least, chosen = plain_repair(roles)
+        assert (cost, n_turns) == (least, len(roles)) and len(turns_of(text)) == n
+        assert actions.split(",")[: len(roles)] == ["+".join([*("insert " + chat.ROLES[s - 1] for s in ins), a]) for a, ins, _ in chosen]
 
 
 def test_chat_odd(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", None), (None, 0, "user", "x"), (None, 1, None, ""), (2, 5, "bot", "z" * 200_000), (3, 0, "system", "s")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, block int")
-    got = {}
-    for x in chat.repair_conversations(df).collect():
-        got.setdefault(x.conv_id, []).append(x)
-    assert set(got) == {1, 2, 3, None} and sum(x.n_turns for v in got.values() for x in v) == len(rows)
-    assert got[2][0].actions == "relabel,insert assistant" and turns_of(got[3][0].rendered) == ["system", "user", "assistant"] or got[3][0].cost > 0
+    df = spark.createDataFrame([(*r, 1, "p") for r in rows], "conv_id long, turn long, role string, text string, part int, actions string")
+    got = joined_parts(chat.repair_conversations(df))
+    assert set(got) == {1, 2, 3, None} and sum(v[1] for v in got.values()) == len(rows)
+    assert got[2][3] == "relabel,insert assistant" and turns_of(got[2][4]) == ["user", "assistant"]
+    assert got[3][0] == 5 and turns_of(got[3][4]) == ["user", "assistant"]  # relabelling is cheaper than two insertions
     assert chat.repair_conversations(df.limit(0)).count() == 0
 
 
@@ -97,7 +132,31 @@ def test_neighbours_recall_and_exact_scores(spark):
         assert [r.rank for r in found] == list(range(1, 21)) and all(abs(score[ids == r.vec_id][0] - r.score) < 1e-12 for r in found)
         assert [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
         hits, n = hits + len(set(best) & {r.vec_id for r in found}), n + 20
-    assert hits / n >= 0.9
+    assert hits / n >= 0.99
+
+
+def plain_neighbours(rows, k=20, measure="ip"):
+    """Every row against all others, one row that equals the query left out."""
+    out = set()
+    for q, v in sorted({(i, tuple(x)) for i, x in rows if i % 20 == 0}):
+        rest = list(rows)
+        rest.remove((q, list(v)))
+        near = [sum(a * b for a, b in zip(x, v, strict=True)) if measure == "ip" else -sum((a - b) ** 2 for a, b in zip(x, v, strict=True)) for _, x in rest]
+        best = sorted((-s, i) for s, (i, _) in zip(near, rest, strict=True))[:k]
+        out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+    return out
+
+
+def test_neighbours_of_repeated_rows(spark):
+    r = random.Random(3)
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(4)]) for i in range(1, 120)]
+    rows = [(i, x if any(x) else [1.0] * 4) for i, x in rows]
+    rows += [rows[4]] * 3 + [rows[19]] * 2 + [(20, [2.0, 1.0, 0.0, 0.0])] + [(200 + i, rows[7][1]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for measure in ("ip", "l2"):
+        for blocks in ({}, {"query_block": 2, "row_block": 16}):
+            got = [tuple(x) for x in additive.nearest(df, F.col("vec_id") % 20 == 0, measure=measure, margin=9, **blocks).collect()]
+            assert set(got) == plain_neighbours(rows, measure=measure)
 
 
 def test_neighbours_odd(spark):
@@ -116,8 +175,9 @@ def test_codes_by_beam_search_beat_greedy_ones():
     books = additive.fit(x, codebooks=4, codewords=16)
     error = []
     for beam in (1, 8):
-        codes, norms = additive.encode(x, books, beam)
+        codes, norms, remainders = additive.encode(x, books, beam)
         approx = sum(b[codes[:, m]] for m, b in enumerate(books))
+        assert np.allclose(remainders, np.sqrt(((x - approx) ** 2).sum(1)), rtol=1e-4)
         assert np.allclose(norms, (approx**2).sum(1), rtol=1e-4)
         error.append(((x - approx) ** 2).sum())
     assert error[1] < error[0]
@@ -147,7 +207,7 @@ def test_pipeline_odd(spark, sf_dir):
     lines = corpus_pipeline.dedup_lines(spark, docs.filter("text is not null"), sf_dir).collect()
     assert {r.doc_id: r.text for r in lines if r.doc_id == 6} == {6: "more words"}
     groups = corpus_pipeline.dedup_documents(spark, docs, sf_dir)
-    assert sorted((r.doc_id or -1) for r in groups.collect()) == [-1, 1, 3, 5, 6] or groups.count() <= 6
+    assert sorted((r.doc_id or -1) for r in groups.collect()) == [-1, 1, 3, 5]  # 2 is empty like 1; 6 shares over four fifths with 3
     assert corpus_pipeline.pack(spark, docs.limit(0), sf_dir).count() == 0
     assert P.path("word_bpe_49k.json")
 
@@ -161,5 +221,23 @@ def test_one_document_of_a_group_stays(spark, sf_dir):
     key = {r.text: r.key for r in docs.select("text", corpus_pipeline.text_key(F.col("text")).alias("key")).collect()}
     stays = min(one, near, key=key.get)
     got = [(r.doc_id, r.text or "", r.source) for r in corpus_pipeline.dedup_documents(spark, docs, sf_dir).collect()]
-    want = [(1, stays, "a"), (1, far, "c"), (4, "", "s"), (None, one, "a"), (None, one, "b")]
+    want = [(1, stays, "a"), (1, far, "c"), (4, "", "s")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+CLASH = ["score", "lang_pred", "label_share", "n_deleted", "deleted", "n_lines", "gone", "rest", "key", "salt", "json", "stays", "row", "print", "component_id", "runs", "windows"]
+
+
+def test_stages_with_clashing_columns_and_no_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASH])
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns
+        plain = {tuple(r) for r in stage(spark, docs, sf_dir).collect()}
+        rows = got.collect()
+        assert {tuple(r)[: len(docs.columns)] for r in rows} == plain
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASH)
+        none = stage(spark, docs.limit(0), sf_dir)
+        assert none.columns == docs.columns and none.count() == 0
+    assert corpus_pipeline.STAGES[3][1](spark, wide, sf_dir).count() >= docs.count()

@@ -114,7 +114,7 @@ def test_line_dedup_against_all_runs(spark):
 def test_line_dedup_odd(odd, empty):
     rows = line_dedup.dedup_lines(odd, 5).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ODD)
-    assert odd.columns == [c for c in rows[0].__fields__ if c not in ("n_lines", "n_deleted", "deleted")] or set(odd.columns) < set(rows[0].__fields__)
+    assert rows[0].__fields__ == [*odd.columns, "n_lines", "n_deleted", "deleted"]
     by_id = {r.doc_id: r for r in rows if r.doc_id is not None}
     assert by_id[1].text is None and by_id[1].n_lines == 0 and by_id[2].n_lines == 1
     assert by_id[4].text == "" and by_id[6].n_deleted == 1  # the null id comes first and keeps its line
@@ -122,6 +122,36 @@ def test_line_dedup_odd(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_very_many_blank_lines():
+    import time
+
+    words = b"w " * 30
+    lines = [words, *[b""] * 200_000, words, *[b""] * 200_000, words]
+    n_words = np.array([len(x.split()) for x in lines])
+    began = time.perf_counter()
+    found = line_dedup.line_windows(n_words, 50).tolist()
+    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
+    chosen, wholes = line_dedup.select_minima(hashes, found), line_dedup.run_hashes(hashes, found)
+    assert len(found) == len(chosen) == len(wholes) > 200_000 and len(set(wholes)) > 100_000
+    assert time.perf_counter() - began < 30
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=25), st.integers(1, 9))
+def test_minima_and_run_hashes(n_words, least):
+    hashes = [17 * n % 5 for n in n_words]
+    found = line_dedup.line_windows(np.array(n_words), least).tolist()
+    every = [(a, b) for a in range(len(n_words)) for b in range(a, len(n_words)) if sum(n_words[a : b + 1]) >= least]
+    shortest = {(a, min(b for x, b in every if x == a)) for a, _ in every} | {(max(a for a, x in every if x == b), b) for _, b in every}
+    assert set(map(tuple, found)) == shortest
+    for (a, b), p in zip(found, line_dedup.select_minima(hashes, found), strict=True):
+        assert p == max(k for k in range(a, b + 1) if hashes[k] == min(hashes[a : b + 1]))
+    wholes = line_dedup.run_hashes(hashes, found)
+    for (a, b), x in zip(found, wholes, strict=True):
+        for (c, d), y in zip(found, wholes, strict=True):
+            assert (x == y) == (hashes[a : b + 1] == hashes[c : d + 1])
+
+
 # --- token counts ------------------------------------------------------------------------------------------------
 
 
@@ -374,6 +404,15 @@ def test_language_accuracy_and_odd_input(spark, odd, empty):
     assert {r.lang_pred for r in lang_id.predict(odd, lang_id.fit(empty)).collect()} == {"und"}
 
 
+def test_letters_are_category_l():
+    import sys
+    import unicodedata
+
+    for c in map(chr, range(sys.maxunicode + 1)):
+        assert lang_id.has_letter(c) == (unicodedata.category(c)[0] == "L")
+    assert not lang_id.has_letter("\u00bd \u00b2 \u2460 12 \u2163 !") and not lang_id.has_letter(None) and not lang_id.has_letter("")
+
+
 # --- byte-level BPE ----------------------------------------------------------------------------------------------
 
 
