@@ -13,44 +13,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.llm import lang_id, line_dedup, packing, simhash
-from tagmill.llm.common import materialize, read, text_key
+from tagmill.llm.common import boxed, materialize, read, text_key, unboxed
 
 #: A text whose pooled language probability is below this is in no language that was learned.
 MIN_SCORE = 0.4
+#: Places over which rows that are repeated very often are spread.
+SALTS = 8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language and writes it to lang; null and letterless texts and doubtful ones go."""
-    found = lang_id.predict(docs, lang_id.fit(docs))
+    found = lang_id.predict(boxed(docs), lang_id.fit(docs))
     kept = found.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    return unboxed(kept, docs.columns, lang=F.col("lang_pred"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes runs of lines with 50 words or more that occur earlier; a document without any word left goes."""
-    cleaned = line_dedup.dedup_lines(docs)
+    cleaned = line_dedup.dedup_lines(boxed(docs))
     kept = cleaned.filter((F.col("n_deleted") == 0) | F.col("text").rlike("\\S"))
-    return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+    return unboxed(kept, docs.columns, n_chars=F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document that is least by id, then text key, stays, once; those without an id stay.
+    """Of each group of near-duplicates the document that is least by id, then text key, stays, once; those without an id come last.
 
-    Documents are told apart by id and text, so of two texts with one id each stays or goes by its own group.  Of rows
-    equal in both, the one least in its other columns stays; of rows without an id, each that differs in any column.
+    Documents are told apart by id and text (a null text counts as empty), so two texts with one id are two documents.
+    Of rows equal in both, the one least in its other columns, written as JSON, stays.
     """
-    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        # Moves every text, so only where an id occurs twice. A null text counts as empty, as in text_key().
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        row = F.struct("doc_id", *rest, F.col("text").isNull().alias("_null"))
-        named = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).agg(F.min(row).alias("_row"))
-        named = named.select("_row.*", "_text").withColumn("text", F.when(~F.col("_null"), F.col("_text"))).select(docs.columns)
-        docs = named.unionByName(docs.filter("doc_id is null").dropDuplicates(docs.columns))
     groups = simhash.similar_documents(docs)
-    others = F.col("doc_id").isNotNull() & ((F.col("doc_id") != F.col("component_id")) | (F.col("key") != F.col("component_key")))
-    gone = groups.filter(others).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    same = (F.col("doc_id") == F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti").select(docs.columns)
+    least = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    seen = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.bool_or(least).alias("stays"))
+    # Only what goes and what is repeated; salted, as one row may be repeated very often.
+    ruled = seen.filter(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("ruled_id"), F.col("key").alias("ruled_key"), "stays")
+    ruled = ruled.withColumn("ruled_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    here = boxed(docs).withColumn("key", text_key(F.col("text"))).withColumn("json", F.to_json("rest"))
+    here = here.withColumn("salt", F.pmod(F.xxhash64("json"), F.lit(SALTS)).cast("int"))
+    same = F.col("doc_id").eqNullSafe(F.col("ruled_id")) & (F.col("key") == F.col("ruled_key")) & (F.col("salt") == F.col("ruled_salt"))
+    joined = here.join(ruled.hint("shuffle_hash"), same, "left")
+    once = joined.filter("stays is null").select("text", "rest")
+    row = F.min_by(F.struct("text", "rest"), F.struct(F.col("text").isNull().alias("null"), "json"))
+    repeated = joined.filter("stays").groupBy("doc_id", "key").agg(row.alias("row")).select("row.text", "row.rest")
+    return unboxed(once.unionByName(repeated), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
