@@ -25,8 +25,8 @@ PROFILE = ("product_name", "price_default", "price_card", "barcode", "discount_a
 ISSUES = ("QR_MISSING", "PRICE_NOT_FOUND", "LOW_CONFIDENCE", "OCR_INCOMPLETE")
 
 
-def result_rows(parsed: DataFrame) -> DataFrame:
-    """Render parsed columns (text; any may be missing) as the result table."""
+def result_rows(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Render parsed columns (text; any may be missing) as the result table, with the columns `keep` before it."""
 
     def cell(name: str) -> Column:
         if name in ALWAYS_ABSENT:
@@ -37,7 +37,7 @@ def result_rows(parsed: DataFrame) -> DataFrame:
             return csv_price(F.col(name), scale=name in SCALED)
         return or_absent(F.col(name)) if name == "discount_amount" else or_empty(F.col(name))
 
-    return parsed.select(*[cell(c).alias(c) for c in COLUMNS])
+    return parsed.select(*(keep or []), *[cell(c).alias(c) for c in COLUMNS])
 
 
 def fill_profile() -> list[Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.sources.scratch import discard, materialize
+
 
 def last_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row a key, the last by order: a map-side maximum, so a hot key meets as few rows as there are tasks."""
@@ -12,16 +14,36 @@ def last_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("row")).select(*key, "row.*")
 
 
+def within(a: DataFrame, b: DataFrame, scope: str, center: tuple[str, str], radius: int) -> DataFrame:
+    """Pairs of rows of a scope that lie in one or neighbouring cells of a grid as wide as the radius: all within it, and some more.
+
+    The columns of a and b must differ, but for scope; `center` names the integer columns of a's and b's places.
+    """
+    at = lambda c: F.floor(F.col(c) / radius).cast("long")
+    (ax, ay), (bx, by) = ([f"{side}_{c}" for c in center] for side in "ab")
+    near = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.struct((at(ax) + k % 3 - 1).alias("_x"), (at(ay) + F.floor(k / 3) - 1).alias("_y")))
+    return a.select("*", F.inline(near)).join(b.withColumn("_x", at(bx)).withColumn("_y", at(by)), [scope, "_x", "_y"]).drop("_x", "_y")
+
+
 def one_to_one(edges: DataFrame, group: list[str], left: str, right: str, distance: str) -> DataFrame:
     """Greedy matching in a group: edges by (distance, left, right), each side used once.
 
-    Folded inside the JVM; a group is the candidate pairs of one image, which its boxes bound.
+    In each round all edges that are the least of both their sides are taken, which greedy order would take too, and
+    their sides leave; every group has such an edge, so the rounds end.  Nothing gathers a group.
     """
-    item = F.struct(F.col(distance).alias("d"), F.col(left).alias("l"), F.col(right).alias("r"))
-    sorted_edges = edges.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("edges"))
-    empty = F.filter("edges", lambda _: F.lit(False))
-    taken = F.aggregate("edges", empty, lambda acc, x: F.when(F.exists(acc, lambda k: (k["l"] == x["l"]) | (k["r"] == x["r"])), acc).otherwise(F.array_append(acc, x)))
-    return sorted_edges.select(*group, F.explode(taken).alias("m")).select(*group, F.col("m.l").alias(left), F.col("m.r").alias(right), F.col("m.d").alias(distance))
+    cost = F.struct(distance, left, right)
+    now, taken = materialize(edges.select(*group, left, right, distance).distinct()), None
+    while True:
+        first = [now.groupBy(*group, side).agg(F.min(cost).alias("least")).select(*group, "least.*") for side in (left, right)]
+        new = materialize(first[0].join(first[1], [*group, distance, left, right]))
+        if new.isEmpty():
+            discard(now)
+            break
+        rest = now.join(new.select(*group, left), [*group, left], "left_anti").join(new.select(*group, right), [*group, right], "left_anti")
+        rest = materialize(rest)
+        discard(now)
+        now, taken = rest, new if taken is None else taken.unionByName(new)
+    return (new if taken is None else taken).select(*group, left, right, distance)
 
 
 def nearest(edges: DataFrame, key: list[str], score: list[Column], keep: list[str]) -> DataFrame:

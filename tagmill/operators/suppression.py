@@ -2,19 +2,25 @@
 
 Greedy rules depend on an order, so each takes its order columns and expects
 them to be total.  A group (one image, one frame, one video) is folded inside
-the JVM over its sorted array; groups are bounded by what one detector run or
-one recording yields, never by the corpus.
+the JVM over its sorted array, and the identities of a recording grow in one
+Arrow group; groups are bounded by what one detector run or one recording
+yields, never by the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from difflib import SequenceMatcher
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.functions.coerce import clean
 from tagmill.functions.geometry import Box, doubled_center_distance_squared, iou_at_least
-from tagmill.operators.graph import components
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -47,22 +53,34 @@ def precluster(df: DataFrame, group: list[str], frame: str, order: list[Column],
     """Best row of each run of overlapping rows over neighbouring frames.
 
     A row joins the first cluster, by creation, seen at most `gap` frames before it whose best row it overlaps; a best
-    row gives way only to a strictly higher `better`.
+    row gives way only to a strictly higher `better`.  A recording is cut where no row follows for more than `gap`
+    frames, as no cluster reaches over; inside a piece a row is tested against the clusters that it can still join.
     """
+    before = F.lag(frame).over(Window.partitionBy(*group).orderBy(frame))
+    begins = F.when(F.col(frame) - before <= gap, 0).otherwise(1)
+    pieces = df.withColumn("_begins", begins).withColumn("_piece", F.sum("_begins").over(Window.partitionBy(*group).orderBy(frame).rangeBetween(Window.unboundedPreceding, 0)))
     rows = F.transform("rows", lambda r: F.struct(r[frame].alias("last"), r.alias("best")))
+    none = F.filter(rows, lambda _: F.lit(False))
 
     def step(acc: Column, x: Column) -> Column:
+        def old(c: Column) -> Column:
+            return x["last"] - c["last"] > gap
+
         def fits(c: Column) -> Column:
-            return (x["last"] - c["last"] <= gap) & iou_at_least(Box.of(c["best"]), Box.of(x["best"]), numerator, denominator)
+            return iou_at_least(Box.of(c["best"]), Box.of(x["best"]), numerator, denominator)
 
         def update(c: Column) -> Column:
             return F.struct(x["last"].alias("last"), F.when(x["best"][better] > c["best"][better], x["best"]).otherwise(c["best"]).alias("best"))
 
-        at = F.array_position(F.transform(acc, fits), True)
-        return _let(at, lambda ix: F.when(ix == 0, F.array_append(acc, x)).otherwise(F.transform(acc, lambda c, i: F.when(i == ix - 1, update(c)).otherwise(c))))
+        def add(seen: Column) -> Column:
+            at = F.array_position(F.transform(seen, fits), True)
+            return _let(at, lambda ix: F.when(ix == 0, F.array_append(seen, x)).otherwise(F.transform(seen, lambda c, i: F.when(i == ix - 1, update(c)).otherwise(c))))
 
-    clusters = F.aggregate(rows, F.filter(rows, lambda _: F.lit(False)), step)
-    return _sorted_groups(df, group, order, fields).select(*group, F.explode(clusters).alias("c")).select(*group, "c.best.*")
+        over = F.when(F.exists(acc["open"], old), F.concat(acc["over"], F.filter(acc["open"], old))).otherwise(acc["over"])
+        return F.struct(_let(F.filter(acc["open"], lambda c: ~old(c)), add).alias("open"), over.alias("over"))
+
+    clusters = F.aggregate(rows, F.struct(none.alias("open"), none.alias("over")), step, lambda acc: F.concat(acc["over"], acc["open"]))
+    return _sorted_groups(pieces, [*group, "_piece"], order, fields).select(*group, F.explode(clusters).alias("c")).select(*group, "c.best.*")
 
 
 def in_frame(df: DataFrame, group: list[str], order: list[Column], fields: list[str], quality: str, radius: int = 8, numerator: int = 9, denominator: int = 20) -> DataFrame:
@@ -84,27 +102,119 @@ def in_frame(df: DataFrame, group: list[str], order: list[Column], fields: list[
     return _sorted_groups(df, group, order, fields).select(*group, F.explode(clusters).alias("c")).select(*group, "c.best.*")
 
 
-def identity_links(df: DataFrame, scope: str, row: str, barcode: str, numerator: int = 9, denominator: int = 20, cell: int = 512) -> DataFrame:
-    """Links u, v of rows that are one thing: equal barcodes of 8 digits or more, or overlap at the IoU.
+@dataclass
+class Tags:
+    """The rows of one recording, in input order, as arrays; text cells as the number of their value, -1 for none."""
+
+    x1: np.ndarray
+    y1: np.ndarray
+    x2: np.ndarray
+    y2: np.ndarray
+    barcode: np.ndarray
+    default: np.ndarray
+    card: np.ndarray
+    bare: np.ndarray  # without a barcode
+    names: list[str]
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Tags:
+        text = lambda c: [x or "" for x in rows.column(c).to_pylist()]
+
+        def numbered(values: list[str], least: int) -> np.ndarray:
+            seen: dict[str, int] = {}
+            return np.array([seen.setdefault(v, len(seen)) if len(v) >= least else -1 for v in values], np.int64)
+
+        codes = text("_barcode")
+        return cls(*(rows.column(c).to_numpy() for c in BOX), numbered(codes, 8), numbered(text("_price_default"), 1), numbered(text("_price_card"), 1), np.array([c == "" for c in codes], bool), text("_product_name"))
+
+    def same_as(self, k: int, numerator: int, denominator: int, spatial: int) -> np.ndarray:
+        """Which rows are one thing with row k: equal barcode of 8 digits or more, overlap at the IoU, or (with `spatial`)
+        centers that near, an equal price, and names alike or no barcodes."""
+        x1, y1, x2, y2 = self.x1[k], self.y1[k], self.x2[k], self.y2[k]
+        wide = np.minimum(self.x2, x2) - np.maximum(self.x1, x1)
+        high = np.minimum(self.y2, y2) - np.maximum(self.y1, y1)
+        inter = wide * high
+        union = (self.x2 - self.x1) * (self.y2 - self.y1) + ((x2 - x1) * (y2 - y1) - inter)
+        same = (wide > 0) & (high > 0) & (denominator * inter >= numerator * union)
+        if self.barcode[k] >= 0:
+            same |= self.barcode == self.barcode[k]
+        if spatial > 0:
+            price = np.zeros(len(same), bool)
+            for column in (self.default, self.card):
+                if column[k] >= 0:
+                    price |= column == column[k]
+            price &= ~same
+            rows = np.nonzero(price)[0]
+            if len(rows):
+                apart = (self.x1[rows] + self.x2[rows] - (x1 + x2)) ** 2 + (self.y1[rows] + self.y2[rows] - (y1 + y2)) ** 2
+                for i in rows[apart <= 4 * spatial * spatial].tolist():
+                    same[i] = (self.bare[i] and self.bare[k]) or alike(self.names[i], self.names[k])
+        return same
+
+
+@lru_cache(1 << 16)
+def alike(a: str, b: str) -> bool:
+    """Names of a similarity of 0.35 or more; a blank one is like none."""
+    return bool(a and b) and SequenceMatcher(None, a, b).ratio() >= 0.35
+
+
+def grow_identities(tags: Tags, quality: np.ndarray, numerator: int, denominator: int, spatial: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the first row of its identity; and which rows are their identity's best, the first to join among equals.
+
+    An identity grows from the first row left by passes over the rest in order; a row joins if it is one thing with any
+    row that has joined before it.  Time is the square of a recording's rows, in arrays; memory is in proportion to them.
+    """
+    n = len(quality)
+    of, best = np.full(n, -1), np.zeros(n, bool)
+    free = np.ones(n, bool)
+    for seed in range(n):
+        if not free[seed]:
+            continue
+        of[seed], free[seed], joined = seed, False, [seed]
+        hit = tags.same_as(seed, numerator, denominator, spatial) & free
+        begin, grown = seed + 1, False
+        while True:
+            at = begin + int(hit[begin:].argmax()) if begin < n else n
+            if at < n and hit[at]:
+                of[at], free[at], hit[at] = seed, False, False
+                joined.append(at)
+                hit |= tags.same_as(at, numerator, denominator, spatial) & free
+                begin, grown = at + 1, True
+            elif grown:
+                begin, grown = seed + 1, False
+            else:
+                break
+        best[joined[int(np.argmax(quality[joined]))]] = True
+    return of, best
+
+
+def identities(df: DataFrame, scope: list[str], order: list[str], quality: str, numerator: int = 9, denominator: int = 20, spatial: int = 0) -> DataFrame:
+    """df with identity (place, in input order, of the first row of the thing, counted in its recording) and best.
+
+    Rows are text cells barcode, price_default, price_card, product_name (compared trimmed and in lower case) and box
+    columns; `scope` names a recording, `order` the input order in it.  Identities reach over all of a recording, so a
+    recording is one group.
+    """
+    cells = ("barcode", "price_default", "price_card", "product_name")
+    given = df.select("*", *[clean(F.col(c)).alias(f"_{c}") for c in cells])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", identity int, best boolean"
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        of, best = grow_identities(Tags.of(rows), rows.column(quality).to_numpy(), numerator, denominator, spatial)
+        return rows.drop_columns([f"_{c}" for c in cells]).append_column("identity", pa.array(of, pa.int32())).append_column("best", pa.array(best))
+
+    return given.groupBy(*scope).applyInArrow(run, ddl)
+
+
+def dedupe(df: DataFrame, scope: list[str], frame: str, order: list[str], quality: str, spatial: int = 0) -> DataFrame:
+    """The best row of each thing in a recording: first among the rows of a frame, then over all frames.
 
-    Overlapping boxes share a cell of a grid, so pairs are met by cell within the scope (a video); rows of one barcode
-    hang on the least of them, so no barcode's pairs are listed.
+    A recording's rows come back together and in input order.
     """
-    coded = df.filter(F.length(barcode) >= 8).select(scope, barcode, row)
-    least = coded.groupBy(scope, barcode).agg(F.min(row).alias("v"))
-    by_code = coded.join(least, [scope, barcode]).select(F.col(row).alias("u"), "v").filter("u <> v")
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("int"), F.floor(F.col(b) / cell).cast("int"))
-    placed = df.withColumn("_cx", F.explode(cells("x1", "x2"))).withColumn("_cy", F.explode(cells("y1", "y2")))
-    a, b = placed.alias("a"), placed.alias("b")
-    met = a.join(b, (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy")) & (F.col(f"a.{row}") > F.col(f"b.{row}")))
-    test = iou_at_least(Box.columns("a."), Box.columns("b."), numerator, denominator)
-    return by_code.unionByName(met.filter(test).select(F.col(f"a.{row}").alias("u"), F.col(f"b.{row}").alias("v")))
-
-
-def identities(df: DataFrame, row: str, links: DataFrame) -> DataFrame:
-    """df with identity: the least row id of its connected component."""
-    joined = components(links).withColumnRenamed("node", row)
-    return df.join(joined, row, "left").withColumn("identity", F.coalesce("root", row)).drop("root")
+    fields = [c for c in df.columns if c not in (*scope, frame)]
+    kept = in_frame(df, [*scope, frame], [F.col(c) for c in order if c != frame], fields, quality)
+    return identities(kept, scope, order, quality, spatial=spatial).filter("best").drop("identity", "best")
 
 
 def best_by(df: DataFrame, group: list[str], score: list[Column]) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions import geometry as geo
 from tagmill.functions import prices
 from tagmill.functions.geometry import Box
 from tagmill.operators import contract, suppression
-from tagmill.plans.proxies import DET, FIELDS, GT, ID, OCR, VIDEO, det, gt, ocr, video
+from tagmill.plans.proxies import DET, FIELDS, GT, ID, OCR, VIDEO, det, gt, ocr, read, video
 from tagmill.plans.registry import query
 
 RANKED = "o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, line, part, supp) AS rn FROM {src})"
@@ -80,15 +80,16 @@ def dup_nms_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppression.nms(by_area, ["image_id"], order(), FIELDS, top=2).select(*ID, F.col("conf").alias("area"))
 
 
-def _sql_first_match(group: str, rank: str, fits: str, update: str, new: str, src: str) -> str:
-    """First matching cluster, by creation, takes a row; else a new one begins."""
+def _sql_first_match(group: str, rank: str, fits: str, update: str, new: str, src: str, names: str = "osf") -> str:
+    """First matching cluster, by creation, takes a row; else a new one begins. CTEs of ranked rows (aliased o), states (s) and results."""
+    ranked, states, out = names if isinstance(names, tuple) else tuple(names)
     at = f"list_position(list_transform(s.acc, lambda c: {fits}), true)"
-    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {rank}) AS rn FROM {src}),
-s AS (SELECT {group}, rn, [{new}] AS acc FROM o WHERE rn = 1
+    return f"""{ranked} AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {rank}) AS rn FROM {src}),
+{states} AS (SELECT {group}, rn, [{new}] AS acc FROM {ranked} o WHERE rn = 1
   UNION ALL SELECT {", ".join("o." + g for g in group.split(", "))}, o.rn, CASE WHEN coalesce({at}, 0) = 0 THEN list_append(s.acc, {new})
     ELSE list_transform(s.acc, lambda c, i: CASE WHEN i = {at} THEN {update} ELSE c END) END
-  FROM s JOIN o ON {" AND ".join(f"o.{g} = s.{g}" for g in group.split(", "))} AND o.rn = s.rn + 1),
-f AS (SELECT {group}, arg_max(acc, rn) AS acc FROM s GROUP BY {group})"""
+  FROM {states} s JOIN {ranked} o ON {" AND ".join(f"o.{g} = s.{g}" for g in group.split(", "))} AND o.rn = s.rn + 1),
+{out} AS (SELECT {group}, arg_max(acc, rn) AS acc FROM {states} GROUP BY {group})"""
 
 
 _B = "x1 := {t}.x1, y1 := {t}.y1, x2 := {t}.x2, y2 := {t}.y2, conf := {t}.conf, line := {t}.line, part := {t}.part, supp := {t}.supp"
@@ -116,33 +117,61 @@ def dup_inframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "line", "part", "supp", "conf")
 
 
-def _tagged(df: DataFrame) -> DataFrame:
-    """A unique row number and a barcode, shared by an image's rows of one part class, for one row in three."""
-    row = F.col("image_id") * 1_000_000_000 + F.col("line") * 100_000_000 + (F.col("part") * 131 + F.col("supp")) % 100_000_000
-    return df.withColumn("row", row).withColumn("barcode", F.when(F.col("part") % 3 == 0, F.concat(F.lit("46000000"), (F.col("part") % 50).cast("string"))).otherwise(F.lit("")))
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections as formatted rows of a recording: a unique row number, barcode, prices and name (each missing at times), quality."""
+    c = F.col
+    row = c("image_id") * 1_000_000_000 + c("line") * 100_000_000 + (c("part") * 131 + c("supp")) % 100_000_000
+    types = read(spark, sf_dir, "part").select(c("p_partkey").alias("part"), c("p_type").alias("type"))
+    return det(spark, sf_dir).join(types, "part").select(
+        "image_id", "line", "part", "supp", "x1", "y1", "x2", "y2", (c("image_id") % 2000).alias("video"), F.floor(c("image_id") / 2000).cast("long").alias("frame"), row.alias("row"),
+        F.when(c("part") % 3 == 0, F.concat(F.lit("46000000"), (c("part") % 50).cast("string"))).when(c("part") % 3 == 1, "4600").otherwise("").alias("barcode"),
+        F.when(c("part") % 4 == 0, "").otherwise(F.concat((c("part") % 20).cast("string"), F.lit(",00"))).alias("price_default"),
+        F.when(c("part") % 5 == 0, " ").otherwise(F.concat((c("supp") % 20).cast("string"), F.lit(",50"))).alias("price_card"),
+        F.when(c("part") % 7 == 0, "").otherwise(c("type")).alias("product_name"), (c("conf") * 10_000_000_000 + row % 10_000_000_000).alias("quality"),
+    )
+
+
+# Types are less alike than 0.35 unless equal, so equality stands for the similarity of names.
+_TAG = """tagged AS (SELECT image_id, line, part, supp, x1, y1, x2, y2, image_id % 2000 AS video, image_id // 2000 AS frame, image_id * 1000000000 + line * 100000000 + (part * 131 + supp) % 100000000 AS row,
+ CASE WHEN part % 3 = 0 THEN '46000000' || (part % 50)::VARCHAR WHEN part % 3 = 1 THEN '4600' ELSE '' END AS barcode, CASE WHEN part % 4 = 0 THEN '' ELSE (part % 20)::VARCHAR || ',00' END AS price_default,
+ CASE WHEN part % 5 = 0 THEN '' ELSE (supp % 20)::VARCHAR || ',50' END AS price_card, CASE WHEN part % 7 = 0 THEN '' ELSE p_type END AS product_name,
+ conf * 10000000000 + (image_id * 1000000000 + line * 100000000 + (part * 131 + supp) % 100000000) % 10000000000 AS quality FROM det JOIN part ON p_partkey = part)"""
 
 
-_TAG = "tagged AS (SELECT *, image_id * 1000000000 + line * 100000000 + (part * 131 + supp) % 100000000 AS row, CASE WHEN part % 3 = 0 THEN '46000000' || (part % 50)::VARCHAR ELSE '' END AS barcode, image_id % 2000 AS video FROM det)"
-_LINKS = f"""p AS (SELECT a.row AS u, b.row AS v FROM tagged a JOIN tagged b ON a.video = b.video AND a.row <> b.row AND ((a.barcode = b.barcode AND length(a.barcode) >= 8) OR {sql_iou('a', 'b', 9, 20)})),
-reach AS (SELECT row AS u, row AS v FROM tagged UNION SELECT r.u, p.v FROM reach r JOIN p ON p.u = r.v),
-ident AS (SELECT u AS row, min(v) AS identity FROM reach GROUP BY u)"""
+def _sql_identities(src: str, scope: str, row: str, spatial: int) -> str:
+    """CTE ident: the least row of all that are reached over equal barcodes, overlaps, or near centers with equal prices."""
+    apart = "((a.x1 + a.x2 - b.x1 - b.x2) * (a.x1 + a.x2 - b.x1 - b.x2) + (a.y1 + a.y2 - b.y1 - b.y2) * (a.y1 + a.y2 - b.y1 - b.y2))"
+    prices_agree = "((a.price_default <> '' AND a.price_default = b.price_default) OR (a.price_card <> '' AND a.price_card = b.price_card))"
+    near = f"({apart} <= {4 * spatial * spatial} AND {prices_agree} AND ((a.product_name <> '' AND a.product_name = b.product_name) OR (a.barcode = '' AND b.barcode = '')))"
+    return f"""p AS (SELECT a.{row} AS u, b.{row} AS v FROM {src} a JOIN {src} b ON a.{scope} = b.{scope} AND a.{row} <> b.{row} AND ((a.barcode = b.barcode AND length(a.barcode) >= 8) OR {sql_iou('a', 'b', 9, 20)} OR {near if spatial else 'false'})),
+reach AS (SELECT {row} AS u, {row} AS v FROM {src} UNION SELECT r.u, p.v FROM reach r JOIN p ON p.u = r.v),
+ident AS (SELECT u AS {row}, min(v) AS identity FROM reach GROUP BY u)"""
 
 
-@query(f"WITH RECURSIVE {DET}, {_TAG}, {_LINKS} SELECT t.image_id, t.row, i.identity FROM tagged t JOIN ident i USING (row)")
+@query(f"WITH RECURSIVE {DET}, {_TAG}, {_sql_identities('tagged', 'video', 'row', 40)} SELECT t.image_id, t.row, i.identity FROM tagged t JOIN ident i USING (row)")
 def dup_identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DUP06, DUP07: transitive identity by barcode or overlap in a video."""
-    df = _tagged(det(spark, sf_dir)).withColumn("video", F.col("image_id") % 2000)
-    links = suppression.identity_links(df, "video", "row", "barcode")
-    return suppression.identities(df, "row", links).select("image_id", "row", "identity")
+    """DUP06, DUP07: transitive identity by barcode, overlap, or place and price, in a video."""
+    found = suppression.identities(_tagged(spark, sf_dir), ["video"], ["row"], "quality", spatial=40)
+    first = F.min("row").over(Window.partitionBy("video", "identity"))
+    return found.select("image_id", "row", first.alias("identity"))
+
+
+_SEED_ROW = "struct_pack(x1 := o.x1, y1 := o.y1, x2 := o.x2, y2 := o.y2, best := struct_pack(row := o.row, quality := o.quality))"
+_TAKE_ROW = "struct_pack(x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2, best := CASE WHEN o.quality > c.best.quality THEN struct_pack(row := o.row, quality := o.quality) ELSE c.best END)"
 
 
-@query(f"""WITH RECURSIVE {DET}, {_TAG}, {_LINKS} SELECT i.identity, max(t.conf) AS conf, arg_max(t.row, (t.conf, -t.row)) AS row, count(*) AS n FROM tagged t JOIN ident i USING (row) GROUP BY i.identity""")
+def _full_sql() -> str:
+    near = "(c.x1 + c.x2 - o.x1 - o.x2) * (c.x1 + c.x2 - o.x1 - o.x2) + (c.y1 + c.y2 - o.y1 - o.y2) * (c.y1 + c.y2 - o.y1 - o.y2) <= 256"
+    in_frame = _sql_first_match("video, frame", "row", f"{sql_iou('c', 'o', 9, 20)} OR {near}", _TAKE_ROW, _SEED_ROW, "tagged")
+    winners = "w AS (SELECT t.* FROM tagged t JOIN (SELECT unnest(acc).best.row AS row FROM f) USING (row))"
+    return f"""WITH RECURSIVE {DET}, {_TAG}, {in_frame}, {winners}, {_sql_identities('w', 'video', 'row', 40)}
+SELECT video, arg_max(w.row, w.quality) AS row, max(w.quality) AS quality FROM w JOIN ident USING (row) GROUP BY video, identity"""
+
+
+@query(_full_sql())
 def dup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DUP08, ORD09: one row for each identity, the best, the earliest of equals."""
-    df = _tagged(det(spark, sf_dir)).withColumn("video", F.col("image_id") % 2000)
-    found = suppression.identities(df, "row", suppression.identity_links(df, "video", "row", "barcode"))
-    best = F.max_by(F.struct("conf", "row"), F.struct(F.col("conf"), -F.col("row")))
-    return found.groupBy("identity").agg(best.alias("b"), F.count("*").alias("n")).select("identity", F.col("b.conf").alias("conf"), F.col("b.row").alias("row"), "n")
+    """DUP08, ORD09: the best row of each thing, first in its frame, then over the recording; in input order."""
+    return suppression.dedupe(_tagged(spark, sf_dir), ["video"], "frame", ["row"], "quality", spatial=40).select("video", "row", "quality")
 
 
 @query(f"WITH {DET} SELECT part AS track, max(conf * ((x2-x1)*(y2-y1))) AS score, arg_max(image_id, (conf * ((x2-x1)*(y2-y1)), -image_id, -line, -supp)) AS image_id FROM det GROUP BY part")
@@ -203,41 +232,53 @@ def sql_row(columns: dict[str, str]) -> str:
     return ", ".join(f"{columns.get(c, repr(''))} AS {c}" for c in contract.COLUMNS)
 
 
-_PRICE = "CASE WHEN {c} < 5000 THEN {c} * 100 ELSE {c} END"
-_COMMA = "({v} // 100)::VARCHAR || ',' || lpad(({v} % 100)::VARCHAR, 2, '0')"
-_FLAGSHIP = {
-    "filename": "'video_' || (image_id % 1000)::VARCHAR || '.mp4'", "product_name": "trim(name)",
-    "price_default": _COMMA.format(v="default_cents"), "price_card": _COMMA.format(v="card_cents"), "price_discount": "'нет'",
-    "barcode": "code", "discount_amount": "CASE WHEN percent BETWEEN 5 AND 40 THEN '-' || percent::VARCHAR || '%' ELSE 'нет' END",
-    "additional_info": "'нет'", "special_symbols": "'нет'", "color": "CASE WHEN part % 2 = 0 THEN 'red' ELSE 'yellow' END",
-    "frame_timestamp": "((image_id // 1000) * 40)::VARCHAR", "x_min": "x1::VARCHAR", "y_min": "y1::VARCHAR", "x_max": "x2::VARCHAR", "y_max": "y2::VARCHAR",
-}
+_FLAT = {c: repr("") for c in contract.COLUMNS} | {c: repr(contract.ABSENT) for c in contract.ALWAYS_ABSENT}
 
 
 def _flagship_sql() -> str:
+    from tagmill.plans.labels import NAME_OF_LABEL, PARSED, PLAIN
     from tagmill.plans.proxies import EAN
 
-    return f"""WITH RECURSIVE {DET}, {RULES}, {sql_nms('r')}, n AS ({KEPT}), {OCR}, {EAN},
-j AS (SELECT n.*, ocr.* EXCLUDE (part), CASE WHEN n.part % 5 = 0 THEN '' ELSE ean.code END AS code FROM n JOIN ocr USING (part) JOIN ean ON ean.n = n.part),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, line, part, supp) AS best FROM j) WHERE best = 1)
-SELECT {sql_row(_FLAGSHIP)} FROM b"""
-
-
-@query(_flagship_sql())
+    shown = lambda c: f"coalesce((CASE WHEN {c} < 500000 THEN {c} ELSE {c} END // 100)::VARCHAR || ',' || lpad(({c} % 100)::VARCHAR, 2, '0'), '')"
+    scaled = lambda c: shown(f"(CASE WHEN {c} BETWEEN 1 AND 4999 THEN {c} * 100 ELSE {c} END)")
+    cells = _FLAT | {
+        "filename": "'video_' || video::VARCHAR || '.mp4'", "product_name": f"coalesce({NAME_OF_LABEL}, '')", "price_default": scaled("coalesce(final, card)"), "price_card": scaled("card"),
+        "barcode": "CASE WHEN part % 5 = 0 THEN '' ELSE code END", "discount_amount": "coalesce('-' || pct::VARCHAR || '%', 'нет')", "color": "CASE WHEN part % 2 = 0 THEN 'red' ELSE 'yellow' END",
+        "frame_timestamp": "(frame * 40)::VARCHAR", "x_min": "x1::VARCHAR", "y_min": "y1::VARCHAR", "x_max": "x2::VARCHAR", "y_max": "y2::VARCHAR",
+    }
+    quality = "conf * 1000000 + (80 * (barcode <> '')::BIGINT + 40 * (price_card <> '')::BIGINT + 40 * (price_default <> '')::BIGINT + 20 * (product_name <> '')::BIGINT + 15 * (discount_amount <> 'нет')::BIGINT + 5) * 1000000 + row % 1000000"
+    over_frames = _sql_first_match("video", "frame, conf DESC, line, part, supp", "o.frame - c.last <= 4 AND " + sql_iou("c", "o", 1, 4), _JOIN_CLUSTER, _NEW_CLUSTER, "vn", ("co", "cs", "cf"))
+    near = "(c.x1 + c.x2 - o.x1 - o.x2) * (c.x1 + c.x2 - o.x1 - o.x2) + (c.y1 + c.y2 - o.y1 - o.y2) * (c.y1 + c.y2 - o.y1 - o.y2) <= 256"
+    in_frame = _sql_first_match("video, frame", "row", f"{sql_iou('c', 'o', 9, 20)} OR {near}", _TAKE_ROW, _SEED_ROW, "q", ("fo", "fs", "ff"))
+    return f"""WITH RECURSIVE {DET}, {RULES}, {sql_nms('r')}, nk AS ({KEPT}), vn AS (SELECT *, image_id % 1000 AS video, image_id // 1000 AS frame FROM nk), {over_frames},
+best AS (SELECT video, c.* FROM (SELECT video, unnest(acc) AS c FROM cf)), {PARSED.replace('p_name', 'p_type')}, {EAN},
+j AS (SELECT best.* EXCLUDE (last), z.* EXCLUDE (part), ean.code, row_number() OVER (ORDER BY video, frame, conf DESC, line, part, supp) AS row FROM best JOIN z USING (part) JOIN ean ON ean.n = best.part),
+g AS (SELECT video, frame, row, conf, x1, y1, x2, y2, {sql_row(cells)} FROM j), q AS (SELECT *, {quality} AS quality FROM g), {in_frame},
+w AS (SELECT q.* FROM q JOIN (SELECT unnest(acc).best.row AS row FROM ff) USING (row)), {_sql_identities('w', 'video', 'row', 200)},
+k AS (SELECT arg_max(w.row, w.quality) AS row FROM w JOIN ident USING (row) GROUP BY identity)
+SELECT {', '.join(contract.COLUMNS)} FROM w JOIN k USING (row)"""
+
+
+@query(_flagship_sql)
 def flagship_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections to the result table: rules, suppression, label parsing, barcode, best row of an image, 29 columns."""
+    """Detections to the result table: rules, suppression, clusters over frames, parsed labels, 29 columns, full dedupe."""
     from tagmill.functions.barcodes import valid_ean13
     from tagmill.plans.proxies import ean
 
-    kept = suppression.nms(rules(det(spark, sf_dir)), ["image_id"], order(), FIELDS)
-    best = suppression.best_by(kept, ["image_id"], [F.col("conf"), -F.col("line"), -F.col("part"), -F.col("supp")])
-    labels = ocr(spark, sf_dir)
-    shown = F.when(F.col("percent").between(5, 40), F.concat(F.lit("-"), F.col("percent").cast("string"), F.lit("%"))).otherwise("")
+    kept = video(suppression.nms(rules(det(spark, sf_dir)), ["image_id"], order(), FIELDS))
+    best = suppression.precluster(kept, ["video"], "frame", [F.col("frame"), *order()], ["frame", *FIELDS], "conf", gap=4)
+    labels = ocr(spark, sf_dir, "p_type").select("part", prices.parse_text(F.col("text")).alias("p")).select("part", "p.*")
     code = ean(F.col("part"))
-    joined = best.join(labels, "part").select(
-        F.concat(F.lit("video_"), (F.col("image_id") % 1000).cast("string"), F.lit(".mp4")).alias("filename"), F.col("name").alias("product_name"),
-        prices.plain(F.col("default_cents")).alias("price_default"), prices.plain(F.col("card_cents")).alias("price_card"), F.when(valid_ean13(code), code).otherwise("").alias("barcode"), shown.alias("discount_amount"),
-        F.when(F.col("part") % 2 == 0, "red").otherwise("yellow").alias("color"), geo.frame_to_ms(F.floor(F.col("image_id") / 1000), F.lit(25)).cast("string").alias("frame_timestamp"),
+    parsed = best.join(labels, "part").select(
+        "video", "frame", "line", "part", "supp", "conf", "x1", "y1", "x2", "y2", (-F.col("conf")).alias("down"), "product_name", "price_default", "price_card", "discount_amount",
+        F.concat(F.lit("video_"), F.col("video").cast("string"), F.lit(".mp4")).alias("filename"), F.when(valid_ean13(code), code).otherwise("").alias("barcode"),
+        F.when(F.col("part") % 2 == 0, "red").otherwise("yellow").alias("color"), geo.frame_to_ms(F.col("frame"), F.lit(25)).cast("string").alias("frame_timestamp"),
         *[F.col(a).cast("string").alias(b) for a, b in zip(("x1", "y1", "x2", "y2"), ("x_min", "y_min", "x_max", "y_max"), strict=True)],
     )
-    return contract.result_rows(joined)
+    # What later steps compare are the rendered cells.
+    keys = ["video", "frame", "down", "line", "part", "supp", "conf", "x1", "y1", "x2", "y2"]
+    rows = contract.result_rows(parsed, keep=keys)
+    tenths = geo.row_quality_tenths(F.col("conf"), *[F.col(c) for c in ("barcode", "price_card", "price_default", "product_name", "discount_amount", "color")], contract.ABSENT)
+    kept_order = ["frame", "down", "line", "part", "supp"]
+    found = suppression.dedupe(rows.withColumn("quality", tenths), ["video"], "frame", kept_order, "quality", spatial=200)
+    return found.select(contract.COLUMNS)

@@ -82,7 +82,10 @@ _NAME = "list_aggregate(list_filter(list_transform(string_split(text, '|'), lamb
 _OK = "length(trim({x})) > 3 AND length(regexp_replace(translate(trim({x}), '" + prices.CONFUSED + "', '" + prices.MEANT + "'), '\\D', '', 'g')) * 2 < length(trim({x})) AND NOT regexp_matches(translate(trim({x}), '" + prices.CONFUSED + "', '" + prices.MEANT + "'), '^[\\d\\s.,\\-+%]+$')"
 
 
-@query(f"WITH {PARSED} SELECT part, coalesce({_NAME.format(ok=_OK.format(x='y'), okx=_OK.format(x='x'))}, '') AS product_name, coalesce({PLAIN.format(c='coalesce(final, card)')}, '') AS price_default, coalesce({PLAIN.format(c='card')}, '') AS price_card, coalesce('-' || pct::VARCHAR || '%', '') AS discount_amount, used AS price_default_inferred FROM z")
+NAME_OF_LABEL = _NAME.format(ok=_OK.format(x="y"), okx=_OK.format(x="x"))
+
+
+@query(f"WITH {PARSED} SELECT part, coalesce({NAME_OF_LABEL}, '') AS product_name, coalesce({PLAIN.format(c='coalesce(final, card)')}, '') AS price_default, coalesce({PLAIN.format(c='card')}, '') AS price_card, coalesce('-' || pct::VARCHAR || '%', '') AS discount_amount, used AS price_default_inferred FROM z")
 def str_parse_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR08 to STR10, STR17, STR39, STR42: a label's text to its fields."""
     return ocr(spark, sf_dir).select("part", prices.parse_text(F.col("text")).alias("p")).select("part", "p.*")

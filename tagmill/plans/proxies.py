@@ -56,15 +56,15 @@ def cents() -> Column:
     return F.round(F.col("p_retailprice") * 100).cast("long")
 
 
-def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ocr(spark: SparkSession, sf_dir: str, name: str = "p_name") -> DataFrame:
     """Recognised labels: 'NNN NN | NNN NN | -PP% | name', the card price a share of the default price."""
     default = cents()
     percent = F.col("p_partkey") % 45
     card = default - F.floor(default * percent / 100).cast("long")
     price = lambda c: F.concat(F.floor(c / 100).cast("string"), F.lit(" "), F.lpad((c % 100).cast("string"), 2, "0"))
     return read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("part"), default.alias("default_cents"), card.alias("card_cents"), percent.alias("percent"), F.col("p_name").alias("name"),
-        F.concat_ws(" | ", price(default), price(card), F.concat(F.lit("-"), percent.cast("string"), F.lit("%")), F.col("p_name")).alias("text"),
+        F.col("p_partkey").alias("part"), default.alias("default_cents"), card.alias("card_cents"), percent.alias("percent"), F.col(name).alias("name"),
+        F.concat_ws(" | ", price(default), price(card), F.concat(F.lit("-"), percent.cast("string"), F.lit("%")), F.col(name)).alias("text"),
     )
 
 

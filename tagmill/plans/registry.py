@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str | Callable[[], str]] = {}
 MODULES = ("detections", "labels", "tables", "rows", "jobs")
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name."""
 
     def register(f: Query) -> Query:
@@ -37,7 +37,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_SQL)
+    return {name: sql if isinstance(sql, str) else sql() for name, sql in _SQL.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,11 +64,13 @@ _EDGES = f"edges AS (SELECT a.image_id % 500 AS g, a.image_id * 10 + a.line AS l
 @query(f"WITH RECURSIVE {DET}, {GT}, {_EDGES}, o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d, l, r) AS rn FROM edges), s AS (SELECT g, rn, [struct_pack(l := l, r := r, d := d)] AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.g, o.rn, CASE WHEN len(list_filter(s.kept, lambda k: k.l = o.l OR k.r = o.r)) > 0 THEN s.kept ELSE list_append(s.kept, struct_pack(l := o.l, r := o.r, d := o.d)) END FROM s JOIN o ON o.g = s.g AND o.rn = s.rn + 1), f AS (SELECT g, arg_max(kept, rn) AS kept FROM s GROUP BY g) SELECT g, k.l, k.r, k.d FROM (SELECT g, unnest(kept) AS k FROM f)")
 def joi_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI04, GEO04, GEO05: greedy one-to-one matching by distance in a group."""
-    a = det(spark, sf_dir).withColumn("g", F.col("image_id") % 500).alias("a")
-    b = gt(spark, sf_dir).withColumn("g", F.col("image_id") % 500).alias("b")
-    near = a.join(b, "g").withColumn("d", _distance("a", "b")).filter("d <= 2000")
-    edges = near.groupBy("g", (F.col("a.image_id") * 10 + F.col("a.line")).alias("l"), F.col("b.image_id").alias("r")).agg(F.min("d").alias("d"))
-    return matching.one_to_one(edges, ["g"], "l", "r", "d")
+    c = F.col
+    side = lambda df, name, *keys: df.select((c("image_id") % 500).alias("g"), *keys, (c("x1") + c("x2")).alias(f"{name}_x"), (c("y1") + c("y2")).alias(f"{name}_y"))
+    a = side(det(spark, sf_dir), "a", (c("image_id") * 10 + c("line")).alias("l"))
+    b = side(gt(spark, sf_dir), "b", c("image_id").alias("r"))
+    d = (c("a_x") - c("b_x")) * (c("a_x") - c("b_x")) + (c("a_y") - c("b_y")) * (c("a_y") - c("b_y"))
+    near = matching.within(a, b, "g", ("x", "y"), 45).withColumn("d", d).filter("d <= 2000")
+    return matching.one_to_one(near.groupBy("g", "l", "r").agg(F.min("d").alias("d")), ["g"], "l", "r", "d")
 
 
 @query(f"WITH {DET}, {GT}, e AS (SELECT b.image_id, a.line, a.part, a.supp, a.conf - {DIST} AS score FROM gt b JOIN det a USING (image_id) WHERE {DIST} <= 90000), q AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, line, part, supp) AS rn FROM e) SELECT image_id, line, part, supp, score FROM q WHERE rn = 1")
@@ -78,11 +80,12 @@ def joi_best_per_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest(edges.select("image_id", "line", "part", "supp", "score"), ["image_id"], [-F.col("score"), F.col("line"), F.col("part"), F.col("supp")], ["line", "part", "supp", "score"])
 
 
-@query("SELECT o_orderkey AS image_id, unnest(range(greatest(o_orderkey - 2, 0), least(o_orderkey + 2, 10000) + 1)) AS near FROM orders WHERE o_orderkey <= 10000")
+@query("WITH f AS (SELECT o_orderkey AS image_id, o_orderkey % 1000 AS video, o_orderkey // 1000 AS frame FROM orders), l AS (SELECT video, max(frame) AS last FROM f GROUP BY video) SELECT image_id, video, unnest(range(greatest(frame - 2, 0), least(frame + 2, last) + 1)) AS near FROM f JOIN l USING (video)")
 def joi_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI09: each annotated frame with its neighbours inside the recording."""
-    frames = gt(spark, sf_dir).filter("image_id <= 10000").select("image_id")
-    return matching.expand(frames, "image_id", 2, F.lit(0).cast("long"), F.lit(10000).cast("long"))
+    """JOI09: each annotated frame with its neighbours inside its recording."""
+    frames = video(gt(spark, sf_dir)).select("image_id", "video", "frame")
+    last = frames.groupBy("video").agg(F.max("frame").alias("last"))
+    return matching.expand(frames.join(last, "video"), "frame", 2, F.lit(0).cast("long"), F.col("last")).select("image_id", "video", "near")
 
 
 @query(f"WITH {DET}, {VIDEO}, c AS (SELECT DISTINCT video, frame FROM vid), p AS (SELECT DISTINCT video, frame FROM vid WHERE conf >= 49000) SELECT c.video, c.frame FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.video = c.video AND p.frame BETWEEN c.frame - 3 AND c.frame + 3)")

@@ -66,11 +66,69 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_identities_are_idempotent(spark):
-    df = spark.createDataFrame([(*b, f"4600000{b[1] % 9}") for b in boxes(40, 3)], BOX + ", code string")
-    found = suppression.identities(df, "i", suppression.identity_links(df, "g", "i", "code"))
-    best = found.groupBy("identity").agg(F.count("*").alias("n"))
-    assert found.count() == 40 and best.agg(F.sum("n")).first()[0] == 40
+def same_thing(a, b, spatial):
+    """The described rules, row by row: barcode, overlap, place with price."""
+    from difflib import SequenceMatcher
+
+    clean = lambda x: (x or "").strip().lower()
+    if len(clean(a["barcode"])) >= 8 and clean(a["barcode"]) == clean(b["barcode"]):
+        return True
+    w, h = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
+    inter = max(w, 0) * max(h, 0)
+    area = lambda r: (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
+    if inter and inter / (area(a) + area(b) - inter) >= 0.45:
+        return True
+    apart = ((a["x1"] + a["x2"] - b["x1"] - b["x2"]) ** 2 + (a["y1"] + a["y2"] - b["y1"] - b["y2"]) ** 2) ** 0.5 / 2
+    price = any(clean(a[c]) and clean(a[c]) == clean(b[c]) for c in ("price_default", "price_card"))
+    names = [clean(r["product_name"]) for r in (a, b)]
+    alike = all(names) and SequenceMatcher(None, *names).ratio() >= 0.35
+    return spatial > 0 and apart <= spatial and price and (alike or not clean(a["barcode"]) and not clean(b["barcode"]))
+
+
+def plain_dedupe(rows, spatial):
+    """One recording in input order: seeds of each frame absorb rows, then identities grow by passes; places of the best, in order."""
+    best = lambda group: max(group, key=lambda i: rows[i]["quality"])
+    frames, winners = {}, []
+    for i, r in enumerate(rows):
+        frames.setdefault(r["frame"], []).append(i)
+    for pool in frames.values():
+        while pool:
+            near = lambda j: ((rows[pool[0]]["x1"] + rows[pool[0]]["x2"] - rows[j]["x1"] - rows[j]["x2"]) ** 2 + (rows[pool[0]]["y1"] + rows[pool[0]]["y2"] - rows[j]["y1"] - rows[j]["y2"]) ** 2) <= 256
+            bare = lambda r: r | {"barcode": ""}
+            group = [j for j in pool if j == pool[0] or near(j) or same_thing(bare(rows[pool[0]]), bare(rows[j]), 0)]
+            winners.append(best(group))
+            pool = [j for j in pool if j not in group]
+    out, pool = [], sorted(winners)
+    while pool:
+        cluster, pool, changed = [pool[0]], pool[1:], True
+        while changed:
+            changed, rest = False, []
+            for j in pool:
+                if any(same_thing(rows[j], rows[m], spatial) for m in cluster):
+                    cluster.append(j)
+                    changed = True
+                else:
+                    rest.append(j)
+            pool = rest
+        out.append(best(cluster))
+    return sorted(out)
+
+
+def test_full_dedupe_against_the_rules_row_by_row(spark):
+    r = random.Random(6)
+    rows = []
+    for g in range(12):
+        for i in range(40):
+            x, y = r.randrange(900), r.randrange(700)
+            code = r.choice(["", "", "4600", "46000001", "46000002", None])
+            price = [r.choice(["", "1,00", "2,00", " 2,00 ", "нет"]) for _ in range(2)]
+            rows.append({"g": g, "frame": i // 8, "i": i, "x1": x, "y1": y, "x2": x + r.randrange(40, 140), "y2": y + r.randrange(40, 90), "quality": r.randrange(6), "barcode": code, "price_default": price[0], "price_card": price[1], "product_name": r.choice(["", "Milk 1l", "MILK 2l", "bread"])})
+    df = spark.createDataFrame(rows)
+    for spatial in (0, 200):
+        got = suppression.dedupe(df, ["g"], "frame", ["i"], "quality", spatial=spatial).collect()
+        assert {x.g for x in got} == set(range(12))
+        for g in range(12):
+            assert [x.i for x in got if x.g == g] == plain_dedupe([x for x in rows if x["g"] == g], spatial)
 
 
 def test_one_to_one(spark):
