@@ -51,7 +51,7 @@ def find(parent, x):
 @given(st.binary(max_size=5000))
 def test_media_round_trip(data):
     payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
-    (fps, frames), = avi.read_media(avi.write_media([payload]))
+    ((fps, frames),) = avi.read_media(avi.write_media([payload]))
     assert fps == avi.FPS and b"".join(f.tobytes() for f in frames) == payload
 
 
@@ -62,12 +62,151 @@ def test_media_index_and_damage():
     assert fps == 25 and len(frames) == 3
     assert avi.parse(media.replace(b"idx1", b"JUNK"))[1] == frames  # found by walking movi
     assert avi.parse(b"not a video") == (0.0, [])
+    still = media.replace(avi.struct.pack("<II", 1, 25), avi.struct.pack("<II", 1, 0), 1)
+    assert still != media and avi.parse(still)[0] == avi.FPS
+    frame = bytes(frames[0])
+    rows = list(np.frombuffer(payload, np.uint8).reshape(-1, 192)[:16])
+    head = avi.read_head(frame)
+    cut = frame[: frame.index(b"\xff\xd3") - 20] + frame[frame.index(b"\xff\xd3") :]  # row 3 lost its last bytes
+    got = next(avi.decode_frames([cut]))
+    assert got.shape == (16, 192) and all((got[k] == rows[k]).all() for k in range(16) if k != 3)
+    good = int((got[3] == rows[3]).argmin())
+    assert 0 < good < 192 and (got[3][good + 1 :] == got[3][-1]).all()
+    short = next(avi.decode_frames([frame[: head.scan + 30]]))
+    assert short.shape == (16, 192) and (short[5] == 128).all()
+    r = random.Random(2)
+    for _ in range(300):  # no damage stops a task
+        hurt = bytearray(media)
+        for _ in range(r.randrange(1, 12)):
+            hurt[r.randrange(len(hurt))] = r.randrange(256)
+        for rate, own in avi.read_media([bytes(hurt[: r.randrange(len(hurt))] if r.random() < 0.3 else hurt)]):
+            assert rate >= 0 and all(f.dtype == np.uint8 for f in own)
+
+
+class Writer:
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, n):
+        self.bits += f"{value:0{n}b}" if n else ""
+
+    def number(self, value):
+        n = abs(value).bit_length()
+        self.put(value if value >= 0 else value + (1 << n) - 1, n)
+
+    def close(self):
+        self.bits += "1" * (-len(self.bits) % 8)
+        return int(self.bits or "0", 2).to_bytes(len(self.bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def codes_of(lengths, values):
+    out, code, at = {}, 0, 0
+    for n, count in enumerate(lengths, 1):
+        for v in values[at : at + count]:
+            out[v] = (code, n)
+            code += 1
+        at, code = at + count, code << 1
+    return out
+
+
+def baseline(image, quantum, colour, restart, tables):
+    """A baseline frame of a gray image, with two flat chroma components at half size if `colour`."""
+    dct = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5 if u else 0.125**0.5) for x in range(8)] for u in range(8)])
+    step = 16 if colour else 8
+    h, w = image.shape
+    full = np.pad(image, ((0, -h % step), (0, -w % step)), mode="edge").astype(float) - 128
+    dc, ac = ([codes_of(bytes.fromhex(avi._STANDARD[k, n][0]), avi._STANDARD[k, n][1] + (bytes(r << 4 | b for r in range(16) for b in range(1, 11) if r << 4 | b not in avi._STANDARD[1, n][1]) if k else b"")) for n in (0, 1)] for k in (0, 1))
+    out, last, stream, n = [], [0, 0, 0], Writer(), 0
+
+    def block(k, square):
+        table = min(k, 1)
+        c = np.rint(dct @ square @ dct.T / quantum).astype(int).ravel()[avi._ZIGZAG].tolist()
+        d, last[k] = c[0] - last[k], c[0]
+        stream.put(*dc[table][abs(d).bit_length()])
+        stream.number(d)
+        run = 0
+        for v in c[1:]:
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                stream.put(*ac[table][0xF0])
+                run -= 16
+            stream.put(*ac[table][run << 4 | abs(v).bit_length()])
+            stream.number(v)
+            run = 0
+        if run:
+            stream.put(*ac[table][0])
+
+    units = [(y, x) for y in range(0, full.shape[0], step) for x in range(0, full.shape[1], step)]
+    for i, (y, x) in enumerate(units):
+        for dy in range(0, step, 8):
+            for dx in range(0, step, 8):
+                block(0, full[y + dy : y + dy + 8, x + dx : x + dx + 8])
+        for k in (1, 2) if colour else ():
+            block(k, np.full((8, 8), 20.0 * k))
+        if restart and (i + 1) % restart == 0 and i + 1 < len(units):
+            out.append(stream.close() + bytes((0xFF, 0xD0 + n % 8)))
+            stream, last, n = Writer(), [0, 0, 0], n + 1
+    out.append(stream.close())
+    seg = avi._segment
+    head = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([quantum]) * 64)
+    parts = [(1, 0x22 if colour else 0x11, 0)] + ([(2, 0x11, 0), (3, 0x11, 0)] if colour else [])
+    head += seg(0xC0, bytes((8, *h.to_bytes(2, "big"), *w.to_bytes(2, "big"), len(parts))) + b"".join(map(bytes, parts)))
+    if tables:
+        for k, number in ((0, 0), (1, 0), (0, 1), (1, 1)):
+            lengths = bytes.fromhex(avi._STANDARD[k, number][0])
+            values = sorted((dc, ac)[k][number], key=lambda v: (dc, ac)[k][number][v][::-1])
+            head += seg(0xC4, bytes([k << 4 | number]) + lengths + bytes(values))
+    head += seg(0xDD, restart.to_bytes(2, "big")) if restart else b""
+    return head + seg(0xDA, bytes([len(parts)]) + b"".join(bytes((p[0], 0x11 if p[0] > 1 else 0)) for p in parts) + b"\0\x3f\0") + b"".join(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("colour", "restart", "tables"), [(False, 0, True), (True, 0, False), (True, 3, True), (False, 2, False)])
+def test_baseline_frames_of_other_writers(colour, restart, tables):
+    y, x = np.mgrid[:37, :53]
+    image = (128 + 90 * np.sin(x / 7) * np.cos(y / 5)).astype(np.uint8)
+    got = next(avi.decode_frames([baseline(image, 2, colour, restart, tables)]))
+    assert got.shape == image.shape and np.abs(got.astype(int) - image).max() <= 6
+
+
+@pytest.mark.parametrize("predictor", range(1, 8))
+def test_lossless_frames_of_other_writers(predictor):
+    image = np.random.default_rng(predictor).integers(0, 256, (9, 21)).astype(int)
+    lengths = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0])
+    codes, stream = codes_of(lengths, range(12)), Writer()
+    for i in range(9):
+        for j in range(21):
+            a, b, c = image[i, j - 1], image[i - 1, j], image[i - 1, j - 1]
+            guess = (a if j else 128) if not i else b if not j else (a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1)[predictor - 1]
+            d = int(image[i, j] - guess)
+            stream.put(*codes[abs(d).bit_length()])
+            stream.number(d)
+    seg = avi._segment
+    frame = b"\xff\xd8" + seg(0xC4, b"\0" + lengths + bytes(range(12))) + seg(0xC3, bytes((8, 0, 9, 0, 21, 1, 1, 0x11, 0))) + seg(0xDA, bytes((1, 1, 0, predictor, 0, 0))) + stream.close() + b"\xff\xd9"
+    assert (next(avi.decode_frames([frame])) == image).all()
+    progressive = frame.replace(b"\xff\xc3", b"\xff\xc2")
+    assert next(avi.decode_frames([progressive])).size == 0
 
 
 def test_shots():
-    dark, light = np.full((16, 192), 20, np.uint8), np.full((16, 192), 220, np.uint8)
-    assert avi.clips(25.0, [dark] * 5 + [light] * 5) == [(0, 5, 0.0, 200.0), (5, 5, 200.0, 400.0)]
-    assert avi.clips(25.0, [dark] * 4) == [(0, 4, 0.0, 160.0)]
+    dark, light, none = np.full((16, 192), 20, np.uint8), np.full((16, 192), 220, np.uint8), np.empty((0, 0), np.uint8)
+    assert avi.clips(25.0, avi.histograms([dark] * 5 + [light] * 5)) == [(0, 5, 0.0, 200.0), (5, 5, 200.0, 400.0)]
+    assert avi.clips(25.0, avi.histograms([dark] * 4)) == [(0, 4, 0.0, 160.0)]
+    assert avi.clips(25.0, avi.histograms([dark, none, none, dark])) == [(0, 4, 0.0, 160.0)]
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        frames = [np.clip(rng.normal(rng.choice([60, 70, 180]), 12, (16, 192)), 0, 255).astype(np.uint8) for _ in range(rng.integers(1, 30))]
+        shares = [[sum((f.ravel() // 4 == k).tolist()) / f.size for k in range(64)] for f in frames]
+        diff = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 2 for x, y in zip(shares[:-1], shares[1:], strict=True)]
+        cuts = []
+        for i, d in enumerate(diff):
+            around = [diff[k] for k in range(max(0, i - 4), min(len(diff), i + 5)) if k != i]
+            mean = sum(around) / len(around) if around else 0.0
+            level = mean + 1.5 * (sum((a - mean) ** 2 for a in around) / len(around)) ** 0.5 if around else 0.0
+            if d > 0.25 and d > level:
+                cuts.append(i + 1)
+        assert [c[0] for c in avi.clips(25.0, avi.histograms(frames))] == [0, *cuts]
 
 
 def test_media_of_odd_documents(odd, empty):
