@@ -15,17 +15,17 @@ assistant); if no turn settles it, by the last state, assistant first.  The
 repaired sequence is then rendered.
 
 Scale: rows are dealt in order over range partitions, and a conversation that
-lies inside one partition is repaired at once.  One that reaches over an edge, or
-has more than ``BLOCK`` turns or ``BLOCK_BYTES`` of text, is worked in blocks: a
-block is reduced to its matrix of least costs between entry and exit states, with
+lies inside one partition is repaired at once; one that may reach over an edge is
+gathered first.  One of more than ``BLOCK`` turns or ``BLOCK_BYTES`` of text is
+worked in blocks: a block is reduced to its matrix of least costs between entry and exit states, with
 the order of the entries that equal costs prefer; matrices compose by (min, +)
 products, which gives each block its entry and exit state, and the block is then
 repaired on its own.  Where blocks are cut does not change the result.
 
-A conversation is one row.  One that was worked in blocks has a row for each of
-its ``n_parts`` parts; joined in order, their `actions` and `rendered` are the
-conversation's, for any cut.  cost, n_turns and n_repaired are the conversation's
-in every row.
+A conversation is one row.  One of more than ``BLOCK`` turns or ``BLOCK_BYTES`` of
+text has a row for each of its ``n_parts`` parts; joined in order, their `actions`
+and `rendered` are the conversation's, for any cut.  cost, n_turns and n_repaired
+are the conversation's in every row.
 
 Results for odd input: turns are taken in the order (turn, role, text), nulls
 first; a role outside system, user and assistant is relabelled at cost; a null
@@ -259,6 +259,16 @@ def _work(block: int, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of conversations whose blocks are together."""
+    for b in batches:
+        rows = []
+        for conv_id, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            blocks = sorted(blocks, key=lambda x: (x["task"], x["nth"]))
+            rows.append(whole(conv_id, [r for x in blocks for r in x["roles"]], [t for x in blocks for t in x["texts"]]))
+        yield _batch(rows, PARTS)
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
@@ -298,11 +308,17 @@ def repair_conversations(conversations: DataFrame, block: int = BLOCK, block_byt
     # The last key spreads rows that are equal in all others.
     dealt = turns.withColumn("spread", F.rand(7)).repartitionByRange(*order, "spread").sortWithinPartitions(*order)
     worked = materialize(dealt.select("conv_id", "role", "text").mapInArrow(_work(block, block_bytes), WORKED_DDL))
-    blocks = worked.filter("roles is not null")
+    bytes_of = F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.length(t))
+    opened = worked.filter("roles is not null").select("conv_id", "task", "nth", "roles", "texts", bytes_of.alias("bytes"))
+    sizes = opened.groupBy(F.col("conv_id").alias("_conv_id")).agg(F.sum(F.size("roles")).alias("turns"), F.sum("bytes").alias("all_bytes"))
+    sized = opened.join(sizes, F.col("conv_id").eqNullSafe(F.col("_conv_id"))).withColumn("short", (F.col("turns") <= block) & (F.col("all_bytes") <= block_bytes))
+    # A group is a short conversation.
+    gathered = sized.filter("short").groupBy("conv_id").agg(F.collect_list(F.struct("task", "nth", "roles", "texts")).alias("blocks")).mapInArrow(_gathered, PARTS_DDL)
+    blocks = sized.filter("not short")
     # Some 400 bytes for each block of an open conversation.
     summaries = blocks.select("conv_id", "task", "nth", "roles").mapInArrow(_summaries, "conv_id long, task long, nth long, n long, summary array<long>")
     of_conversation = summaries.groupBy("conv_id").agg(F.collect_list(F.struct("task", "nth", "n", "summary")).alias("blocks"))
     borders = of_conversation.select("blocks").mapInArrow(_borders, ", ".join(f"{n} long" for n in BORDERS.names))
     joined = blocks.select("conv_id", "task", "nth", "roles", "texts").join(borders, (F.col("task") == F.col("_task")) & (F.col("nth") == F.col("_nth")))
-    opened = joined.select("conv_id", "roles", "texts", *BORDERS.names[2:]).mapInArrow(_rendered, PARTS_DDL)
-    return worked.filter("roles is null").select(PARTS.names).unionByName(opened)
+    long_ones = joined.select("conv_id", "roles", "texts", *BORDERS.names[2:]).mapInArrow(_rendered, PARTS_DDL)
+    return worked.filter("roles is null").select(PARTS.names).unionByName(gathered).unionByName(long_ones)

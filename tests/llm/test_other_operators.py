@@ -95,6 +95,8 @@ def test_blocks_make_the_same_conversation(spark):
     rows = [(c, t, r.choice(["user", "assistant", "system", "tool"]), f"m{t}") for c in range(20) for t in range(r.randrange(1, 30))]
     rows += [(None, 0, "user", "same")] * 300  # one conversation of equal rows
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for n in (1, 3, 7):
+        assert chat.repair_conversations(df.repartition(n)).count() == 21  # no short conversation in parts, wherever edges fall
     whole = joined_parts(chat.repair_conversations(df))
     for block, size in ((4, 1 << 20), (1, 1 << 20), (1000, 7)):
         assert joined_parts(chat.repair_conversations(df, block, size)) == whole
