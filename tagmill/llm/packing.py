@@ -194,7 +194,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     runs, _ = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank"))
-    ranked = cut.join(first, ["task", "length"])
+    # `first` grows with the tasks, so it is never broadcast.
+    ranked = cut.join(first.hint("merge"), ["task", "length"])
     shift = np.int64(1) << 44  # ranks stay below
     table = np.array(sorted(runs), np.int64).reshape(-1, 5)
     keys = table[:, 0] * shift + table[:, 1]
