@@ -57,6 +57,40 @@ def stratified(df: DataFrame, bucket: str, key: str, each: int, seed: int) -> Da
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= each).drop("_rank")
 
 
+def modulo_or_draw(frame: Column, ratio: float, seed: int) -> Column:
+    """modulo() for frames written as a number, bernoulli() at the ratio for others."""
+    number = frame.try_cast("long")
+    return F.when(number.isNotNull(), modulo(number, ratio)).otherwise(bernoulli(seed, frame, round(ratio * 1000)))
+
+
+def negatives(df: DataFrame, existing: DataFrame, source: str, key: str, each: int, seed: int) -> DataFrame:
+    """`each` rows of every source by draw, none whose key exists."""
+    return stratified(df.join(existing.select(key).distinct(), key, "left_anti"), source, key, each, seed).select(source, key)
+
+
+def sample_buckets(df: DataFrame, buckets: dict[str, Column], key: str, total: int, seed: int) -> DataFrame:
+    """df with bucket: max(1, total // buckets) rows of each by draw, where a row may be picked by several, then rows that
+    none picked (bucket 'rest'), to `total` in all. Each pass keeps the best ranks of a task only before it shuffles."""
+    each = max(1, total // len(buckets))
+    tests = [F.when(test, F.struct(F.lit(name).alias("bucket"), F.lit(k).alias("_nth"))) for k, (name, test) in enumerate(buckets.items())]
+    placed = df.select("*", F.inline(F.array_compact(F.array(*tests))))
+    picked = stratified(placed, "bucket", key, each, seed)
+    rest = df.join(picked.select(key).distinct(), key, "left_anti").withColumn("bucket", F.lit("rest")).withColumn("_nth", F.lit(len(buckets)))
+    return picked.unionByName(rest.orderBy(draw(seed, F.col(key)), key).limit(total)).orderBy("_nth", draw(seed, F.col(key)), key).limit(total).drop("_nth")
+
+
+def next_index(new: DataFrame, held: DataFrame, split: str, key: str, index: str) -> DataFrame:
+    """new with numbers after the greatest that its split holds, in the order of key, and from 0 where it holds none.
+
+    Rows of a split are numbered over ranges of the key, not in one task.
+    """
+    last = held.groupBy(split).agg(F.max(index).alias("_last"))
+    numbered = renumber(new, [split, key], "_place")
+    least = numbered.groupBy(split).agg(F.min("_place").alias("_least"))
+    joined = numbered.join(least, split).join(last, split, "left")
+    return joined.withColumn(index, F.coalesce("_last", F.lit(-1)) + 1 + F.col("_place") - F.col("_least")).drop("_place", "_least", "_last")
+
+
 def route(**queues: Column) -> Column:
     """Names of the queues whose test a row passes, to be exploded: one scan feeds all."""
     return F.array_compact(F.array(*[F.when(test, name) for name, test in queues.items()]))
