@@ -69,7 +69,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No stage but line_dedup can be said in SQL; tests hold each against a brute-force version.
+#: No stage but line_dedup can be said in SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
