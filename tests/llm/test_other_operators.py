@@ -243,3 +243,48 @@ def test_stages_with_clashing_columns_and_no_rows(spark, sf_dir):
         none = stage(spark, docs.limit(0), sf_dir)
         assert none.columns == docs.columns and none.count() == 0
     assert corpus_pipeline.STAGES[3][1](spark, wide, sf_dir).count() >= docs.count()
+
+
+def test_stages_against_brute_force(spark, sf_dir):
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    passage = " ".join(r.choice(words) for _ in range(60))
+    texts = []
+    for _ in range(10):
+        base = [r.choice(words) for _ in range(r.randrange(60, 120))]
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(r.randrange(0, 4)):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            texts.append("\n".join([" ".join(copy), *([passage] if r.random() < 0.4 else [])]))
+    rows = [(i, t, "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    # Lines: a run of fifty words or more that occurs earlier goes; here runs are single lines, or two together.
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        want[i] = "\n".join(x for x in lines if x not in seen)
+        seen |= set(lines)
+    got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.dedup_lines(spark, docs, sf_dir).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items() if t}
+    # Near duplicates: all pairs at a similarity of 0.8, the least id of each group stays.
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    kept = corpus_pipeline.dedup_documents(spark, docs, sf_dir).collect()
+    assert len(set(least)) < len(texts) and {tuple(x) for x in kept} == {rows[i] for i in set(least)}
+    # Packing: every token of every document once, in places that fill sequences without gaps.
+    packed = corpus_pipeline.pack(spark, docs, sf_dir).collect()
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert {x.doc_id: x.length for x in packed} == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    at = {}
+    for x in sorted(packed, key=lambda x: (x.sequence_id, x.offset)):
+        assert x.offset == at.get(x.sequence_id, 0)
+        at[x.sequence_id] = x.offset + x.length
+    assert max(at.values()) <= 4096 and len(at) == -(-sum(x.length for x in packed) // 4096)
