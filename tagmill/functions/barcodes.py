@@ -86,3 +86,8 @@ def merge_first(maps: Column) -> Column:
     """Merge an array of maps, the first value of a key wins."""
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return F.aggregate(maps, empty, lambda acc, m: F.map_concat(acc, F.map_filter(m, lambda k, _: ~F.map_contains_key(acc, k))))
+
+
+def decoded_strings(nested: Column) -> Column:
+    """Payloads of several decoders as one list, in order, without blank ones."""
+    return F.filter(F.transform(F.flatten(F.filter(nested, lambda x: x.isNotNull())), lambda s: F.btrim(s)), lambda s: s != "")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagmill.functions.coerce import or_null
+
 
 @dataclass
 class Box:
@@ -159,3 +161,16 @@ def row_quality_tenths(confidence_tenths: Column, barcode: Column, card: Column,
     for test, points in worth:
         total = total + F.when(test, points).otherwise(0)
     return total
+
+
+def cells_to_box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """A box from text cells; null where one can't be read or the box is not over a pixel wide and high."""
+    v = [or_null(c) for c in (x1, y1, x2, y2)]
+    box = F.struct(*[c.alias(n) for c, n in zip(v, ("x1", "y1", "x2", "y2"), strict=True)])
+    return F.when((v[2] > v[0] + 1) & (v[3] > v[1] + 1), box)
+
+
+def still(base: Column, near: Column, limit: float) -> Column:
+    """Mean absolute difference of two pixel arrays within the limit; a limit of 0 or less lets all through."""
+    total = F.aggregate(F.zip_with(base, near, lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda acc, d: acc + d)
+    return F.lit(True) if limit <= 0 else total <= F.size(base) * limit

@@ -113,3 +113,49 @@ def name_from_lines(text: Column) -> Column:
     scored = F.transform(fit, lambda x: F.struct((letters(x) * 4 + F.length(x) - n_digits(x) * 3).alias("score"), x.alias("line")))
     start = F.struct(F.lit(-4).alias("score"), F.lit("").alias("line"))
     return F.aggregate(scored, start, lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc), lambda acc: acc["line"])
+
+
+def result_text(result: Column) -> Column:
+    """All lines of a recognition result given as JSON, joined by blanks.
+
+    The result is a list.  An object gives rec_texts, else rec_text (a list or one text), else the first item of each list
+    in rec_res, else every text or list of texts under a key with 'text' or 'rec' in its name.  A list is of pairs (place,
+    [text, score]).  Anything else, JSON that can't be read included, gives no text; a text that itself begins with '[' and
+    is a JSON list is read as a list.
+    """
+    none = F.array().cast("array<string>")
+    items = lambda j: F.coalesce(F.from_json(F.when(j.startswith("["), j), "array<string>"), none)
+    of_value = lambda v: F.when(v.startswith("["), items(v)).when(F.coalesce(v, F.lit("")) != "", F.array(v)).otherwise(none)
+    first_of = lambda rows: F.transform(F.filter(rows, lambda r: r.startswith("[")), lambda r: F.get(items(r), F.lit(0)))
+
+    def of_object(j: Column) -> Column:
+        fields = F.from_json(j, "map<string,string>")
+        at = lambda k: F.try_element_at(fields, F.lit(k))
+        has = lambda k: F.map_contains_key(fields, k)
+        named = F.map_values(F.map_filter(fields, lambda k, _: F.lower(k).rlike("text|rec")))
+        return F.when(has("rec_texts"), of_value(at("rec_texts"))).when(has("rec_text"), of_value(at("rec_text"))).when(has("rec_res"), first_of(items(at("rec_res")))).otherwise(F.flatten(F.transform(named, of_value)))
+
+    def of_pairs(j: Column) -> Column:
+        pairs = F.filter(F.transform(items(j), items), lambda p: F.size(p) == 2)
+        return first_of(F.transform(pairs, lambda p: p[1]))
+
+    parts = F.transform(items(F.btrim(result)), lambda j: F.when(j.startswith("{"), of_object(j)).otherwise(of_pairs(j)))
+    return F.array_join(F.flatten(F.filter(parts, lambda p: p.isNotNull())), " ")
+
+
+def best_variant(texts: Column) -> Column:
+    """The text with most characters, digits counting 1.3; the first of equals, blank without any."""
+    score = lambda t: F.length(t) * 10 + (F.length(t) - F.length(F.regexp_replace(t, r"\d", ""))) * 3
+    scored = F.transform(F.filter(texts, lambda t: t.isNotNull()), lambda t: F.struct(score(t).alias("score"), t.alias("text")))
+    start = F.struct(F.lit(-1).alias("score"), F.lit("").alias("text"))
+    return F.aggregate(scored, start, lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc), lambda acc: acc["text"])
+
+
+def pseudo_label(line: Column, score: Column, truths: Column) -> Column:
+    """A line read with a score over 0.8 that holds a true text or is part of one; the line in upper case, truths as they are."""
+    upper = F.upper(line)
+    return F.exists(truths, lambda t: F.contains(t, upper) | F.contains(upper, t)) & (score > 0.8)
+
+
+def lines_json(lines: Column) -> Column:
+    return F.to_json(lines)

@@ -62,3 +62,39 @@ def funnel(steps: dict[str, DataFrame], key: list[str]) -> DataFrame:
         F.sum("n").alias("n_rows"), F.count("*").alias("frames"), F.floor(F.sum("n") * 1000 / F.count("*") + 0.5).cast("long").alias("mean"),
         F.count_if(F.col("n") > 1).alias("over_one"), F.max("n").alias("most"),
     )
+
+
+def detector_stats(frames: DataFrame, detections: DataFrame, detector: str, key: list[str], confidence: str) -> DataFrame:
+    """For each detector: all frames, those with a detection, detections, their mean a frame, and the least, greatest and mean confidence (thousandths)."""
+    each = detections.groupBy(detector, *key).agg(F.count("*").alias("_n"), F.min(confidence).alias("_least"), F.max(confidence).alias("_most"), F.sum(confidence).alias("_sum"))
+    found = each.groupBy(detector).agg(F.count("*").alias("with_any"), F.sum("_n").alias("total"), F.min("_least").alias("least"), F.max("_most").alias("most"), F.sum("_sum").alias("_sum"))
+    n = F.lit(frames.select(*key).distinct().count()).alias("frames")
+    thousandths = lambda a, b: F.floor(F.col(a) * 1000 / F.col(b) + 0.5).cast("long")
+    return found.select("*", n).select(detector, "frames", "with_any", "total", thousandths("total", "frames").alias("mean"), "least", "most", thousandths("_sum", "total").alias("mean_confidence"))
+
+
+def frame_summary(frames: DataFrame, group: list[str], blur: str, brightness: str) -> DataFrame:
+    """Frames, mean and median blur and mean brightness, to three decimals."""
+    return frames.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg(blur), 3).alias("blur_mean"), F.round(F.median(blur), 3).alias("blur_median"), F.round(F.avg(brightness), 3).alias("brightness_mean"))
+
+
+def tally(df: DataFrame, **tests: Column) -> DataFrame:
+    """Counters of a builder: how many rows pass each test, in one row."""
+    return df.agg(*[F.count_if(test).alias(name) for name, test in tests.items()])
+
+
+def result_summary(jobs: DataFrame, rows: DataFrame, job: str, result: str, code: str, cells: list[str]) -> DataFrame:
+    """A job's figures: from its result JSON where it has them, else the next source, else what its rows say."""
+    n_filled = sum((F.when(filled_cell(F.col(c)), 1).otherwise(0) for c in cells), F.lit(0))
+    counted = rows.groupBy(job).agg(F.count("*").alias("_n"), F.count_if(filled_cell(F.col(code))).alias("_codes"), F.sum(n_filled).alias("_filled"))
+    value = lambda path: F.get_json_object(result, path).try_cast("long")
+    zero = F.lit(0).cast("long")
+    return jobs.join(counted, job, "left").select(
+        job, F.coalesce(value("$.pipeline.detection.frames_extracted"), value("$.video_metadata.frame_count"), zero).alias("frames_processed"),
+        F.coalesce(value("$.crop_stats.after_final_dedupe"), value("$.bundle_meta.rows_after_dedupe"), "_n", zero).alias("price_tags_found"),
+        F.coalesce("_codes", zero).alias("qr_codes_decoded"), F.coalesce("_filled", zero).alias("fields_filled"),
+    )
+
+
+def filled_cell(cell: Column) -> Column:
+    return trimmed(cell.cast("string")) != ""

@@ -114,16 +114,22 @@ def transform(content: Column, factory: Callable[[], Callable[[bytes], bytes]])
 
 
 def quality(pixels: Column, width: Column, height: Column) -> Column:
-    """Variance of the Laplacian, mean and deviation of 8-bit grey pixels stored row by row."""
+    """Variance of the Laplacian, mean and deviation of 8-bit grey pixels stored row by row; null where the size is
+    unknown or negative, or more than the pixels given."""
 
     @F.pandas_udf("blur_score double, brightness_mean double, contrast_std double")
     def run(images: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.DataFrame:
         out = []
         for image, w, h in zip(images, widths, heights, strict=True):
-            a = np.frombuffer(image or b"", np.uint8)[: w * h].astype(np.float64).reshape(h, w)
+            raw = np.frombuffer(image or b"", np.uint8)
+            if pd.isna(w) or pd.isna(h) or w < 0 or h < 0 or raw.size < w * h:
+                out.append((None, None, None))
+                continue
+            w, h = int(w), int(h)
+            a = raw[: w * h].astype(np.float64).reshape(h, w)
             inner = 4 * a[1:-1, 1:-1] - a[:-2, 1:-1] - a[2:, 1:-1] - a[1:-1, :-2] - a[1:-1, 2:] if h > 2 and w > 2 else np.zeros((1, 1))
             out.append((float(inner.var()), float(a.mean()) if a.size else 0.0, float(a.std()) if a.size else 0.0))
-        return pd.DataFrame(out, columns=["blur_score", "brightness_mean", "contrast_std"])
+        return pd.DataFrame(out, columns=["blur_score", "brightness_mean", "contrast_std"]).astype("float64")
 
     return run(pixels, width, height)
 
@@ -145,8 +151,86 @@ def decode_codes(content: Column, factory: Callable[[], Callable[[bytes], list[s
 
 
 def panel_color(red: Column, yellow: Column) -> Column:
-    """red or yellow by the share of such pixels (.12 and .08), else blank."""
-    return F.when(red >= 0.12, "red").when(yellow >= 0.08, "yellow").otherwise("")
+    """red where its share of pixels is over .12 and no less than yellow's; yellow where over .08; else blank."""
+    return F.when((red >= yellow) & (red > 0.12), "red").when(yellow > 0.08, "yellow").otherwise("")
+
+
+def _hsv(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hue in half degrees (0 to 179), saturation and value of 0 to 255, rounded, of 8-bit pixels."""
+    c = rgb.astype(np.float64)
+    most, least = c.max(-1), c.min(-1)
+    span = most - least
+    safe = np.where(span == 0, 1.0, span)
+    r, g, b = c[..., 0], c[..., 1], c[..., 2]
+    hue = np.where(most == r, (g - b) / safe, np.where(most == g, 2 + (b - r) / safe, 4 + (r - g) / safe)) * 30
+    hue = np.where(span == 0, 0.0, hue)
+    return np.rint(hue % 180) % 180, np.rint(255 * span / np.where(most == 0, 1.0, most)), most
+
+
+def color_shares(pixels: Column) -> Column:
+    """Shares of red and yellow pixels of 8-bit RGB stored pixel by pixel; null without a whole pixel, a broken last one is left out."""
+
+    @F.pandas_udf("red double, yellow double")
+    def run(images: pd.Series) -> pd.DataFrame:
+        out = []
+        for image in images:
+            raw = np.frombuffer(image or b"", np.uint8)
+            h, s, v = _hsv(raw[: raw.size // 3 * 3].reshape(-1, 3))
+            if not h.size:
+                out.append((None, None))
+                continue
+            # The colours of panels.
+            red = ((h <= 12) | (h >= 170)) & (s >= 80) & (v >= 60)
+            yellow = (h >= 15) & (h <= 40) & (s >= 80) & (v >= 80)
+            out.append((float(red.mean()), float(yellow.mean())))
+        return pd.DataFrame(out, columns=["red", "yellow"]).astype("float64")
+
+    return run(pixels)
+
+
+def with_fallback(first: Callable[[], Reader], second: Callable[[], Reader]) -> Callable[[], Reader]:
+    """A factory whose engine asks the second where the first, or its start, fails."""
+
+    def make() -> Reader:
+        try:
+            ahead = first()
+        except Exception:  # noqa: BLE001  an engine that can't start is one that fails
+            return second()
+        behind: list[Reader] = []
+
+        def read(image: bytes) -> list[tuple[str, float]]:
+            try:
+                return ahead(image)
+            except Exception:  # noqa: BLE001
+                if not behind:
+                    behind.append(second())
+                return behind[0](image)
+
+        return read
+
+    return make
+
+
+def track(frames: DataFrame, video: str, frame: str, payload: str, factory: Callable[[], Callable]) -> DataFrame:
+    """Track numbers of the detections in each recording, frame after frame, by a tracker that keeps state.
+
+    A tracker is a function of one frame's payload that gives (track_id, detection JSON) rows.  A recording is sorted in one task, as the
+    state asks, and streams through it: memory is a batch and the tracker's own state, not the recording.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tracker = None, None
+        for part in parts:
+            out = []
+            for v, f, image in zip(part[video], part[frame], part[payload], strict=True):
+                if tracker is None or v != now:
+                    now, tracker = v, factory()
+                out += [(v, f, int(t), d) for t, d in tracker(image)]
+            yield pd.DataFrame(out, columns=[video, frame, "track_id", "detection"])
+
+    types = dict(frames.dtypes)
+    ordered = frames.select(video, frame, payload).repartition(video).sortWithinPartitions(video, frame)
+    return ordered.mapInPandas(run, f"{video} {types[video]}, {frame} {types[frame]}, track_id long, detection string")
 
 
 def polygon_box(points: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.sources.scratch import discard, materialize
@@ -70,3 +70,13 @@ def away_from(candidates: DataFrame, positives: DataFrame, key: list[str], frame
     """Candidates with no positive of their key within radius: the forbidden frames are listed and met by an anti join."""
     forbidden = positives.select(*key, F.explode(F.sequence(F.col(frame) - radius, F.col(frame) + radius)).alias(frame)).distinct()
     return candidates.join(forbidden, [*key, frame], "left_anti")
+
+
+def realign(selected: DataFrame, originals: DataFrame, identity: list[str], order: str, quality: str, keep: list[str]) -> DataFrame:
+    """Selected rows with the `keep` columns of an original of their identity: the k-th of an identity, by order, gets the k-th
+    best by (quality, earlier first), so none is given twice; null where there are no more.  Identities are a frame's boxes,
+    so groups are small.
+    """
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*identity).orderBy(*by))
+    given = originals.withColumn("_nth", nth(F.desc(quality), order)).select(*identity, "_nth", *keep)
+    return selected.withColumn("_nth", nth(order)).join(given, [*identity, "_nth"], "left").drop("_nth")

@@ -83,14 +83,18 @@ def precluster(df: DataFrame, group: list[str], frame: str, order: list[Column],
     return _sorted_groups(pieces, [*group, "_piece"], order, fields).select(*group, F.explode(clusters).alias("c")).select(*group, "c.best.*")
 
 
-def in_frame(df: DataFrame, group: list[str], order: list[Column], fields: list[str], quality: str, radius: int = 8, numerator: int = 9, denominator: int = 20) -> DataFrame:
-    """Best row of each seed: a row joins the earliest seed it overlaps or whose center is within `radius`; first of equal quality."""
+def in_frame(df: DataFrame, group: list[str], order: list[Column], fields: list[str], quality: str, radius: int = 8, numerator: int | None = 9, denominator: int = 20) -> DataFrame:
+    """Best row of each seed: a row joins the earliest seed it overlaps or whose center is within `radius`; first of equal quality.
+
+    Without a numerator only the distance counts.
+    """
     rows = F.transform("rows", lambda r: F.struct(r.alias("seed"), r.alias("best")))
 
     def step(acc: Column, x: Column) -> Column:
         def same(c: Column) -> Column:
             a, b = Box.of(c["seed"]), Box.of(x["seed"])
-            return iou_at_least(a, b, numerator, denominator) | (doubled_center_distance_squared(a, b) <= 4 * radius * radius)
+            near = doubled_center_distance_squared(a, b) <= 4 * radius * radius
+            return near if numerator is None else iou_at_least(a, b, numerator, denominator) | near
 
         def update(c: Column) -> Column:
             return F.struct(c["seed"].alias("seed"), F.when(x["best"][quality] > c["best"][quality], x["best"]).otherwise(c["best"]).alias("best"))

@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagmill.functions import text
 from tagmill.functions.coerce import blank, trimmed
 
-# Suffixes of images and videos.
+# Suffixes of images, of videos and of uploads.
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp")
 VIDEOS = ("mp4", "mov", "avi", "mkv", "webm", "m4v")
+UPLOADS = ("mp4", "mov", "avi", "mkv")
 DETECTIONS = ["image_path", "class_id", "class_name", "confidence", "x_min", "y_min", "x_max", "y_max"]
 MANIFEST = ["source_image", "crop_path", "rotate", "x_min", "y_min", "x_max", "y_max", "class_name", "confidence"]
 TRACKS = "track_id int, filename string, frame_idx int, bbox array<int>, conf double, area double, sharpness double, score double"
@@ -27,9 +29,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def csv(spark: SparkSession, path: str, columns: list[str] | None = None, recursive: bool = False) -> DataFrame:
-    """CSV with a header, all cells text: quotes doubled, line breaks of any kind, short rows padded, blank lines dropped."""
+def csv(spark: SparkSession, path: str, columns: list[str] | None = None, recursive: bool = False, crlf: bool = False) -> DataFrame:
+    """CSV with a header, all cells text: quotes doubled, line breaks of any kind, short rows padded, blank lines dropped.
+
+    Where rows end in CRLF, a CRLF inside a cell is read as LF unless `crlf` says that all rows do.
+    """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", "UTF-8")
+    if crlf:
+        reader = reader.option("lineSep", "\r\n")
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     df = reader.csv(path)  # names come from the header; without inferSchema all cells are text
@@ -80,11 +87,36 @@ def _suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES, content: bool = False) -> DataFrame:
-    """Files of a folder and those below it, by suffix in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES, content: bool = False, recursive: bool = True, first: int | None = None) -> DataFrame:
+    """Files of a folder, and those below it if recursive, by suffix in any case; `first`: only so many, by suffix as listed, then path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     keep = ["path", "length", "modificationTime", *(["content"] if content else [])]
-    return files.filter(_suffix(F.col("path")).isin(*suffixes)).select(*keep)
+    found = files.filter(_suffix(F.col("path")).isin(*suffixes))
+    if first is not None:
+        found = found.orderBy(F.array_position(F.array(*[F.lit(s) for s in suffixes]), _suffix(F.col("path"))), "path").limit(first)
+    return found.select(*keep)
+
+
+def accepted_upload(name: Column) -> Column:
+    """Suffix of a video that the service takes."""
+    return _suffix(name).isin(*UPLOADS)
+
+
+def split_sources(labels: DataFrame) -> DataFrame:
+    """Label files (path) by split, their folder, and source, from their stem: how many each."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return labels.select(text.parent_name(F.col("path")).alias("split"), text.label_source(stem).alias("source")).groupBy("split", "source").agg(F.count("*").alias("n"))
+
+
+def frames_or_video(wanted: DataFrame, extracted: DataFrame, decoded: DataFrame, key: list[str]) -> DataFrame:
+    """Wanted frames with their content: the extracted file, else the frame of the recording; those found in neither go.
+
+    Only frames without a file are looked up in the recording. Keys are expected once on each side.
+    """
+    had = wanted.join(extracted, key, "left")
+    files = had.filter("content is not null").withColumn("origin", F.lit("file"))
+    missing = had.filter("content is null").select(*key)
+    return files.unionByName(missing.join(decoded, key).withColumn("origin", F.lit("video")))
 
 
 def first_by_name(listings: list[DataFrame]) -> DataFrame:

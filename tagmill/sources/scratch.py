@@ -15,6 +15,10 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/files-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
     path = f"{scratch_root(df.sparkSession)}/table-{uuid.uuid4().hex}"

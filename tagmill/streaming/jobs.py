@@ -6,6 +6,7 @@ its last non-null value, except the error message, which every event overwrites.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -92,3 +93,71 @@ def stream_best(events: DataFrame, key: str, frame: str, score: str, gap: int, e
 
     schema = f"{key} long, first_frame long, last_frame long, best long, n long"
     return events.groupBy(key).applyInPandasWithState(advance, schema, "last long, first long, best long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_stages(df: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], needs: list[str] = ()) -> DataFrame:
+    """The stages in order as one batch job, each written to the shared folder before the next reads it.
+
+    Paths in `needs` must be there before the first begins; a stage that fails ends the run with its name.
+    """
+    from tagmill.sources.readers import exists
+    from tagmill.sources.scratch import materialize
+
+    missing = [path for path in needs if not exists(df.sparkSession, path)]
+    if missing:
+        raise FileNotFoundError(f"stages need {', '.join(missing)}")
+    for name, stage in stages:
+        try:
+            df = materialize(stage(df))
+        except Exception as e:
+            raise RuntimeError(f"stage {name} failed: {e}") from e
+    return df
+
+
+def stream_precluster(detections: DataFrame, key: str, frame: str, score: str, gap: int, numerator: int = 1, denominator: int = 4, end: str | None = None) -> DataFrame:
+    """suppression.precluster() over a stream of long columns (key, frame, x1, y1, x2, y2, score): the best row of each cluster.
+
+    State of a key are its open clusters only: one that no row can join any more is emitted and forgotten.  Rows of a key
+    must arrive in the order of frames over batches; inside a batch they are sorted by (frame, score down, box).  `end`
+    closes all as in stream_best().
+    """
+    box = ["x1", "y1", "x2", "y2"]
+    columns = [frame, *box, score]
+    if end:
+        detections = detections.withColumn(end, F.coalesce(end, F.lit(False)))
+        last = F.lit((1 << 63) - 1)
+        detections = detections.withColumn(frame, F.when(F.col(end), F.coalesce(frame, last)).otherwise(F.col(frame))).na.fill(0, [*box, score])
+
+    def overlap(a: list[int], b: list[int]) -> bool:
+        w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+        inter = max(w, 0) * max(h, 0)
+        both = (a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - inter
+        return inter > 0 and inter * denominator >= both * numerator
+
+    def advance(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        clusters = json.loads(state.get[0]) if state.exists else []  # [last frame, best row]
+        out = []
+        rows = pd.concat(list(parts))
+        rows["_down"] = -rows[score]
+        rows = rows.sort_values([frame, *([end] if end else []), "_down", *box], kind="stable")
+        for over, row in zip(rows[end].tolist() if end else [False] * len(rows), rows[columns].to_numpy().tolist(), strict=True):
+            done = [c for c in clusters if over or row[0] - c[0] > gap]
+            out += [(k[0], *c[1]) for c in done]
+            clusters = [c for c in clusters if not (over or row[0] - c[0] > gap)]
+            if over:
+                continue
+            hit = next((c for c in clusters if overlap(c[1], row)), None)
+            if hit is None:
+                clusters.append([row[0], row])
+            else:
+                hit[0] = row[0]
+                if row[5] > hit[1][5]:
+                    hit[1] = row
+        if clusters:
+            state.update((json.dumps(clusters),))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[key, *columns])
+
+    schema = ", ".join(f"{c} long" for c in [key, *columns])
+    return detections.groupBy(key).applyInPandasWithState(advance, schema, "clusters string", "append", GroupStateTimeout.NoTimeout)
