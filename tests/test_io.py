@@ -66,3 +66,28 @@ def test_queue_sink(spark, tmp_path):
     sinks.write_queues(df, F.array_compact(F.array(F.lit("all"), F.when(F.col("k") > 1, "big"))), str(tmp_path / "q"))
     assert {r.queue: r["count"] for r in spark.read.parquet(str(tmp_path / "q")).groupBy("queue").count().collect()} == {"all": 4, "big": 2}
     assert sinks.not_done(df, spark.range(2).withColumnRenamed("id", "k"), "k").count() == 2
+
+
+def test_listing_flat_and_first(spark, tmp_path):
+    for p in ("b.png", "a.JPG", "c.jpg", "deep/d.jpg"):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_bytes(b"x")
+    names = lambda df: [r.path.split("/")[-1] for r in df.collect()]
+    assert sorted(names(readers.listing(spark, str(tmp_path), recursive=False))) == ["a.JPG", "b.png", "c.jpg"]
+    assert names(readers.listing(spark, str(tmp_path), first=3)) == ["a.JPG", "c.jpg", "d.jpg"]
+
+
+def test_client_csv_and_diagnostics_of_nothing(spark, tmp_path):
+    def written(name):
+        return b"".join(f.read_bytes() for f in sorted((tmp_path / name).glob("part-*")))
+
+    df = spark.createDataFrame([(1, 'x"y'), (2, None)], "k int, t string").coalesce(1)
+    sinks.write_client_csv(df, str(tmp_path / "some"))
+    assert written("some") == b'\xef\xbb\xbfk,t\r\n1,"x""y"\r\n2,\r\n'
+    sinks.write_client_csv(df.limit(0), str(tmp_path / "none"))
+    assert written("none") == b"\xef\xbb\xbfk,t\r\n"
+    maps = spark.createDataFrame([(2, {"b": "1", "a": "2"}), (1, {"c": "3"})], "n int, m map<string,string>")
+    sinks.write_diagnostics(maps.coalesce(1), "n", "m", str(tmp_path / "maps"))
+    assert written("maps").split(b"\n")[0].startswith(b"c,")
+    sinks.write_diagnostics(maps.limit(0), "n", "m", str(tmp_path / "no_maps"))
+    assert written("no_maps") == b""

@@ -224,6 +224,88 @@ def rows_of(columns, data):
     return sorted(tuple(show(r[k]) for k in order) for r in data)
 
 
+def test_pixels_of_any_size(spark):
+    rows = [(bytearray(range(16)), 4, 4), (None, 4, 4), (bytearray(b"123"), 2, 2), (bytearray(b"x"), None, 1), (bytearray(b""), 0, 0)]
+    df = spark.createDataFrame(rows, "p binary, w int, h int").select(inference.quality(F.col("p"), F.col("w"), F.col("h")).alias("q"))
+    assert [r.q.brightness_mean for r in df.collect()] == [7.5, None, None, None, 0.0]
+    red, yellow, grey = bytes([220, 20, 20]), bytes([240, 208, 16]), bytes([128] * 3)
+    images = [red * 2 + grey * 8, red * 2 + yellow * 3 + grey * 5, grey * 5 + b"\x01", b"", None]
+    df = spark.createDataFrame([(bytearray(i) if i is not None else None,) for i in images], "p binary").select(inference.color_shares(F.col("p")).alias("s"))
+    assert [r.s.red for r in df.collect()] == [0.2, 0.2, 0.0, None, None]
+    assert [r.c for r in df.select(inference.panel_color(F.col("s.red"), F.col("s.yellow")).alias("c")).collect()] == ["red", "yellow", "", "", ""]
+
+
+def test_fallback_of_engines(spark):
+    images = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"x"))], "path string, content binary")
+    strict = lambda: lambda image: [(str(int(image)), 1.0)]
+    loose = lambda: lambda image: [("?", 0.1)]
+
+    def absent():
+        raise ImportError("no engine")
+
+    engines = {"both": inference.with_fallback(strict, loose), "second": inference.with_fallback(absent, loose), "none": inference.with_fallback(strict, absent)}
+    rows = {(r.image_path, r.engine): (r.full_text, r.error) for r in inference.recognize(images, engines).collect()}
+    assert rows["a", "both"] == ("1", None) and rows["b", "both"] == ("?", None) and rows["a", "second"] == ("?", None)
+    assert rows["a", "none"] == ("1", None) and rows["b", "none"] == ("", "ImportError: no engine")
+
+
+def test_tracker_keeps_state_over_a_recording_only(spark):
+    def tracker():
+        seen = []
+
+        def step(payload):
+            seen.append(payload)
+            return [(len(seen), payload)]
+
+        return step
+
+    frames = [(v, f, f"{v}{f}") for v in ("a", "b", "c") for f in (3, 1, 2)]
+    df = spark.createDataFrame(frames, "video string, frame long, payload string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # recordings go over batches
+    try:
+        got = sorted(tuple(r) for r in inference.track(df, "video", "frame", "payload", lambda: tracker()).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((v, f, f, p) for v, f, p in frames)
+
+
+def test_stages_in_one_run(spark, tmp_path):
+    df = spark.range(10)
+    out = jobs.run_stages(df, [("half", lambda d: d.filter("id % 2 = 0")), ("add", lambda d: d.withColumn("x", F.col("id") + 1))], [str(tmp_path)])
+    assert sorted(r.x for r in out.collect()) == [1, 3, 5, 7, 9]
+    with pytest.raises(FileNotFoundError):
+        jobs.run_stages(df, [], [str(tmp_path / "none")])
+    with pytest.raises(RuntimeError, match="stage bad failed"):
+        jobs.run_stages(df, [("bad", lambda d: d.select("nothing"))])
+
+
+def test_clusters_over_a_stream_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for k in (1, 2):
+        frame = 0
+        for _ in range(60):
+            frame += rng.choice((0, 0, 1, 1, 2, 6))
+            x, y = rng.randrange(40), rng.randrange(40)
+            rows.append((k, frame, x, y, x + 30, y + 30, rng.randrange(1000)))
+    schema = "key long, frame long, x1 long, y1 long, x2 long, y2 long, score long"
+    cut = sorted(r[1] for r in rows)[len(rows) // 2]
+    (tmp_path / "in").mkdir()
+    df = spark.createDataFrame([(*r, False) for r in rows] + [(k, None, 0, 0, 0, 0, 0, True) for k in (1, 2)], schema + ", end boolean")
+    for n, test in enumerate((F.col("frame") < cut, F.coalesce(F.col("frame") >= cut, F.lit(True)))):
+        df.filter(test).coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        for f in (tmp_path / f"part{n}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema(schema + ", end boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    best = jobs.stream_precluster(stream, "key", "frame", "score", gap=4, end="end")
+    q = best.writeStream.format("memory").queryName("clusters").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    order = [F.col("frame"), -F.col("score"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")]]
+    batch = suppression.precluster(spark.createDataFrame(rows, schema), ["key"], "frame", order, ["frame", "x1", "y1", "x2", "y2", "score"], "score", gap=4)
+    got = sorted(tuple(r) for r in spark.table("clusters").collect())
+    assert got == sorted(tuple(r) for r in batch.select("key", "frame", "x1", "y1", "x2", "y2", "score").collect()) and got
+
+
 def test_every_query_against_its_sql(spark, sf_dir):
     con = duckdb.connect()
     for table in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
