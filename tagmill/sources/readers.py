@@ -175,10 +175,21 @@ def frame_indices(files: DataFrame) -> DataFrame:
 
 
 def nearest_frame(samples: DataFrame, frames: DataFrame, key: str) -> DataFrame:
-    """Each sample (key, ms) with the frame (key, frame, ms) nearest in time, the earlier of equals."""
-    other = frames.select(key, "frame", F.col("ms").alias("frame_ms"))
-    near = samples.join(other, key).groupBy(key, "ms").agg(F.min_by(F.struct("frame", "frame_ms"), F.struct(F.abs(F.col("frame_ms") - F.col("ms")), "frame")).alias("f"))
-    return near.select(key, "ms", "f.frame", "f.frame_ms")
+    """Each sample (key, ms), once, with the frame (key, frame, ms) nearest in time, the lower number of equals.
+
+    Samples and frames are sorted together, and the frame before and the frame after are carried along: no pairs are
+    listed.  Samples of a recording without frames are dropped.
+    """
+    at = frames.groupBy(key, "ms").agg(F.min("frame").alias("frame"))
+    found = F.struct("ms", "frame").alias("f")
+    both = at.select(key, "ms", found, F.lit(False).alias("sample")).unionByName(samples.select(key, "ms").distinct().withColumns({"f": F.lit(None).cast("struct<ms:long,frame:long>"), "sample": F.lit(True)}))
+    near = []
+    for order in (F.col("ms").asc(), F.col("ms").desc()):
+        last = F.last("f", ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+        near.append(last)
+    beside = both.select(key, "ms", "sample", near[0].alias("a"), near[1].alias("b")).filter("sample")
+    cost = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.ms") - F.col("ms")).alias("d"), F.col(f"{c}.frame").alias("frame"), F.col(f"{c}.ms").alias("frame_ms")))
+    return beside.select(key, "ms", F.least(cost("a"), cost("b")).alias("f")).filter("f is not null").select(key, "ms", "f.frame", "f.frame_ms")
 
 
 def keep_stride(frames: DataFrame, key: str, frame: str, stride: int) -> DataFrame:
