@@ -98,3 +98,15 @@ def result_summary(jobs: DataFrame, rows: DataFrame, job: str, result: str, code
 
 def filled_cell(cell: Column) -> Column:
     return trimmed(cell.cast("string")) != ""
+
+
+def best_alike(parsed: DataFrame, truth: DataFrame, scope: str, name: str, order: str, least: float = 0.15) -> DataFrame:
+    """Parsed rows with `order` of the truth whose name is most alike, over `least`, the first of equals; several may share one.
+
+    Names are compared once for each distinct pair of a scope (a recording), whose distinct names are few.  Parsed rows
+    without such a truth are dropped.
+    """
+    known = truth.groupBy(scope, F.col(name).alias("_truth")).agg(F.min(order).alias(order))
+    pairs = parsed.select(scope, name).distinct().join(known, scope).withColumn("similarity", text.similarity(F.col("_truth"), F.col(name)))
+    best = pairs.filter(F.col("similarity") > least).groupBy(scope, name).agg(F.max_by(F.struct(order, "similarity"), F.struct("similarity", -F.col(order))).alias("_best"))
+    return parsed.join(best, [scope, name]).select(*parsed.columns, "_best.*")

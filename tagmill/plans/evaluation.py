@@ -112,3 +112,15 @@ def ord_next_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = read(spark, sf_dir, "orders").filter("o_custkey % 7 <> 3").select((F.col("o_custkey") % 7).alias("split"), F.col("o_orderkey").alias("index"))
     new = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 7).alias("split"), F.col("c_custkey").alias("key"))
     return splits.next_index(new, held, "split", "key", "index").select("key", "index")
+
+
+# Names of one letter each: the similarity of two is 0, or the common length twice over both lengths.
+@query("WITH p AS (SELECT p_partkey AS part, p_partkey % 20 AS scope, p_partkey % 3 AS k, p_partkey % 9 + 1 AS n FROM part), g AS (SELECT s_suppkey AS supp, s_suppkey % 20 AS scope, s_suppkey % 4 AS k, s_suppkey * 7 % 13 + 1 AS n FROM supplier), j AS (SELECT part, supp, 2.0::DOUBLE * least(p.n, g.n) / (p.n + g.n) AS sim FROM p JOIN g USING (scope, k)), b AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY sim DESC, supp) AS rn FROM j WHERE sim > 0.15) SELECT part, supp, CAST(floor(sim * 1000 + 0.5) AS BIGINT) AS similarity FROM b WHERE rn = 1")
+def joi_best_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI08: each reading with the truth of its recording whose name is most alike."""
+    named = lambda k, n, letters: F.repeat(F.element_at(F.array(*[F.lit(x) for x in "abcd"[:letters]]), (k % letters + 1).cast("int")), n.cast("int"))
+    part, supp = F.col("p_partkey"), F.col("s_suppkey")
+    parsed = read(spark, sf_dir, "part").select(part.alias("part"), (part % 20).alias("scope"), named(part, part % 9 + 1, 3).alias("name"))
+    truth = read(spark, sf_dir, "supplier").select(supp.alias("supp"), (supp % 20).alias("scope"), named(supp, supp * 7 % 13 + 1, 4).alias("name"))
+    best = evaluation.best_alike(parsed, truth, "scope", "name", "supp")
+    return best.select("part", "supp", F.floor(F.col("similarity") * 1000 + 0.5).cast("long").alias("similarity"))
