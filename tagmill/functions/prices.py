@@ -10,6 +10,15 @@ from tagmill.functions.coerce import ABSENT, trimmed
 # Characters that recognition confuses with digits, and the digits they stand for.
 CONFUSED = "ОоOoQDЗзБбВвBІіIl|ГгЧчSsGgTt"
 MEANT = "0000003366888111114444556977"
+# The patterns that readings depend on, applied after CONFUSED is translated.
+LONG_RUN = r"\b\d{6,14}\b"
+DATE = r"\b\d{1,2}[./-]\d{1,2}(?:[./-]\d{2,4})?\b"
+PRICE_TOKEN = r"\b(\d{2,4})\b"
+PRICE_AND_CENTS = r"\b(\d{2,4})\s*[^\d]{0,4}(\d{2})\b"
+PRICE_POINT_CENTS = r"\b(\d{1,4})[.,](\d{2})\b"
+SIGNED_PERCENT = r"[-−]?\s*(\d{1,2})\s*[%°‰¢]"
+AFTER_MINUS = r"[-−]\s*(\d{1,2})(?:\D|$)"
+LONE_NUMBER = r"\b(\d{1,2})\b"
 # Usual discount steps, the likeliest first.
 USUAL_DISCOUNTS = (36, 30, 25, 24, 23, 21, 19, 16, 15, 14, 13, 11)
 LEAST, MOST = 50, 999_999
@@ -23,7 +32,7 @@ def as_digits(text: Column) -> Column:
 
 def price_context(text: Column) -> Column:
     """Without runs of 6 to 14 digits and tokens that look like dates."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\b\d{6,14}\b", " "), r"(?U)\b\d{1,2}[./-]\d{1,2}(?:[./-]\d{2,4})?\b", " ")
+    return F.regexp_replace(F.regexp_replace(text, "(?U)" + LONG_RUN, " "), "(?U)" + DATE, " ")
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -37,10 +46,10 @@ def _pairs(text: Column, pattern: str) -> Column:
 def prices(text: Column) -> Column:
     """Distinct prices in cents, the highest first."""
     norm = price_context(as_digits(text))
-    tokens = _all(norm, r"\b(\d{2,4})\b")
+    tokens = _all(norm, PRICE_TOKEN)
     alone = F.transform(F.filter(tokens, lambda t: F.length(t) >= 3), lambda t: t.cast("long"))
     neighbours = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda t, after: F.when(F.length(after) == 2, t.cast("long") * 100 + after.cast("long")))
-    found = F.concat(_pairs(norm, r"\b(\d{2,4})\s*[^\d]{0,4}(\d{2})\b"), _pairs(norm, r"\b(\d{1,4})[.,](\d{2})\b"), alone, neighbours)
+    found = F.concat(_pairs(norm, PRICE_AND_CENTS), _pairs(norm, PRICE_POINT_CENTS), alone, neighbours)
     return F.sort_array(F.array_distinct(F.filter(found, lambda p: p.isNotNull() & p.between(LEAST, MOST))), asc=False)
 
 
@@ -52,12 +61,12 @@ def _first_discount(found: Column) -> Column:
 def discount(text: Column) -> Column:
     """Percent with its sign, or else a number after a minus; null if none is from 5 to 80."""
     norm = as_digits(text)
-    return F.coalesce(_first_discount(_all(norm, r"[-−]?\s*(\d{1,2})\s*[%°‰¢]")), _first_discount(_all(norm, r"[-−]\s*(\d{1,2})(?:\D|$)")))
+    return F.coalesce(_first_discount(_all(norm, SIGNED_PERCENT)), _first_discount(_all(norm, AFTER_MINUS)))
 
 
 def zone_discount(text: Column) -> Column:
     """As discount(); failing that any number from 5 to 80, a usual step before the largest."""
-    lone = F.filter(F.transform(_all(as_digits(text), r"\b(\d{1,2})\b"), lambda d: d.cast("long")), lambda d: d.between(DISCOUNT_LEAST, DISCOUNT_MOST))
+    lone = F.filter(F.transform(_all(as_digits(text), LONE_NUMBER), lambda d: d.cast("long")), lambda d: d.between(DISCOUNT_LEAST, DISCOUNT_MOST))
     usual = F.try_element_at(F.filter(F.array(*[F.lit(d).cast("long") for d in USUAL_DISCOUNTS]), lambda d: F.array_contains(lone, d)), F.lit(1))
     return F.coalesce(discount(text), usual, F.array_max(lone))
 

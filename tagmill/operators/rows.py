@@ -93,6 +93,7 @@ def regions(panel: Column | None = None) -> Column:
         return fixed
     x, y, w, h = panel["x1"], panel["y1"], F.greatest(panel["x2"] - panel["x1"], F.lit(0.01)), F.greatest(panel["y2"] - panel["y1"], F.lit(0.01))
     lo, hi = lambda c, least=0.0: F.greatest(F.lit(least), c), lambda c, most=0.98: F.least(F.lit(most), c)
+    # Shares of the panel's width and height, and the least and greatest places.
     placed = F.array(
         as_struct("product_name", (0.03, 0.02, 0.97, lo(y - 0.03, 0.16))),
         as_struct("price_default", (hi(x + 0.36 * w, 0.95), lo(y - 0.06 * h), hi(x + 0.88 * w), hi(y + 0.52 * h))),

@@ -11,7 +11,7 @@ from tagmill.plans.proxies import EAN, OCR, ean, ocr, read, sql_check
 from tagmill.plans.registry import query
 
 # The same readings in DuckDB SQL, on the ASCII labels of `ocr`.
-NORM = f"n AS (SELECT *, translate(text, '{prices.CONFUSED}', '{prices.MEANT}') AS norm0 FROM ocr), m AS (SELECT *, regexp_replace(regexp_replace(norm0, '\\b\\d{{6,14}}\\b', ' ', 'g'), '\\b\\d{{1,2}}[./-]\\d{{1,2}}(?:[./-]\\d{{2,4}})?\\b', ' ', 'g') AS norm FROM n)"
+NORM = f"n AS (SELECT *, translate(text, '{prices.CONFUSED}', '{prices.MEANT}') AS norm0 FROM ocr), m AS (SELECT *, regexp_replace(regexp_replace(norm0, '{prices.LONG_RUN}', ' ', 'g'), '{prices.DATE}', ' ', 'g') AS norm FROM n)"
 
 
 def sql_pairs(t: str, pattern: str) -> str:
@@ -21,7 +21,7 @@ def sql_pairs(t: str, pattern: str) -> str:
 def sql_prices(t: str, tok: str) -> str:
     alone = f"list_transform(list_filter({tok}, lambda x: length(x) >= 3), lambda x: CAST(x AS BIGINT))"
     near = f"list_transform(range(1, len({tok})), lambda i: CASE WHEN length({tok}[i + 1]) = 2 THEN CAST({tok}[i] AS BIGINT) * 100 + CAST({tok}[i + 1] AS BIGINT) END)"
-    every = " || ".join([sql_pairs(t, r"\b(\d{2,4})\s*[^\d]{0,4}(\d{2})\b"), sql_pairs(t, r"\b(\d{1,4})[.,](\d{2})\b"), alone, near])
+    every = " || ".join([sql_pairs(t, prices.PRICE_AND_CENTS), sql_pairs(t, prices.PRICE_POINT_CENTS), alone, near])
     return f"list_reverse_sort(list_distinct(list_filter({every}, lambda p: p BETWEEN 50 AND 999999)))"
 
 
@@ -30,10 +30,10 @@ def sql_first_discount(t: str, pattern: str) -> str:
 
 
 def sql_discount(t: str) -> str:
-    return f"coalesce({sql_first_discount(t, r'[-−]?\s*(\d{1,2})\s*[%°‰¢]')}, {sql_first_discount(t, r'[-−]\s*(\d{1,2})(?:\D|$)')})"
+    return f"coalesce({sql_first_discount(t, prices.SIGNED_PERCENT)}, {sql_first_discount(t, prices.AFTER_MINUS)})"
 
 
-PRICED = f"{OCR}, {NORM}, tk AS (SELECT *, regexp_extract_all(norm, '\\b(\\d{{2,4}})\\b', 1) AS tok FROM m), pr AS (SELECT *, {sql_prices('norm', 'tok')} AS found, {sql_discount('norm0')} AS pct FROM tk)"
+PRICED = f"{OCR}, {NORM}, tk AS (SELECT *, regexp_extract_all(norm, '{prices.PRICE_TOKEN}', 1) AS tok FROM m), pr AS (SELECT *, {sql_prices('norm', 'tok')} AS found, {sql_discount('norm0')} AS pct FROM tk)"
 INFER = "CASE WHEN {p} BETWEEN 5 AND 40 AND ({c} * 200 + (100 - {p})) // ((100 - {p}) * 2) BETWEEN 50 AND 999999 THEN ({c} * 200 + (100 - {p})) // ((100 - {p}) * 2) END"
 PLAIN = "({c} // 100)::VARCHAR || '.' || CASE WHEN {c} % 10 = 0 THEN (({c} % 100) // 10)::VARCHAR ELSE lpad(({c} % 100)::VARCHAR, 2, '0') END"
 PARSED = f"""{PRICED}, c AS (SELECT *, CASE WHEN len(found) >= 1 THEN found[-1] END AS card, CASE WHEN len(found) >= 2 THEN found[1] END AS dflt FROM pr),
