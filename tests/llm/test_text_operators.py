@@ -466,6 +466,16 @@ def test_ids_are_those_of_the_tokenizer(spark):
         assert [x.tolist() for x in got] == want
 
 
+def test_ids_of_every_latin_letter_and_blank():
+    """Each code point below U+0250 and each blank: alone, between letters, doubled, before a combining mark, after a blank."""
+    points = [chr(k) for k in range(1, 0x250)] + list("\u1680\u2000\u2003\u200b\u2028\u2029\u202f\u205f\u3000\ufeff")
+    texts = [form.format(c) for c in points for form in ("{0}", "a{0}b", "{0}{0}", "x {0} y", "{0}\u0301", "  {0}\n{0}1", "It's {0}'s")]
+    want = [x.ids for x in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    got = packing.ChunkTokenizer(WORDS, 600_000).encode([t.encode() for t in texts])
+    wrong = [t for t, a, b in zip(texts, got, want, strict=True) if a.tolist() != b]
+    assert not wrong
+
+
 def test_packing_odd(odd, empty):
     rows = packing.pack(odd, WORDS).collect()
     ids = {t: [*Tokenizer.from_file(WORDS).encode(t or "", add_special_tokens=False).ids, 1] for _, t in ODD}
