@@ -91,9 +91,6 @@ def dup_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "line", "part", "supp", "conf")
 
 
-_RESULT = "o_orderkey % 2 = 0, o_orderkey % 3 = 0"
-
-
 @query("WITH r AS (SELECT l_orderkey AS job, count(*) AS n, count_if(l_partkey % 2 = 0)::BIGINT AS codes, (count(*) + count_if(l_partkey % 2 = 0) + count_if(l_suppkey % 3 = 0))::BIGINT AS filled FROM lineitem GROUP BY 1) SELECT o_orderkey AS job, CASE WHEN o_orderkey % 2 = 0 THEN 100 + o_orderkey WHEN o_orderkey % 3 = 0 THEN 7 ELSE 0 END AS frames_processed, CASE WHEN o_orderkey % 5 = 0 THEN 9 WHEN o_orderkey % 3 = 0 THEN 8 ELSE coalesce(n, 0) END AS price_tags_found, coalesce(codes, 0) AS qr_codes_decoded, coalesce(filled, 0) AS fields_filled FROM orders LEFT JOIN r ON job = o_orderkey")
 def prj_result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ10: figures of a job from its result, else from the next source, else from its rows."""
