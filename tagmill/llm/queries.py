@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import additive, avi, bpe_tree, chat, lang_id, licenses, line_dedup, packing, simhash, token_counts
+from tagmill.llm import additive, avi, bpe_tree, chat, lang_id, licenses, line_dedup, packing, pii, simhash, structure, token_counts, whitening
 from tagmill.llm.common import read
 
 
@@ -54,6 +54,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.digest(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi_mjpeg": op1_avi_mjpeg,
     "op2_line_winnowing": op2_line_winnowing,
@@ -65,8 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_gru": op8_language_gru,
     "op9_byte_bpe_tree": op9_byte_bpe_tree,
     "op10_license_scan": op10_license_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_pii": op12_pii,
+    "op13_structure_repair": op13_structure_repair,
 }
 ORACLE: dict[str, str] = {
     "op2_line_winnowing": line_dedup.oracle(),
     "op10_license_scan": licenses.oracle(),
+    "op12_pii": pii.oracle(),
 }
