@@ -42,15 +42,20 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def boxed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and `rest`, a struct of all columns but text, so that no name of docs can clash with an operator's."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    others = [F.col(quoted(c)) for c in docs.columns if c != "text"]
     return docs.select("doc_id", "text", F.struct(*others).alias("rest"))
 
 
 def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     """The columns of docs out of boxed(); new values by name."""
-    return df.select(*[new[c].alias(c) if c in new else F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in columns])
+    return df.select(*[new[c].alias(c) if c in new else F.col("text") if c == "text" else F.col(f"rest.{quoted(c)}").alias(c) for c in columns])
 
 
 def table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagmill.llm.common import slices
 
@@ -240,7 +241,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LA
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """All columns of docs with lang_pred, score (its pooled probability) and label_share (share of positions so labelled)."""
     docs = docs.drop("lang_pred", "score", "label_share")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, label_share double"
+    out = T.StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double").add("label_share", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -254,4 +255,4 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
                 pred[i], score[i], share[i] = net.langs[k], min(1.0, float(s[k]) / len(r)), float(v[k]) / len(r)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.float64())], [*part.schema.names, "lang_pred", "score", "label_share"])
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, out)

@@ -227,7 +227,7 @@ def test_one_document_of_a_group_stays(spark, sf_dir):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-CLASH = ["score", "lang_pred", "label_share", "n_deleted", "deleted", "n_lines", "gone", "rest", "key", "salt", "json", "stays", "row", "print", "component_id", "runs", "windows"]
+CLASH = ["my col", "a-b", "a.b", "x`y", "score", "lang_pred", "label_share", "n_deleted", "deleted", "n_lines", "gone", "rest", "key", "salt", "json", "stays", "row", "print", "component_id", "runs", "windows"]
 
 
 def test_stages_with_clashing_columns_and_no_rows(spark, sf_dir):
