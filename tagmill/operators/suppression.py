@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagmill.functions.coerce import clean
 from tagmill.functions.geometry import Box, doubled_center_distance_squared, iou_at_least
@@ -201,14 +202,14 @@ def identities(df: DataFrame, scope: list[str], order: list[str], quality: str,
     """
     cells = ("barcode", "price_default", "price_card", "product_name")
     given = df.select("*", *[clean(F.col(c)).alias(f"_{c}") for c in cells])
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", identity int, best boolean"
+    schema = T.StructType(list(df.schema)).add("identity", "int").add("best", "boolean")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in order])
         of, best = grow_identities(Tags.of(rows), rows.column(quality).to_numpy(), numerator, denominator, spatial)
         return rows.drop_columns([f"_{c}" for c in cells]).append_column("identity", pa.array(of, pa.int32())).append_column("best", pa.array(best))
 
-    return given.groupBy(*scope).applyInArrow(run, ddl)
+    return given.groupBy(*scope).applyInArrow(run, schema)
 
 
 def dedupe(df: DataFrame, scope: list[str], frame: str, order: list[str], quality: str, spatial: int = 0) -> DataFrame:
