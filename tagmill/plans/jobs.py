@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tagmill.plans.proxies import read
 from tagmill.plans.registry import query
-from tagmill.streaming import jobs
+from tagmill.sources.scratch import new_folder
+from tagmill.streaming import jobs, timed
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,3 +46,50 @@ def stm_gap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     begins = F.when(before.isNull() | (F.col("s") - before > 43200), 1).otherwise(0)
     numbered = e.withColumn("b", begins).withColumn("run", F.sum("b").over(by_time))
     return numbered.groupBy("user_id", "run").agg(F.min("s").alias("first_s"), F.max("s").alias("last_s"), F.count("*").alias("n"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, table: str, clock: dict, out) -> DataFrame:  # noqa: ANN001
+    """What a stream over a table's files gives, its watermark carried past the end by one row of another source (`clock`)."""
+    folder, schema = new_folder(spark), read(spark, sf_dir, table).schema
+    path = f"{sf_dir}/{table}[.]parquet"  # a pattern may name one file, a plain path only a folder
+    spark.range(1).select(*[(F.lit(clock[f.name]).cast(f.dataType) if f.name in clock else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]).write.parquet(f"{folder}/clock")
+    rows = spark.readStream.schema(schema).parquet(path).unionByName(spark.readStream.schema(schema).parquet(f"{folder}/clock"))
+    found = out(rows)
+    timed.started(found, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+@query("WITH e AS (SELECT l_suppkey AS key, l_orderkey AS frame, CAST(round(l_extendedprice) AS BIGINT) AS score FROM lineitem), b AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY key ORDER BY frame, score) <= 40 THEN 0 ELSE 1 END AS begins FROM e), r AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY frame, score ROWS UNBOUNDED PRECEDING) AS run FROM b) SELECT key, min(frame) AS first_frame, max(frame) AS last_frame, max(score) AS best, count(*) AS n FROM r GROUP BY key, run")
+def stm_timed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM07: runs of a supplier's orders over a stream, closed by timers."""
+    c = F.col
+
+    def out(rows: DataFrame) -> DataFrame:
+        seen = rows.select(c("l_suppkey").alias("key"), c("l_orderkey").alias("frame"), F.round("l_extendedprice").cast("long").alias("score"))
+        return timed.runs(seen, "key", "frame", "score", gap=40)
+
+    return _streamed(spark, sf_dir, "lineitem", {"l_orderkey": 9 * 10**12, "l_extendedprice": 0}, out)
+
+
+_STEP = "e.error IS NULL AND e.stage IS NOT DISTINCT FROM (['detect', 'classify', 'ocr', 'finalize'])[h.here + 1]"
+
+
+@query(f"""WITH RECURSIVE log AS (SELECT user_id * 100 + day(ts) AS job, epoch_us(ts) // 1000 AS ms, event_id, CASE event_type WHEN 'signup' THEN 'detect' WHEN 'view' THEN 'classify' WHEN 'click' THEN 'ocr' WHEN 'purchase' THEN 'finalize' END AS stage,
+ CASE WHEN event_type = 'error' THEN 'error_' || event_id::VARCHAR END AS error FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ms, event_id) AS k FROM log),
+h AS (SELECT DISTINCT job, 0::BIGINT AS k, 0 AS here, NULL::BIGINT AS done_at, NULL::VARCHAR AS error, false AS done, false AS live FROM e
+ UNION ALL SELECT e.job, e.k, CASE WHEN {_STEP} THEN (h.here + 1) % 4 ELSE h.here END, CASE WHEN {_STEP} THEN e.ms ELSE h.done_at END, CASE WHEN e.error IS NOT NULL THEN e.error WHEN {_STEP} THEN NULL ELSE h.error END,
+  {_STEP} AND h.here = 3, NOT ({_STEP} AND h.here = 3) FROM (SELECT job, k, here, CASE WHEN done THEN NULL ELSE done_at END AS done_at, error FROM h) h JOIN e ON e.job = h.job AND e.k = h.k + 1),
+t AS (SELECT job, max(k) AS k FROM e GROUP BY job)
+SELECT job, 'completed' AS status, 'finalize' AS current_stage, NULL AS error_message, done_at AS updated_ms FROM h WHERE done
+UNION ALL SELECT h.job, CASE WHEN error IS NOT NULL THEN 'failed' ELSE 'queued' END, (['detect', 'classify', 'ocr', 'finalize'])[here + 1], error, done_at FROM h JOIN t ON h.job = t.job AND h.k = t.k WHERE live""")
+def stm_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM02: a job's stages over a stream, each counted once and in order, until it completes or falls silent."""
+    c, kind = F.col, F.col("event_type")
+
+    def out(rows: DataFrame) -> DataFrame:
+        stage = F.when(kind == "signup", "detect").when(kind == "view", "classify").when(kind == "click", "ocr").when(kind == "purchase", "finalize")
+        error = F.when(kind == "error", F.concat(F.lit("error_"), c("event_id").cast("string")))
+        seen = rows.select((c("user_id") * 100 + F.dayofmonth("ts")).alias("job"), c("ts").cast("timestamp").alias("ts"), "event_id", stage.alias("stage"), error.alias("error"))
+        return timed.job_states(seen, "job", "ts", "event_id", "stage", "error", patience=10 * 24 * 3600 * 1000)
+
+    return _streamed(spark, sf_dir, "events", {"ts": "2100-01-01 00:00:00"}, out)
