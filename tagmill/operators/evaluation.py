@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tagmill.functions import prices, text
@@ -83,6 +85,13 @@ def tally(df: DataFrame, **tests: Column) -> DataFrame:
     return df.agg(*[F.count_if(test).alias(name) for name, test in tests.items()])
 
 
+def counted(df: DataFrame, write: Callable[[DataFrame], None], **tests: Column) -> dict[str, int]:
+    """Writes a table and counts, in the writing job itself, how many of its rows pass each test."""
+    seen = Observation()
+    write(df.observe(seen, *[F.count_if(test).alias(name) for name, test in tests.items()]))
+    return seen.get
+
+
 def result_summary(jobs: DataFrame, rows: DataFrame, job: str, result: str, code: str, cells: list[str]) -> DataFrame:
     """A job's figures: from its result JSON where it has them, else the next source, else what its rows say."""
     n_filled = sum((F.when(filled_cell(F.col(c)), 1).otherwise(0) for c in cells), F.lit(0))

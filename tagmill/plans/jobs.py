@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagmill.plans.proxies import read
 from tagmill.plans.registry import query
+from tagmill.sources.jobstore import JobStore
 from tagmill.sources.scratch import new_folder
 from tagmill.streaming import jobs, timed
 
@@ -93,3 +94,24 @@ def stm_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         return timed.job_states(seen, "job", "ts", "event_id", "stage", "error", patience=10 * 24 * 3600 * 1000)
 
     return _streamed(spark, sf_dir, "events", {"ts": "2100-01-01 00:00:00"}, out)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, {'part': event_id % 3, 'us': epoch_us(ts), 'id': event_id} AS o, CASE event_type WHEN 'signup' THEN 'detect' WHEN 'view' THEN 'classify' WHEN 'click' THEN '' ELSE NULL END AS stage, CASE WHEN event_type = 'purchase' THEN 'r' || event_id::VARCHAR END AS result, CASE WHEN event_type = 'error' THEN 'e' || event_id::VARCHAR END AS error FROM events)
+SELECT 'job_' || user_id::VARCHAR AS id, coalesce(arg_max(stage, o) FILTER (WHERE stage <> ''), 'detect') AS current_stage, arg_max(result, o) FILTER (WHERE result IS NOT NULL) AS result_csv_path, (arg_max(struct_pack(v := error), o)).v AS error_message, arg_max(ms, o) AS updated_ms FROM e GROUP BY user_id""")
+def snk_job_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK11, SNK12, SRC27: jobs created, updated in batches, compacted between them, and looked up by id."""
+    c, kind = F.col, F.col("event_type")
+    events = read(spark, sf_dir, "events").withColumn("id", F.concat(F.lit("job_"), c("user_id").cast("string")))
+    store = JobStore(spark, new_folder(spark), 16)
+    first = events.groupBy("id").agg(F.min("ts").cast("timestamp").alias("at"))
+    store.create(first.withColumns({"at": c("at") - F.expr("interval 1 day"), "filename": F.concat("id", F.lit(".mp4"))}))
+    given = events.select(
+        "id", c("ts").cast("timestamp").alias("at"), F.when(kind == "signup", "detect").when(kind == "view", "classify").when(kind == "click", "").alias("current_stage"),
+        F.when(kind == "purchase", F.concat(F.lit("r"), c("event_id").cast("string"))).alias("result_csv_path"), F.when(kind == "error", F.concat(F.lit("e"), c("event_id").cast("string"))).alias("error_message"),
+        (c("event_id") % 3).alias("part"),
+    )
+    for part in range(3):
+        store.update(given.filter(c("part") == part).drop("part"))
+        if part == 1:
+            store.compact()
+    return store.lookup(events).select("id", "current_stage", "result_csv_path", "error_message", F.unix_millis("at").alias("updated_ms"))

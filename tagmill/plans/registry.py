@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str | Callable[[], str]] = {}
-MODULES = ("detections", "labels", "tables", "rows", "jobs", "evaluation", "files", "media", "models", "videos")
+MODULES = ("detections", "labels", "tables", "rows", "jobs", "evaluation", "files", "media", "models", "videos", "colors")
 
 
 def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
