@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions import prices, text
 from tagmill.functions.coerce import filled, trimmed
+from tagmill.operators import alike
 
 
 def permille(test: Column) -> Column:
@@ -112,10 +113,10 @@ def filled_cell(cell: Column) -> Column:
 def best_alike(parsed: DataFrame, truth: DataFrame, scope: str, name: str, order: str, least: float = 0.15) -> DataFrame:
     """Parsed rows with `order` of the truth whose name is most alike, over `least`, the first of equals; several may share one.
 
-    Names are compared once for each distinct pair of a scope (a recording), whose distinct names are few.  Parsed rows
-    without such a truth are dropped.
+    Only pairs of names that may be alike enough meet (see operators.alike).  Parsed rows without such a truth are dropped.
     """
-    known = truth.groupBy(scope, F.col(name).alias("_truth")).agg(F.min(order).alias(order))
-    pairs = parsed.select(scope, name).distinct().join(known, scope).withColumn("similarity", text.similarity(F.col("_truth"), F.col(name)))
-    best = pairs.filter(F.col("similarity") > least).groupBy(scope, name).agg(F.max_by(F.struct(order, "similarity"), F.struct("similarity", -F.col(order))).alias("_best"))
-    return parsed.join(best, [scope, name]).select(*parsed.columns, "_best.*")
+    given = parsed.withColumn("_name", text.normalize(F.col(name)))
+    named = truth.select(F.col(scope).alias("scope"), text.normalize(F.col(name)).alias("name"), F.col(order).alias("order"))
+    best = alike.best_matches(given.select(F.col(scope).alias("scope"), F.col("_name").alias("name")), named, least)
+    best = best.select(F.col("scope").alias(scope), F.col("name").alias("_name"), F.col("first").alias(order), "similarity")
+    return given.join(best, [scope, "_name"]).select(*parsed.columns, order, "similarity")

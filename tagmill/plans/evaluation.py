@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.functions import prices
+from tagmill.functions import prices, text
 from tagmill.operators import evaluation, splits, suppression
 from tagmill.plans.detections import _JOIN_CLUSTER, _NEW_CLUSTER, RULES, _sql_first_match, order, rules, sql_iou
 from tagmill.plans.labels import NAME_OF_LABEL, PARSED
@@ -124,3 +124,35 @@ def joi_best_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = read(spark, sf_dir, "supplier").select(supp.alias("supp"), (supp % 20).alias("scope"), named(supp, supp * 7 % 13 + 1, 4).alias("name"))
     best = evaluation.best_alike(parsed, truth, "scope", "name", "supp")
     return best.select("part", "supp", F.floor(F.col("similarity") * 1000 + 0.5).cast("long").alias("similarity"))
+
+
+# The ratio by its definition: the longest common block (first in the one, then in the other), then what lies on each side of it.
+_BLOCKS = """w AS (SELECT id, a, b, 0 AS n FROM pairs UNION ALL SELECT id, unnest([a[:i - 1], a[i + n:], NULL]), unnest([b[:j - 1], b[j + n:], NULL]), unnest([0, 0, n]) FROM (
+ SELECT id, a, b, m.n AS n, -m.i AS i, -m.j AS j FROM (SELECT id, a, b, list_max(list_filter(flatten(list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(a) - i + 2), lambda k: {'n': k, 'i': -i, 'j': -strpos(b, a[i:i + k - 1])}))), lambda s: s.j < 0)) AS m
+ FROM w WHERE a <> '' AND b <> '') WHERE m IS NOT NULL)), ratio AS (SELECT id, sum(n) AS matched FROM w GROUP BY id)"""
+_LONG = "p_name || ' ' || p_brand || ' ' || p_type"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS part, lower({_LONG}) AS name FROM part), pairs AS (SELECT x.part AS id, x.name AS a, y.name AS b FROM p x JOIN p y ON y.part = x.part + 1), {_BLOCKS}
+SELECT id AS part, CAST(floor(2000.0::DOUBLE * matched / (length(pairs.a) + length(pairs.b)) + 0.5) AS BIGINT) AS permille FROM pairs JOIN ratio USING (id)""")
+def str_name_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR27, STR41: similarity of neighbouring names, real ones."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
+    other = p.select((F.col("part") - 1).alias("part"), F.col("name").alias("other"))
+    both = p.join(other, "part").select("part", text.similarity(F.col("name"), F.col("other")).alias("s"))
+    return both.select("part", F.floor(F.col("s") * 1000 + 0.5).cast("long").alias("permille"))
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT p_partkey AS part, p_partkey // 100 AS scope, lower({_LONG}) AS name FROM part), r AS (SELECT part, scope, CASE WHEN part % 9 = 8 THEN repeat('q', 1 + part % 3) ELSE name[:part % 12] || 'x' || name[part % 12 + 2:] END AS name FROM g WHERE part % 4 <> 0),
+pairs AS (SELECT r.part * 1000000 + t.part AS id, t.name AS a, r.name AS b, r.part AS part, t.part AS truth FROM r JOIN g t ON t.scope = r.scope AND t.part % 4 = 0), {_BLOCKS},
+s AS (SELECT part, truth, 2.0::DOUBLE * coalesce(matched, 0) / (length(pairs.a) + length(pairs.b)) AS sim FROM pairs LEFT JOIN ratio USING (id)), b AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY sim DESC, truth) AS rn FROM s WHERE sim > 0.15)
+SELECT part, truth, CAST(floor(sim * 1000 + 0.5) AS BIGINT) AS permille FROM b WHERE rn = 1""")
+def joi_best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI08: misread names with the true name of their recording that is most alike, real ones."""
+    part = F.col("p_partkey")
+    g = read(spark, sf_dir, "part").select(part.alias("part"), F.floor(part / 100).cast("long").alias("scope"), F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("name"))
+    at = (F.col("part") % 12).cast("int")
+    misread = F.when(F.col("part") % 9 == 8, F.repeat(F.lit("q"), (F.col("part") % 3 + 1).cast("int"))).otherwise(F.concat(F.substring("name", F.lit(1), at), F.lit("x"), F.substring("name", at + 2, F.lit(1000))))
+    parsed = g.filter("part % 4 <> 0").withColumn("name", misread)
+    best = evaluation.best_alike(parsed, g.filter("part % 4 = 0").withColumnRenamed("part", "truth"), "scope", "name", "truth")
+    return best.select("part", "truth", F.floor(F.col("similarity") * 1000 + 0.5).cast("long").alias("permille"))
