@@ -120,3 +120,21 @@ def best_alike(parsed: DataFrame, truth: DataFrame, scope: str, name: str, order
     best = alike.best_matches(given.select(F.col(scope).alias("scope"), F.col("_name").alias("name")), named, least)
     best = best.select(F.col("scope").alias(scope), F.col("name").alias("_name"), F.col("first").alias(order), "similarity")
     return given.join(best, [scope, "_name"]).select(*parsed.columns, order, "similarity")
+
+
+def end_to_end(parsed: DataFrame, truth: DataFrame, scope: str, name: str, order: str, default: str, card: str, within: int = 100, least: float = 0.15) -> DataFrame:
+    """One row: parsed rows, those with a truth (the name most alike, over `least`) and without, prices (cents) nearer than `within` to
+    a positive true price, names more alike than 0.6, and the mean similarity of the matched (0 without any).
+    """
+    given = parsed.select(scope, name, F.col(default).alias("_default"), F.col(card).alias("_card"))
+    best = best_alike(given, truth, scope, name, order, least)
+    known = truth.select(scope, order, F.col(default).alias("_true_default"), F.col(card).alias("_true_card"))
+    both = best.join(known, [scope, order])
+    near = lambda true, read: F.count_if((F.col(true) > 0) & (F.abs(F.col(true) - F.col(read)) < within))
+    figures = both.agg(
+        F.count("*").alias("matched_with_gt"), near("_true_default", "_default").alias("price_default_exact_match"), near("_true_card", "_card").alias("price_card_exact_match"),
+        F.count_if(F.col("similarity") > 0.6).alias("product_name_sim_gt_60"), F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("product_name_avg_sim"),
+    )
+    total = parsed.agg(F.count("*").alias("total_detected_tags"))
+    names = [*total.columns, *figures.columns]
+    return total.unionByName(figures, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names]).withColumn("unmatched", F.col("total_detected_tags") - F.col("matched_with_gt"))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.operators import colors, evaluation, rows
-from tagmill.plans.proxies import DET, det, read
+from tagmill.operators import colors, evaluation, rows, scanlines
+from tagmill.plans.proxies import DET, EAN, det, ean, read
 from tagmill.plans.registry import query
 from tagmill.sources import onefile, readers
 from tagmill.sources.scratch import new_folder
@@ -90,3 +90,25 @@ def agg_observed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     counts = evaluation.counted(det(spark, sf_dir), lambda df: df.write.parquet(new_folder(spark)), written=F.lit(True), val=c("image_id") % 10 == 7, narrow=c("x2") - c("x1") < 80)
     return spark.createDataFrame([counts], "written long, val long, narrow long")
+
+
+@query(f"WITH {EAN} SELECT n AS part, code FROM ean WHERE n % 5 <> 0")
+def udf_barcode_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF09: EAN-13 read from pixels: drawn upright, reversed or on its side, with stains; a wrong check digit is no code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, codes = (batch.column(c).to_pylist() for c in ("part", "code"))
+            for at in range(0, len(keys), 64):
+                out = []
+                for k, code in zip(keys[at : at + 64], codes[at : at + 64], strict=True):
+                    line = np.concatenate([np.full(14, 230), np.repeat(np.tile([20, 230], 30)[:59], np.array(scanlines.modules(code)) * 2), np.full(14, 230)]).astype(np.uint8)
+                    picture = np.repeat(np.tile(line, (12, 1))[:, :, None], 3, axis=2)
+                    picture[k % 12 : k % 12 + 3, 40:60] = 20  # a stain over a few lines
+                    picture = np.rot90(picture, k % 4)
+                    out.append((str(k), picture.shape[1], picture.shape[0], np.ascontiguousarray(picture).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["path", "width", "height", "content"])
+
+    part = F.col("p_partkey")
+    drawn = read(spark, sf_dir, "part").select(part.alias("part"), ean(part).alias("code")).mapInArrow(run, "path string, width int, height int, content binary")
+    return scanlines.barcodes(drawn).select(F.col("path").cast("long").alias("part"), "code")

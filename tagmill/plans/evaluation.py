@@ -143,16 +143,32 @@ def str_name_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("part", F.floor(F.col("s") * 1000 + 0.5).cast("long").alias("permille"))
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT p_partkey AS part, p_partkey // 100 AS scope, lower({_LONG}) AS name FROM part), r AS (SELECT part, scope, CASE WHEN part % 9 = 8 THEN repeat('q', 1 + part % 3) ELSE name[:part % 12] || 'x' || name[part % 12 + 2:] END AS name FROM g WHERE part % 4 <> 0),
+_MISREAD = f"""g AS (SELECT p_partkey AS part, p_partkey // 100 AS scope, lower({_LONG}) AS name, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part), r AS (SELECT part, scope, CASE WHEN part % 9 = 8 THEN repeat('q', 1 + part % 3) ELSE name[:part % 12] || 'x' || name[part % 12 + 2:] END AS name, cents FROM g WHERE part % 4 <> 0),
 pairs AS (SELECT r.part * 1000000 + t.part AS id, t.name AS a, r.name AS b, r.part AS part, t.part AS truth FROM r JOIN g t ON t.scope = r.scope AND t.part % 4 = 0), {_BLOCKS},
-s AS (SELECT part, truth, 2.0::DOUBLE * coalesce(matched, 0) / (length(pairs.a) + length(pairs.b)) AS sim FROM pairs LEFT JOIN ratio USING (id)), b AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY sim DESC, truth) AS rn FROM s WHERE sim > 0.15)
-SELECT part, truth, CAST(floor(sim * 1000 + 0.5) AS BIGINT) AS permille FROM b WHERE rn = 1""")
-def joi_best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI08: misread names with the true name of their recording that is most alike, real ones."""
+s AS (SELECT part, truth, 2.0::DOUBLE * coalesce(matched, 0) / (length(pairs.a) + length(pairs.b)) AS sim FROM pairs LEFT JOIN ratio USING (id)), b AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY sim DESC, truth) AS rn FROM s WHERE sim > 0.15)"""
+
+
+def _misread(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names of three parts in four with one character misread (some are nothing like a name), and the fourth parts as the truth of their hundred."""
     part = F.col("p_partkey")
-    g = read(spark, sf_dir, "part").select(part.alias("part"), F.floor(part / 100).cast("long").alias("scope"), F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("name"))
+    g = read(spark, sf_dir, "part").select(part.alias("part"), F.floor(part / 100).cast("long").alias("scope"), F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("name"), F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
     at = (F.col("part") % 12).cast("int")
     misread = F.when(F.col("part") % 9 == 8, F.repeat(F.lit("q"), (F.col("part") % 3 + 1).cast("int"))).otherwise(F.concat(F.substring("name", F.lit(1), at), F.lit("x"), F.substring("name", at + 2, F.lit(1000))))
-    parsed = g.filter("part % 4 <> 0").withColumn("name", misread)
-    best = evaluation.best_alike(parsed, g.filter("part % 4 = 0").withColumnRenamed("part", "truth"), "scope", "name", "truth")
+    return g.filter("part % 4 <> 0").withColumn("name", misread), g.filter("part % 4 = 0").withColumnRenamed("part", "truth")
+
+
+@query(f"WITH RECURSIVE {_MISREAD} SELECT part, truth, CAST(floor(sim * 1000 + 0.5) AS BIGINT) AS permille FROM b WHERE rn = 1")
+def joi_best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI08: misread names with the true name of their recording that is most alike, real ones."""
+    best = evaluation.best_alike(*_misread(spark, sf_dir), "scope", "name", "truth")
     return best.select("part", "truth", F.floor(F.col("similarity") * 1000 + 0.5).cast("long").alias("permille"))
+
+
+@query(f"""WITH RECURSIVE {_MISREAD}, m AS (SELECT b.*, r.cents AS read, g.cents AS true_cents FROM b JOIN r ON r.part = b.part JOIN g ON g.part = b.truth WHERE rn = 1)
+SELECT (SELECT count(*) FROM r) AS total_detected_tags, count(*) AS matched_with_gt, (SELECT count(*) FROM r) - count(*) AS unmatched, count_if(abs(read - true_cents) < 20000)::BIGINT AS price_default_exact_match, count_if(abs(read - true_cents + 150) < 20000)::BIGINT AS price_card_exact_match, count_if(sim > 0.6)::BIGINT AS product_name_sim_gt_60, round(avg(sim), 6) AS product_name_avg_sim FROM m""")
+def agg_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG06, AGG22: figures of a whole run against ground truth, matched and unmatched."""
+    prices_of = lambda df, less: df.withColumns({"default": F.col("cents"), "card": F.col("cents") - less})
+    parsed, truth = _misread(spark, sf_dir)
+    found = evaluation.end_to_end(prices_of(parsed, 0), prices_of(truth, 150), "scope", "name", "truth", "default", "card", within=20000)
+    return found.withColumn("product_name_avg_sim", F.round("product_name_avg_sim", 6))
