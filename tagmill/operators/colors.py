@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.functions import masks
+from tagmill.functions import deskew, masks
 from tagmill.operators import suppression
 from tagmill.operators.inference import _hsv
 
@@ -145,3 +145,19 @@ def panels(images: DataFrame) -> DataFrame:
 
     return images.select("path", "width", "height", "content").mapInArrow(run, "path string, panel struct<x1:double,y1:double,x2:double,y2:double>")
 
+
+
+def straightened(images: DataFrame) -> DataFrame:
+    """Pictures (path, width, height, content) deskewed: in their new size, with ok; those without a clear outline stay as they are, ok false.
+
+    Broken pictures come back without content, ok false.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, rgb in _pictures(batches):
+            out, ok = deskew.deskew(rgb) if rgb is not None else (None, False)
+            shape = out.shape if out is not None else (None, None)
+            values = ([path], pa.string()), ([shape[1]], pa.int32()), ([shape[0]], pa.int32()), ([out.tobytes() if out is not None else None], pa.binary()), ([ok], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], ["path", "width", "height", "content", "ok"])
+
+    return images.select("path", "width", "height", "content").mapInArrow(run, "path string, width int, height int, content binary, ok boolean")

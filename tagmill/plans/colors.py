@@ -112,3 +112,15 @@ def udf_barcode_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("p_partkey")
     drawn = read(spark, sf_dir, "part").select(part.alias("part"), ean(part).alias("code")).mapInArrow(run, "path string, width int, height int, content binary")
     return scanlines.barcodes(drawn).select(F.col("path").cast("long").alias("part"), "code")
+
+
+@query("SELECT s_suppkey AS k, true AS ok, CASE WHEN s_suppkey % 3 = 0 THEN 159 ELSE 99 + s_suppkey % 17 END AS width, CASE WHEN s_suppkey % 3 = 0 THEN 119 ELSE 69 + s_suppkey % 13 END AS height FROM supplier")
+def udf_deskew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF07: bright labels cut out along their outlines; where the label is too small the picture itself is what stands out from the margin."""
+
+    def boxes(k: int) -> list[tuple]:
+        small = k % 3 == 0
+        return [(20, 15, 12 if small else 100 + k % 17, 9 if small else 70 + k % 13, (240, 240, 230))]
+
+    found = colors.straightened(_drawn(read(spark, sf_dir, "supplier"), "s_suppkey", boxes))
+    return found.select(F.col("path").cast("long").alias("k"), "ok", "width", "height")
