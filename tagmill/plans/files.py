@@ -15,7 +15,7 @@ from tagmill.sources.scratch import new_folder
 
 @query(f"WITH {DET} SELECT 'img/' || image_id::VARCHAR || '.jpg' AS image_path, line AS class_id, 'tag, \"' || supp::VARCHAR || '\"' AS class_name, conf % 1000 AS permille, x1, y1, x2, y2 FROM det WHERE part % 10 <> 0")
 def src_detections_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC01, SRC02, SNK02, SNK04: detections as CSV; rows without an image path are dropped."""
+    """SRC01, SRC02, SNK02: detections as CSV; rows without an image path are dropped."""
     c, path = F.col, new_folder(spark)
     rows = det(spark, sf_dir).select(
         F.when(c("part") % 10 == 0, " ").otherwise(F.concat(F.lit("img/"), c("image_id").cast("string"), F.lit(".jpg"))).alias("image_path"), c("line").alias("class_id"),
@@ -49,7 +49,7 @@ def snk_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, o_custkey AS tag FROM orders WHERE o_orderkey % 7 <> 0")
 def src_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC05, SRC06: JSON lines that hold JSON as text; lines where it can't be read are dropped."""
+    """SRC06: JSON lines that hold JSON as text; lines where it can't be read are dropped."""
     c, path = F.col, new_folder(spark)
     inner = F.when(c("o_orderkey") % 7 == 0, "no json").otherwise(F.to_json(F.struct(c("o_custkey").alias("tag"))))
     sinks.write_json(read(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), inner.alias("output")), path)
@@ -58,7 +58,7 @@ def src_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'crop_' || p_partkey::VARCHAR || '.jpg' AS filename, p_size::VARCHAR AS confidence FROM part")
 def src_crop_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC04, SRC07: a folder's crop manifest, named by the base of the crop's path."""
+    """SRC07: a folder's crop manifest, named by the base of the crop's path."""
     path = new_folder(spark)
     crop = F.concat(F.lit("a\\b/crop_"), F.col("p_partkey").cast("string"), F.lit(".jpg"))
     sinks.write_csv(read(spark, sf_dir, "part").select(crop.alias("crop_path"), F.col("p_size").alias("confidence")), f"{path}/crops_manifest.csv")
@@ -67,7 +67,7 @@ def src_crop_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'val' ELSE 'train' END AS split, 'crops/' || s_suppkey::VARCHAR || '.jpg' AS file, s_name AS label FROM supplier")
 def snk_split_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC16, SRC17, SNK06, SNK10: recognition lists, a folder for each split."""
+    """SRC22, SNK06, SNK10: recognition lists, a folder for each split."""
     path, key = new_folder(spark), F.col("s_suppkey")
     rows = read(spark, sf_dir, "supplier").select(F.concat(F.lit("crops/"), key.cast("string"), F.lit(".jpg")).alias("file"), F.col("s_name").alias("label"), F.when(key % 4 == 0, "val").otherwise("train").alias("split"))
     sinks.write_split_lists(rows, "file", "label", "split", path)

@@ -183,7 +183,7 @@ def stm_handled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DET}, f AS (SELECT DISTINCT image_id % 1000 AS video, image_id // 1000 AS frame FROM det), s AS (SELECT DISTINCT video, frame * 40 + 25 AS ms FROM f WHERE frame % 3 = 0), j AS (SELECT s.video, s.ms, f.frame, row_number() OVER (PARTITION BY s.video, s.ms ORDER BY abs(f.frame * 40 - s.ms), f.frame) AS rn FROM s JOIN f USING (video)) SELECT video, ms, frame FROM j WHERE rn = 1")
 def src_nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC17: the frame nearest in time to each sample of its recording."""
+    """SRC16: the frame nearest in time to each sample of its recording."""
     frames = video(det(spark, sf_dir)).select("video", "frame").distinct().withColumn("ms", F.col("frame") * 40)
     samples = frames.filter("frame % 3 = 0").select("video", (F.col("ms") + 25).alias("ms"))
     return readers.nearest_frame(samples, frames, "video").select("video", "ms", "frame")
