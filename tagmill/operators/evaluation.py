@@ -76,9 +76,14 @@ def detector_stats(frames: DataFrame, detections: DataFrame, detector: str, key:
     return found.select("*", n).select(detector, "frames", "with_any", "total", thousandths("total", "frames").alias("mean"), "least", "most", thousandths("_sum", "total").alias("mean_confidence"))
 
 
-def frame_summary(frames: DataFrame, group: list[str], blur: str, brightness: str) -> DataFrame:
-    """Frames, mean and median blur and mean brightness, to three decimals."""
-    return frames.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg(blur), 3).alias("blur_mean"), F.round(F.median(blur), 3).alias("blur_median"), F.round(F.avg(brightness), 3).alias("brightness_mean"))
+def frame_summary(frames: DataFrame, group: list[str], blur: str, brightness: str, rank_error: float | None = None) -> DataFrame:
+    """Frames, mean and median blur and mean brightness, to three decimals.
+
+    The exact median keeps a group's distinct values in memory.  With `rank_error` it is a value of the group whose rank is off by at
+    most that share of the group, from a mergeable sketch of some 1 / rank_error values; of two middle values the lower.
+    """
+    middle = F.median(blur) if rank_error is None else F.percentile_approx(blur, 0.5, F.lit(round(1 / rank_error)))
+    return frames.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg(blur), 3).alias("blur_mean"), F.round(middle, 3).alias("blur_median"), F.round(F.avg(brightness), 3).alias("brightness_mean"))
 
 
 def tally(df: DataFrame, **tests: Column) -> DataFrame:

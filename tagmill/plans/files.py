@@ -28,6 +28,15 @@ def src_detections_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("image_path", c("class_id").cast("long").alias("class_id"), "class_name", F.round(c("confidence").cast("double") * 1000).cast("long").alias("permille"), *box)
 
 
+@query("SELECT c_custkey::VARCHAR AS key, c_name AS name, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE '' END AS phone FROM customer")
+def src_csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC04: the CSV files of a folder tree, whose headers differ in order and in columns."""
+    path, c = new_folder(spark), read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("phone"))
+    for k, columns in enumerate((["key", "name"], ["phone", "key", "name"], ["name", "key"])):
+        sinks.write_csv(c.filter(F.col("key") % 3 == k).select(*columns), f"{path}/deep/{'x/' * k}part{k}")
+    return readers.csv(spark, path, ["key", "name", "phone"], recursive=True)
+
+
 @query("SELECT c_custkey AS key, c_name || CASE c_custkey % 4 WHEN 0 THEN ' \"x\"' WHEN 1 THEN ', y' WHEN 2 THEN chr(13) || chr(10) || 'z' ELSE '' END AS name FROM customer")
 def snk_client_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK15: CSV with byte order mark and CRLF, quotes, commas and line breaks inside cells."""

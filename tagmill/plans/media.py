@@ -123,6 +123,14 @@ def agg_frame_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.frame_summary(frames, ["video"], "blur", "brightness")
 
 
+@query("SELECT l_suppkey % 8 AS video, count(*) AS n, round(sum(l_partkey % 1000)::DOUBLE / count(*), 3) AS blur_mean, quantile_disc(l_partkey % 1000, 0.5)::BIGINT AS blur_median, round(sum(l_orderkey % 256)::DOUBLE / count(*), 3) AS brightness_mean FROM lineitem GROUP BY 1")
+def agg_frame_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG12: the same with medians from sketches, whose rank is off by a hundred-thousandth at most."""
+    c = F.col
+    frames = read(spark, sf_dir, "lineitem").select((c("l_suppkey") % 8).alias("video"), (c("l_partkey") % 1000).alias("blur"), (c("l_orderkey") % 256).alias("brightness"))
+    return evaluation.frame_summary(frames, ["video"], "blur", "brightness", rank_error=1e-5)
+
+
 @query(f"WITH {DET} SELECT count(*) AS all_rows, count_if(image_id % 10 = 7)::BIGINT AS val, count_if(x2 - x1 < 80)::BIGINT AS narrow, count_if(conf IS NULL)::BIGINT AS unread FROM det")
 def agg_builder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG18: counters of a dataset builder, all in one scan."""

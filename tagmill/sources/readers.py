@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 
 from tagmill.functions import text
 from tagmill.functions.coerce import blank, trimmed
+from tagmill.sources import storage
 
 # Suffixes of images, of videos and of uploads.
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp")
@@ -29,18 +33,52 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _headers(files: DataFrame) -> DataFrame:
+    """(header, paths): the first lines of text files, read by ranges, and the files that have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for path in batch.column("path").to_pylist():
+                source, head, open_quote = storage.Ranges(path), b"", True
+                # A line may be longer than a range, and a quoted name may hold a line break.
+                while open_quote and len(head) < source.size:
+                    head += source(len(head), 1 << 16)
+                    ends = [i for i in range(len(head)) if head[i : i + 1] in (b"\n", b"\r") and head[:i].count(b'"') % 2 == 0][:1]
+                    open_quote = not ends
+                    head = head[: ends[0]] if ends else head
+                source.close()
+                heads.append(head.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.string())], ["path", "header"])
+
+    return files.select("path").mapInArrow(run, "path string, header string").groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
 def csv(spark: SparkSession, path: str, columns: list[str] | None = None, recursive: bool = False, crlf: bool = False) -> DataFrame:
     """CSV with a header, all cells text: quotes doubled, line breaks of any kind, short rows padded, blank lines dropped.
 
-    Where rows end in CRLF, a CRLF inside a cell is read as LF unless `crlf` says that all rows do.
+    Where rows end in CRLF, a CRLF inside a cell is read as LF unless `crlf` says that all rows do.  With `recursive`, the *.csv
+    files of a folder and those below it, each by its own header: columns meet by name, those that a file lacks are blank.
     """
+    if recursive:
+        found = None
+        for row in sorted(_headers(listing(spark, path, ("csv",))).collect(), key=lambda r: r["paths"][0]):  # a row for each header
+            if row["header"].strip("\ufeff \r\n"):
+                part = _csv(spark, row["paths"], None, crlf)
+                found = part if found is None else found.unionByName(part, allowMissingColumns=True)
+        if found is None:
+            return spark.createDataFrame([], texts(columns or []))
+        found = found.na.fill("")
+        return found.select(*[(F.col(f"`{c}`") if c in found.columns else F.lit("")).alias(c) for c in columns]) if columns else found
+    return _csv(spark, path, columns, crlf)
+
+
+def _csv(spark: SparkSession, path: str | list[str], columns: list[str] | None, crlf: bool) -> DataFrame:
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", "UTF-8")
     if crlf:
         reader = reader.option("lineSep", "\r\n")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     df = reader.csv(path)  # names come from the header; without inferSchema all cells are text
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
     if columns:
         df = df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string")).alias(c) for c in columns])
     return df.filter(F.coalesce(*[F.col(f"`{c}`") for c in df.columns]).isNotNull()).na.fill("")

@@ -91,3 +91,19 @@ def test_client_csv_and_diagnostics_of_nothing(spark, tmp_path):
     assert written("maps").split(b"\n")[0].startswith(b"c,")
     sinks.write_diagnostics(maps.limit(0), "n", "m", str(tmp_path / "no_maps"))
     assert written("no_maps") == b""
+
+
+def test_csv_folders_by_each_files_header(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/one.csv").write_bytes(b"\xef\xbb\xbfid,name\r\n1,x\r\n")
+    (tmp_path / "a/b/two.csv").write_text('name,id,"odd,\nname"\n"y\nz",2,3\n')
+    (tmp_path / "a/b/three.CSV").write_text("name,id\nw,4\n")
+    (tmp_path / "a/b/empty.csv").write_text("")
+    (tmp_path / "a/b/head.csv").write_text("id,name\n")
+    (tmp_path / "a/note.txt").write_text("id\n9\n")
+    got = readers.csv(spark, str(tmp_path / "a"), recursive=True)
+    assert sorted((r.id, r.name, r["odd,\nname"]) for r in got.collect()) == [("1", "x", ""), ("2", "y\nz", "3"), ("4", "w", "")]
+    assert sorted(map(tuple, readers.csv(spark, str(tmp_path / "a"), ["name", "gone"], recursive=True).collect())) == [("w", ""), ("x", ""), ("y\nz", "")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/empty.csv").write_text("")
+    assert readers.csv(spark, str(tmp_path / "none"), ["id"], recursive=True).count() == 0
