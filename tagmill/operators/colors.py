@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagmill.functions import deskew, masks
+from tagmill.functions import deskew, masks, pixels
 from tagmill.operators import suppression
 from tagmill.operators.inference import _hsv
 
@@ -161,3 +162,27 @@ def straightened(images: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], ["path", "width", "height", "content", "ok"])
 
     return images.select("path", "width", "height", "content").mapInArrow(run, "path string, width int, height int, content binary, ok boolean")
+
+
+def crops(images: DataFrame, boxes: DataFrame, pad: float = 0.0, turn: str = "", least_side: int | None = None) -> DataFrame:
+    """Boxes (path, box, x1, y1, x2, y2) cut out of their pictures, turned and scaled up: path, box, width, height, content.
+
+    A picture meets all its boxes at once, so it is shuffled and opened once. Boxes of missing or broken pictures have no row.
+    """
+    of_picture = boxes.groupBy("path").agg(F.collect_list(F.struct("box", "x1", "y1", "x2", "y2")).alias("boxes"))
+    box_type = dict(boxes.dtypes)["box"]
+    out = T.StructType([images.schema["path"], boxes.schema["box"], *T.StructType.fromDDL("width int, height int, content binary")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.string() if box_type == "string" else pa.int32() if box_type == "int" else pa.int64()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                path, rgb = next(_pictures(iter([one])))
+                for b in one.column("boxes").to_pylist()[0] if rgb is not None else ():
+                    part = pixels.rotate(pixels.crop(rgb, b["x1"], b["y1"], b["x2"], b["y2"], pad), turn)
+                    part = pixels.at_least_high(part, least_side) if least_side else part
+                    values = ([path], pa.string()), ([b["box"]], kind), ([part.shape[1]], pa.int32()), ([part.shape[0]], pa.int32()), ([part.tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], ["path", "box", "width", "height", "content"])
+
+    return images.select("path", "width", "height", "content").join(of_picture, "path").mapInArrow(run, out)

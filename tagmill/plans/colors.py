@@ -124,3 +124,31 @@ def udf_deskew(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = colors.straightened(_drawn(read(spark, sf_dir, "supplier"), "s_suppkey", boxes))
     return found.select(F.col("path").cast("long").alias("k"), "ok", "width", "height")
+
+
+@query(f"""WITH b AS (SELECT s_suppkey AS k, unnest(range(3)) AS box FROM supplier), c AS (SELECT k, box, 10 + 40 * box AS x, 20 + k % 9 AS y, 20 + k % 11 AS w, 30 + k % 13 AS h FROM b)
+SELECT k, box, h + 6 AS width, least({WIDE}, x + w + 2) - (x - 2) AS height, (50 + 60 * box)::BIGINT AS red FROM c""")
+def udf_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF06: three boxes of each picture, with a margin, turned to the right."""
+
+    def boxes(k: int) -> list[tuple]:
+        return [(8 + 40 * b, 10, 40, 80, (50 + 60 * b, 9, 9)) for b in range(3)]
+
+    k = F.col("s_suppkey")
+    suppliers = read(spark, sf_dir, "supplier")
+    cut = suppliers.select(k.cast("string").alias("path"), k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>")).alias("box"))
+    x, y, w, h = 10 + 40 * F.col("box"), 20 + F.col("k") % 9, 20 + F.col("k") % 11, 30 + F.col("k") % 13
+    cut = cut.select("path", "box", *[v.cast("double").alias(n) for n, v in (("x1", x - 2), ("y1", y - 3), ("x2", x + w + 2), ("y2", y + h + 3))])
+    found = colors.crops(_drawn(suppliers, "s_suppkey", boxes), cut, turn="cw")
+    middle = F.conv(F.hex(F.substring(F.col("content"), 1, 1)), 16, 10).cast("long")
+    return found.select(F.col("path").cast("long").alias("k"), "box", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), middle.alias("red"))
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN 20 + s_suppkey % 30 >= 32 THEN 20 + s_suppkey % 30 ELSE 32 END AS height, CASE WHEN 20 + s_suppkey % 30 >= 32 THEN 64 ELSE CAST(round_even(64 * (32::DOUBLE / (20 + s_suppkey % 30)), 0) AS BIGINT) END AS width FROM supplier")
+def udf_upscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF05: crops scaled up to a least side, larger ones as they are."""
+    k = F.col("s_suppkey")
+    suppliers = read(spark, sf_dir, "supplier")
+    box = suppliers.select(k.cast("string").alias("path"), k.alias("box"), F.lit(10.0).alias("x1"), F.lit(10.0).alias("y1"), F.lit(74.0).alias("x2"), (30 + k % 30).cast("double").alias("y2"))
+    found = colors.crops(_drawn(suppliers, "s_suppkey", lambda k: [(0, 0, WIDE, HIGH, (99, 98, 97))]), box, least_side=32)
+    return found.filter(F.col("content") == F.expr("unhex(repeat('636261', width * height))")).select(F.col("box").alias("k"), F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"))

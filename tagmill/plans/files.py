@@ -158,3 +158,21 @@ def flt_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.element_at(F.array(*[F.lit(s) for s in (".MP4", ".mov", ".x.avi", ".txt", "mp4")]), (key % 5 + 1).cast("int"))
     ok = readers.accepted_upload(F.concat("c_name", suffix))
     return read(spark, sf_dir, "customer").select(key.alias("key"), ok.alias("accepted"), F.when(ok, sinks.job_folder("data", key.cast("string"))).alias("folder"))
+
+
+@query("SELECT CASE WHEN c_custkey % 10 = 7 THEN 'val' ELSE 'train' END AS split, count(*) AS files, sum(n)::BIGINT AS n_lines, count_if(n = 0)::BIGINT AS negatives FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) GROUP BY 1")
+def snk_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK09: label text files by split, one a frame, those of negative frames empty."""
+    c, path = F.col, new_folder(spark)
+    place = lambda key: [F.lit("/d/v/x.mp4").alias("path"), key.alias("frame")]
+    frames = read(spark, sf_dir, "customer").select(*place(c("c_custkey")))
+    x, y = c("o_orderkey") % 300, c("o_orderkey") % 200
+    boxes = read(spark, sf_dir, "orders").select(*place(c("o_custkey")), x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 50).alias("y2"))
+    rows = sinks.dataset_rows(boxes, frames, yolo_line(F.lit(0), yolo_box(Box.columns(), F.lit(640), F.lit(640))), F.lit(True), F.when(c("frame") % 10 == 7, "val").otherwise("train"))
+    sinks.write_label_files(rows, ["price_tag"], path)
+    back = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(f"{path}/labels").select(F.regexp_extract(F.input_file_name(), "labels/([a-z]+)/", 1).alias("split"), "value")
+    # An empty file has no row in a text scan; the listing has it.
+    every = readers.listing(spark, f"{path}/labels", ("txt",)).select(F.regexp_extract("path", "labels/([a-z]+)/", 1).alias("split"), "length")
+    counts = every.groupBy("split").agg(F.count("*").alias("files"), F.count_if(c("length") == 0).alias("negatives"))
+    lines = back.groupBy("split").agg(F.sum(F.size(F.array_remove(F.split("value", "\n"), ""))).alias("n_lines"))
+    return counts.join(lines, "split").select("split", "files", "n_lines", "negatives")

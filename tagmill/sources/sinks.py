@@ -95,6 +95,23 @@ def write_dataset(rows: DataFrame, names: list[str], path: str) -> None:
     rows.sparkSession.range(1, numPartitions=1).select(F.lit("\n".join(yaml)).alias("value")).write.mode("overwrite").text(f"{path}/data.yaml")
 
 
+def write_label_files(rows: DataFrame, names: list[str], path: str) -> DataFrame:
+    """Rows of dataset_rows() as files: labels/<split>/<stem>.txt, images/<split>/<stem>.jpg where they carry content, and data.yaml.
+
+    Gives path and length of what was written.  Frames without a line have an empty label file, as trainers expect.
+    """
+    from tagmill.sources.storage import write_files
+
+    lines = F.array_join("lines", "\n")
+    labels = rows.select(F.concat(F.lit("labels/"), "split", F.lit("/"), "stem", F.lit(".txt")).alias("name"), F.when(F.size("lines") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary").alias("content"))
+    if "content" in rows.columns:
+        pictures = rows.filter("content is not null").select(F.concat(F.lit("images/"), "split", F.lit("/"), "stem", F.lit(".jpg")).alias("name"), "content")
+        labels = labels.unionByName(pictures)
+    yaml = "\n".join([f"path: {path}", "train: images/train", "val: images/val", f"nc: {len(names)}", "names:", *[f"  {k}: {n}" for k, n in enumerate(names)], ""])
+    settings = rows.sparkSession.range(1, numPartitions=1).select(F.lit("data.yaml").alias("name"), F.lit(yaml).cast("binary").alias("content"))
+    return write_files(labels.unionByName(settings), path)
+
+
 def job_folder(root: str, job: Column, kind: str = "uploads") -> Column:
     """Landing or result folder of a job."""
     return F.concat_ws("/", F.lit(root), F.lit(kind), job)

@@ -149,3 +149,14 @@ def test_counters_come_from_the_writing_job(spark, tmp_path):
     seen = evaluation.counted(spark.range(1000, numPartitions=3), lambda df: df.write.parquet(str(tmp_path / "out")), written=F.lit(True), even=F.col("id") % 2 == 0)
     assert seen == {"written": 1000, "even": 500} and len(sc.statusTracker().getJobIdsForGroup("counted")) == 1
     sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_crops_of_odd_pictures_and_boxes(spark):
+    p = np.random.default_rng(1).integers(0, 256, (10, 12, 3), dtype=np.uint8)
+    rows = [("a", 12, 10, p.tobytes()), ("null", 12, 10, None), ("short", 99, 99, b"abc"), ("unboxed", 12, 10, p.tobytes())]
+    images = spark.createDataFrame(rows, "path string, width int, height int, content binary")
+    boxes = [("a", "x", 1.0, 2.0, 5.0, 6.0), ("a", "x", 1.0, 2.0, 5.0, 6.0), ("a", "out", 50.0, 50.0, 60.0, 60.0), ("null", "n", 0.0, 0.0, 5.0, 5.0), ("short", "s", 0.0, 0.0, 5.0, 5.0), ("gone", "g", 0.0, 0.0, 1.0, 1.0)]
+    table = spark.createDataFrame(boxes, "path string, box string, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((r.path, r.box, r.width, r.height, bytes(r.content)) for r in colors.crops(images, table).collect())
+    assert got == sorted([("a", "out", 1, 1, p[9:, 11:].tobytes()), *[("a", "x", 4, 4, p[2:6, 1:5].tobytes())] * 2])
+    assert colors.crops(images, table.limit(0)).count() == 0

@@ -174,13 +174,16 @@ def test_resampling():
     p = picture(1, 7, 5)
     for wide, high in ((7, 5), (14, 10), (3, 2), (1, 1), (20, 3)):
         assert np.abs(pixels.resize(p, wide, high).astype(int) - plain_linear(p, wide, high)).max() <= 1
-        for kind in ("linear", "cubic", "area"):
+        for kind in ("linear", "cubic", "lanczos", "area"):
             assert np.allclose(pixels.resampling(7, wide, kind).sum(axis=1), 1)
-    for kind in ("linear", "cubic", "area"):
+    for kind in ("linear", "cubic", "lanczos", "area"):
         assert (pixels.resize(p, 7, 5, kind) == p).all()
         assert (pixels.resize(np.stack([p, p]), 9, 4, kind)[1] == pixels.resize(p, 9, 4, kind)).all()
     even = np.repeat(np.repeat(picture(2, 3, 2), 2, axis=0), 2, axis=1)
     assert (pixels.resize(even, 3, 2, "area") == picture(2, 3, 2)).all()
     assert (pixels.rotate(pixels.rotate(p, "cw"), "ccw") == p).all() and (pixels.rotate(p, "cw")[0, -1] == p[0, 0]).all()
     assert pixels.at_most_wide(p, 10) is p and pixels.at_most_wide(picture(3, 64, 36), 32).shape == (18, 32, 3)
-    assert pixels.crop(p, -3, 1, 4, 99, 1).shape == (5, 5, 3) and pixels.crop(p, 9, 9, 12, 12).size == 0
+    assert pixels.crop(p, -3, 1.5, 3.2, 99).shape == (4, 4, 3) and pixels.crop(p, 9, 9, 12, 12).shape == (1, 1, 3)
+    assert pixels.crop(p, 2, 2, 4, 4, 0.5).shape == (4, 4, 3) and (pixels.crop(p, 1, 1, 3, 2) == p[1:2, 1:3]).all()
+    assert pixels.at_least_high(p, 5) is p and pixels.at_least_high(p, 20).shape == (20, 28, 3) and pixels.at_least_high(p[:0], 20).size == 0
+    assert (pixels.at_least_high(np.full((3, 3, 3), 77, np.uint8), 50) == 77).all()
