@@ -202,7 +202,7 @@ def identities(df: DataFrame, scope: list[str], order: list[str], quality: str,
     """
     cells = ("barcode", "price_default", "price_card", "product_name")
     given = df.select("*", *[clean(F.col(c)).alias(f"_{c}") for c in cells])
-    schema = T.StructType(list(df.schema)).add("identity", "int").add("best", "boolean")
+    schema = T.StructType(list(df.schema)).add("identity", T.IntegerType()).add("best", T.BooleanType())
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in order])
