@@ -11,9 +11,9 @@ def draw(seed: int, *key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key]))
 
 
-def holdout(source: Column, held: list[str], train: list[str] | None = None) -> Column:
-    """Held sources are validation; with a list of training sources, so are all that aren't in it."""
-    is_val = source.isin(*held)
+def holdout(source: Column, held: list[str], train: list[str] | None = None, drawn: Column | None = None) -> Column:
+    """Held sources are validation; with a list of training sources, so are all that aren't in it; and so is what is `drawn` among the rest."""
+    is_val = source.isin(*held) if drawn is None else source.isin(*held) | drawn
     if train is not None:
         is_val = is_val | ~source.isin(*train)
     return F.when(is_val, "val").otherwise("train")

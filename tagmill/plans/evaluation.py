@@ -79,6 +79,24 @@ def set_merge_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(F.concat("source", F.lit("_"), F.lpad(F.col("position").cast("string"), 6, "0")).alias("file"), "label")
 
 
+@query("WITH u AS (SELECT 's0' AS source, CASE WHEN c_custkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, c_name AS file, c_nationkey AS label FROM customer UNION ALL SELECT 's1', CASE WHEN s_suppkey % 5 = 0 THEN 'val' ELSE 'train' END, s_name, s_nationkey FROM supplier) SELECT split, source || '_' || lpad((row_number() OVER (ORDER BY source, split, file) - 1)::VARCHAR, 6, '0') AS file, label FROM u")
+def set_merge_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET06: training and validation lists of several sources merged apart, under one counter over sources and their lists."""
+    lists = []
+    for k, (table, key, name, label) in enumerate((("customer", "c_custkey", "c_name", "c_nationkey"), ("supplier", "s_suppkey", "s_name", "s_nationkey"))):
+        split = F.when(F.col(key) % 5 == 0, "val").otherwise("train")
+        lists.append(read(spark, sf_dir, table).select(F.lit(f"s{k}").alias("source"), split.alias("split"), F.col(name).alias("file"), F.col(label).alias("label")))
+    numbered = splits.renumber(lists[0].unionByName(lists[1]), ["source", "split", "file"])
+    return numbered.select("split", F.concat("source", F.lit("_"), F.lpad(F.col("position").cast("string"), 6, "0")).alias("file"), "label")
+
+
+@query("SELECT doc_id, CASE WHEN source IN ('src0', 'src3') OR source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6') OR ('0x' || substr(md5('8:' || doc_id::VARCHAR), 1, 8))::BIGINT % 1000 < 120 THEN 'val' ELSE 'train' END AS split FROM documents")
+def smp_holdout_or_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMP03: held sources, sources outside the training list, and a draw among the rest."""
+    drawn = splits.bernoulli(8, F.col("doc_id"), 120) == "val"
+    return read(spark, sf_dir, "documents").select("doc_id", splits.holdout(F.col("source"), ["src0", "src3"], [f"src{k}" for k in range(7)], drawn).alias("split"))
+
+
 _DRAW = "('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT % 1000 < {permille}"
 
 

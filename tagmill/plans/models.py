@@ -125,11 +125,11 @@ def src_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.by_priority(tried, "cell", "path", "priority", files)
 
 
-@query("SELECT c_nationkey AS log, max(c_custkey) AS epoch, arg_max(c_name, c_custkey) AS loss FROM customer WHERE c_nationkey = 3 GROUP BY 1")
+@query("SELECT c_nationkey AS log, max(c_custkey) AS epoch, arg_max(c_name, c_custkey) AS loss FROM customer GROUP BY 1")
 def src_last_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC25: the last row of a training log."""
-    log = read(spark, sf_dir, "customer").filter("c_nationkey = 3").select(F.col("c_nationkey").alias("log"), F.col("c_custkey").alias("epoch"), F.col("c_name").alias("loss"))
-    return readers.last_row(log, "epoch")
+    """SRC25: the last row of each training log."""
+    log = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("log"), F.col("c_custkey").alias("epoch"), F.col("c_name").alias("loss"))
+    return readers.last_row(log, "epoch", "log")
 
 
 @query(f"WITH {DET} SELECT image_id, line, part, supp, x1 + supp AS x1, y1 + line AS y1, x2 + supp AS x2, y2 + line AS y2, image_id * 100 + part % 100 AS number, CASE WHEN supp % 3 = 0 THEN 0.0 ELSE part::DOUBLE / (supp % 3) END AS rate, [x1, x2, x2, x1]::VARCHAR AS xs, [y1, y1, y2, y2]::VARCHAR AS ys FROM det")

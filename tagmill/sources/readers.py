@@ -201,9 +201,10 @@ def row_count(spark: SparkSession, path: str, missing: int | None = 0) -> int |
         return missing
 
 
-def last_row(df: DataFrame, order: str) -> DataFrame:
-    """The row with the highest value: of a training log, its last epoch."""
-    return df.agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+def last_row(df: DataFrame, order: str, log: str | None = None) -> DataFrame:
+    """The row with the highest value: of a training log, or of each, its last epoch."""
+    rows = df.groupBy(log) if log else df.groupBy()
+    return rows.agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
 
 
 def frame_indices(files: DataFrame) -> DataFrame:
