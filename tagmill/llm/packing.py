@@ -37,7 +37,7 @@ from tagmill.llm.common import materialize, slices
 CAPACITY = 4096
 END_ID = 1
 #: Chunks between ASCII blanks whose ids a worker keeps; it forgets all when full.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 250_000
 
 
 class ChunkTokenizer:
