@@ -35,10 +35,13 @@ def _recordings(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-_REC = F.regexp_extract("path", r"rec_(\d+)\.mp4", 1).cast("long").alias("rec")
 _SQL = f"f AS (SELECT doc_id // {LENGTH} AS rec, doc_id, coalesce(length(text), 0) AS n, 40 + (doc_id // {LENGTH}) % 3 AS tick, row_number() OVER (PARTITION BY doc_id // {LENGTH} ORDER BY doc_id) - 1 AS frame FROM documents)"
 
 
+def _rec() -> Column:
+    return F.regexp_extract("path", r"rec_(\d+)\.mp4", 1).cast("long").alias("rec")
+
+
 def _colour(at: int) -> Column:
     return F.conv(F.hex(F.substring("content", at, 1)), 16, 10).cast("long")
 
@@ -47,20 +50,20 @@ def _colour(at: int) -> Column:
 def src_frames_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC12, SRC13: every third frame of a recording, ten at most, as a scan."""
     found = frames.read_frames(spark, _recordings(spark, sf_dir), stride=3, maxFrames=10)
-    return found.select(_REC, "frame", "nth", "ms", _colour(1).alias("red"), _colour(2).alias("green"))
+    return found.select(_rec(), "frame", "nth", "ms", _colour(1).alias("red"), _colour(2).alias("green"))
 
 
 @query(f"WITH {_SQL}, s AS (SELECT *, (2 * frame * tick * 10 + 1000) // 2000 AS slot, (2 * (max(frame) OVER (PARTITION BY rec) + 1) * tick * 10 + 1000) // 2000 AS stop FROM f), k AS (SELECT DISTINCT rec, unnest(range(stop)) AS nth FROM s) SELECT k.rec, nth, max(frame) AS frame, 4 AS width, 6 AS height, arg_max(doc_id % 251, frame) AS red FROM k JOIN s ON s.rec = k.rec AND slot <= nth GROUP BY k.rec, nth")
 def src_frames_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC14: ten frames a second, turned to the right and scaled down to a width of four."""
     found = frames.read_frames(spark, _recordings(spark, sf_dir), fps=10, rotation="cw", maxWidth=4)
-    return found.select(_REC, "nth", "frame", "width", "height", _colour(1).alias("red"))
+    return found.select(_rec(), "nth", "frame", "width", "height", _colour(1).alias("red"))
 
 
 @query(f"WITH {_SQL}, t AS (SELECT unnest([0, 100, 333, 1000, 99999]) AS wanted_ms, unnest(range(5)) AS nth) SELECT rec, nth, arg_min(frame, abs(frame * tick - wanted_ms) * 1000 + frame) AS frame FROM f, t GROUP BY rec, nth")
 def src_frames_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC16: the frames nearest to given times."""
-    return frames.read_frames(spark, _recordings(spark, sf_dir), timestamps="0,100,333,1000,99999").select(_REC, "nth", "frame")
+    return frames.read_frames(spark, _recordings(spark, sf_dir), timestamps="0,100,333,1000,99999").select(_rec(), "nth", "frame")
 
 
 @query("WITH u AS (SELECT user_id AS rec, count(*) AS n, 900 + user_id % 7 AS scale, 30 + user_id % 5 AS tick FROM events GROUP BY 1) SELECT rec, CASE WHEN rec % 9 = 8 THEN NULL ELSE 16 + rec % 5 END AS width, CASE WHEN rec % 9 = 8 THEN NULL ELSE scale // gcd(scale, tick) END AS numerator, CASE WHEN rec % 9 = 8 THEN NULL ELSE tick // gcd(scale, tick) END AS denominator, CASE WHEN rec % 9 = 8 THEN NULL ELSE n END AS frame_count, CASE WHEN rec % 9 = 8 THEN NULL ELSE (n * tick)::DOUBLE / scale END AS duration_sec FROM u")
@@ -80,4 +83,4 @@ def src_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     storage.write_files(users.mapInArrow(make, "name string, content binary"), folder)
     c = F.col
     found = frames.probe(readers.listing(spark, folder, readers.VIDEOS))
-    return found.select(_REC, c("width").cast("long").alias("width"), c("fps_numerator").alias("numerator"), c("fps_denominator").alias("denominator"), "frame_count", "duration_sec")
+    return found.select(_rec(), c("width").cast("long").alias("width"), c("fps_numerator").alias("numerator"), c("fps_denominator").alias("denominator"), "frame_count", "duration_sec")

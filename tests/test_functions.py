@@ -152,3 +152,13 @@ def test_contract(spark):
     df = contract.result_rows(spark.createDataFrame([("a",)], "product_name string")).withColumn("n", contract.filled_count()).withColumn("i", contract.issues(F.lit(0.5), F.col("n")))
     got = df.select("n", "i", contract.recommendation(F.col("i")).alias("r")).first()
     assert got.n == 5 and got.i == list(contract.ISSUES) and got.r == "check price"
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "from tagmill.plans import registry as r; assert set(r.oracle_sql()) <= set(r.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=repo, check=True, timeout=100)
