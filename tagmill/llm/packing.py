@@ -21,7 +21,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import chain
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,32 +38,36 @@ CAPACITY = 4096
 END_ID = 1
 #: Chunks between ASCII blanks whose ids a worker keeps; it forgets all when full.
 CACHE_CHUNKS = 250_000
+#: Whole texts are put together in groups of so many bytes, so that work for each text is paid once a group.
+GROUP_BYTES = 1 << 20
 
 
 class ChunkTokenizer:
     """Ids of whole texts by a word-end BPE file of `tokenizers` whose pre-tokens never span blanks.
 
-    A text's ids are those of its chunks between ASCII blanks, in order, so each distinct chunk is encoded once and a
-    text is put together from an array.  Latin chunks take a direct path: the file's normalizer and split pattern, then
-    the byte-pair merges of one pre-token at a time, its end marked by a byte that no UTF-8 text holds.  All other
-    chunks (other scripts, names of special tokens) go through `tokenizers` itself; tests hold both against it.
+    A text's ids are those of its chunks between ASCII blanks, in order, so each distinct chunk is encoded once and
+    texts are put together from an array.  The new chunks of many texts are encoded at once.  Latin ones take a direct
+    path: the file's normalizer and split pattern, then the byte-pair merges of each pre-token, its end marked by a
+    blank and a chunk's end by a line feed, neither of which a pre-token holds.  All other chunks (other scripts, names
+    of special tokens) go through `tokenizers` itself; tests hold both against it.
     """
 
-    END = b"\xff"
+    END, CHUNK_END = b" ", "\n"
     LATIN = "\u0250"
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        split, added = spec["pre_tokenizer"]["pretokenizers"][0], {t["id"] for t in spec["added_tokens"]}
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        split, added = spec["pre_tokenizer"]["pretokenizers"][0], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.pattern = regex.compile(f"{split['pattern']['Regex']}|{self.CHUNK_END}")
         suffix, ranks = spec["model"]["end_of_word_suffix"], {}
         for token, i in spec["model"]["vocab"].items():
-            if i not in added:
+            if token not in added:
                 ends = token.endswith(suffix)
                 ranks[bytes(map(self._byte, token.removesuffix(suffix) if ends else token)) + self.END * ends] = i
-        self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.words = tiktoken.Encoding("words", pat_str=rf"\S+ |{self.CHUNK_END}", mergeable_ranks=ranks, special_tokens=added)
+        self.chunk_end = ranks[self.CHUNK_END.encode()]
         self.cache_chunks = cache_chunks
         self._forget()
 
@@ -75,49 +79,72 @@ class ChunkTokenizer:
         return ord(char) if ord(char) < 0x100 else [b for b in range(0x100) if b not in set(shown)][ord(char) - 0x100]
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, int] = defaultdict(count().__next__)
         self.ids = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
+        self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.n_ids = 0
 
-    def ids_of(self, chunk: bytes) -> list[int]:
-        if chunk.isalpha():
-            return self.merge(chunk.lower() + self.END)
-        text = chunk.decode()
-        if max(text) >= self.LATIN or "<|" in text:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for word in self.pattern.findall(unicodedata.normalize("NFC", text).lower()):
-            out += self.merge(word.encode() + self.END)
-        return out
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        encoded = list(map(self.ids_of, chunks))
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        n, total = len(self.known), int(lengths.sum())
-        while self.n_ids + total > len(self.ids):
+    def _latin(self, text: str) -> bool:
+        return max(text) < self.LATIN and "<|" not in text
+
+    def _direct(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that each have their end mark, and how many each chunk has."""
+        words = " ".join(self.pattern.findall(unicodedata.normalize("NFC", text).lower()))
+        ids = self.words.encode_to_numpy(words, disallowed_special=())
+        at = np.flatnonzero(ids == self.chunk_end)
+        return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks' ids, how many each chunk has, and the order in which the chunks are taken."""
+        text = (b"\n".join(chunks) + b"\n").decode()
+        if self._latin(text):
+            return *self._direct(text), np.arange(len(chunks))
+        texts = list(map(bytes.decode, chunks))
+        latin = np.fromiter(map(self._latin, texts), bool, len(texts))
+        ids, lengths = self._direct("".join(c + self.CHUNK_END for c in compress(texts, latin)))
+        others = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in compress(texts, ~latin)]
+        ids = np.append(ids, np.fromiter(chain.from_iterable(others), np.uint32))
+        return ids, np.append(lengths, np.fromiter(map(len, others), np.int64)), np.argsort(~latin, kind="stable")
+
+    def _learn(self, n: int) -> None:
+        """Encodes what is known from the n-th chunk on."""
+        new = list(islice(reversed(self.known), len(self.known) - n))[::-1]
+        ids, lengths, order = self._encoded(new)
+        while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(chunks) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
-        self.starts[n + 1 : n + 1 + len(chunks)] = self.n_ids + np.cumsum(lengths)
-        self.n_ids += total
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        while len(self.known) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.starts[n + order] = self.n_ids + np.cumsum(lengths) - lengths
+        self.lengths[n + order] = lengths
+        self.n_ids += len(ids)
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        group, size = [], 0
         for text in texts:
-            chunks = text.split()
-            try:
-                at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-            except KeyError:
-                new = list(set(chunks).difference(self.known))
-                if len(self.known) + len(new) > self.cache_chunks:
-                    self._forget()
-                    new = list(set(chunks))
-                self._learn(new)
-                at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-            begin, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-            yield self.ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            group.append(text)
+            size += len(text)
+            if size >= GROUP_BYTES:
+                yield from self._encode(group)
+                group, size = [], 0
+        yield from self._encode(group)
+
+    def _encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        split = list(map(bytes.split, texts))
+        n_chunks = np.fromiter(map(len, split), np.int64, len(split))
+        n = len(self.known)
+        # A chunk that is looked up for the first time gets the next number.
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(n_chunks.sum()))
+        if len(self.known) > n:
+            self._learn(n)
+        n_ids = self.lengths[at]
+        before = np.append(0, np.cumsum(n_ids))
+        ids = self.ids[np.repeat(self.starts[at] - before[:-1], n_ids) + np.arange(before[-1])]
+        if len(self.known) > self.cache_chunks:
+            self._forget()
+        ends = before[np.cumsum(n_chunks)]
+        yield from map(ids.__getitem__, map(slice, chain([0], ends.tolist()), ends.tolist()))
 
 
 @lru_cache(maxsize=2)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -476,6 +477,34 @@ def test_ids_of_every_latin_letter_and_blank():
     assert not wrong
 
 
+def test_ids_by_groups_of_texts(monkeypatch):
+    """Chunks of both paths in turn, texts over and under a group's size, a full memory: each text gets its own ids, in order."""
+    rng = random.Random(7)
+    parts = ["The", "THE", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "漢字", "e\u0301", "J\u030c", "İ", "ΣΑΣ", "Привет", "x1.5", "don't", "...", "\x1c", "\x85", "\xa0", "!'s.", "\x00"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n", "\t"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    want = [x.ids for x in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    for cache, group in ((300, 1 << 20), (300, 200), (100_000, 1000)):
+        monkeypatch.setattr(packing, "GROUP_BYTES", group)
+        assert [x.tolist() for x in packing.ChunkTokenizer(WORDS, cache).encode([t.encode() for t in texts])] == want
+
+
+def test_new_chunks_cost_no_call_each():
+    """Where every chunk is new, the operator's own functions are called for groups of texts, not for chunks or texts."""
+    tok, calls = packing.ChunkTokenizer(WORDS), Counter()
+    texts = [" ".join(f"{a}x{b}," for b in range(50)).encode() for a in range(200)]
+
+    def note(frame, event, arg):
+        if event == "call" and frame.f_code.co_filename == packing.__file__:
+            calls[frame.f_code.co_name] += 1
+
+    sys.setprofile(note)
+    try:
+        got = list(tok.encode(texts))
+    finally:
+        sys.setprofile(None)
+    assert len(got) == 200 and sum(n for name, n in calls.items() if name not in ("encode", "_encode")) < 20
+
+
 def test_packing_odd(odd, empty):
     rows = packing.pack(odd, WORDS).collect()
     ids = {t: [*Tokenizer.from_file(WORDS).encode(t or "", add_special_tokens=False).ids, 1] for _, t in ODD}
