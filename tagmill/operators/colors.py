@@ -168,6 +168,7 @@ def crops(images: DataFrame, boxes: DataFrame, pad: float = 0.0, turn: str = "",
     """Boxes (path, box, x1, y1, x2, y2) cut out of their pictures, turned and scaled up: path, box, width, height, content.
 
     A picture meets all its boxes at once, so it is shuffled and opened once. Boxes of missing or broken pictures have no row.
+    The join is by sorting: pictures made in tasks look small to the planner, and broadcast they would all pass through the driver.
     """
     of_picture = boxes.groupBy("path").agg(F.collect_list(F.struct("box", "x1", "y1", "x2", "y2")).alias("boxes"))
     box_type = dict(boxes.dtypes)["box"]
@@ -185,4 +186,4 @@ def crops(images: DataFrame, boxes: DataFrame, pad: float = 0.0, turn: str = "",
                     values = ([path], pa.string()), ([b["box"]], kind), ([part.shape[1]], pa.int32()), ([part.shape[0]], pa.int32()), ([part.tobytes()], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], ["path", "box", "width", "height", "content"])
 
-    return images.select("path", "width", "height", "content").join(of_picture, "path").mapInArrow(run, out)
+    return images.select("path", "width", "height", "content").join(of_picture.hint("merge"), "path").mapInArrow(run, out)

@@ -160,3 +160,12 @@ def test_crops_of_odd_pictures_and_boxes(spark):
     got = sorted((r.path, r.box, r.width, r.height, bytes(r.content)) for r in colors.crops(images, table).collect())
     assert got == sorted([("a", "out", 1, 1, p[9:, 11:].tobytes()), *[("a", "x", 4, 4, p[2:6, 1:5].tobytes())] * 2])
     assert colors.crops(images, table.limit(0)).count() == 0
+
+
+def test_pictures_and_boxes_meet_without_a_broadcast(spark):
+    """Pictures made in tasks look small to the planner; broadcast, all of them would pass through the driver."""
+    images = spark.range(3).mapInArrow(lambda batches: batches, "id long").selectExpr("string(id) AS path", "1 AS width", "1 AS height", "unhex('636261') AS content")
+    boxes = spark.range(6).selectExpr("string(id % 3) AS path", "id AS box", "0D AS x1", "0D AS y1", "1D AS x2", "1D AS y2")
+    cut = colors.crops(images, boxes)
+    assert "Broadcast" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["path"], r["box"], bytes(r["content"])) for r in cut.collect()) == [(str(k % 3), k, b"cba") for k in (0, 3, 1, 4, 2, 5)]
