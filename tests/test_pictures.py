@@ -169,3 +169,9 @@ def test_pictures_and_boxes_meet_without_a_broadcast(spark):
     cut = colors.crops(images, boxes)
     assert "Broadcast" not in cut._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["path"], r["box"], bytes(r["content"])) for r in cut.collect()) == [(str(k % 3), k, b"cba") for k in (0, 3, 1, 4, 2, 5)]
+
+
+def test_the_crops_query_broadcasts_no_picture(spark, sf_dir):
+    from tagmill.plans.colors import udf_crops
+
+    assert "Broadcast" not in udf_crops(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
