@@ -2,13 +2,15 @@
 
 A picture gives lines in two directions, each cut at two grey levels; a line's dark and light runs are
 compared, in windows of the 59 runs of a code, forward and backward, with the code sets; a code
-counts only with a right check digit.  Lines are rows, so a large picture is read by
-several tasks, and votes are an aggregate with map-side combine.
+counts only with a right check digit.  Lines that are equal are read once, with the weight of all,
+and votes are an aggregate with map-side combine.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +32,27 @@ def modules(code: str) -> list[int]:
     return [1, 1, 1, *left, 1, 1, 1, 1, 1, *[int(w) for d in code[7:] for w in WIDTHS[int(d)]], 1, 1, 1]
 
 
+_GREY = np.array([0.299, 0.587, 0.114])
 _DIGITS = np.r_[3:27, 32:56]
 _GUARDS = np.r_[0:3, 27:32, 56:59]
 _BY_WIDTHS = {int(w): v for w, v in _LEFT.items()}
 
 
-def _code(widths: np.ndarray) -> str | None:
-    """The code of a window of runs, None where it is none."""
-    unit = widths.sum() / MODULES
-    if unit < 1 or (np.abs(widths[_GUARDS] / unit - 1) > 0.6).any():
-        return None
-    four = widths[_DIGITS].reshape(12, 4)
-    read = np.rint(four * 7 / four.sum(axis=1, keepdims=True)).astype(int) @ (1000, 100, 10, 1)
-    digits = [_BY_WIDTHS.get(v) for v in read.tolist()]
-    if None in digits or any(kind != "L" for _, kind in digits[6:]):
-        return None
-    first = _FIRST.get("".join(kind for _, kind in digits[:6]))
-    if first is None:
-        return None
-    code = first + "".join(d for d, _ in digits)
-    return code if sum(int(d) * (3 if k % 2 else 1) for k, d in enumerate(code)) % 10 == 0 else None
+def _codes(windows: np.ndarray) -> set[str]:
+    """The codes among windows of runs; a window that is none gives none."""
+    units = windows.sum(axis=1, keepdims=True) / MODULES
+    fits = (units[:, 0] >= 1) & (np.abs(windows[:, _GUARDS] / units - 1) <= 0.6).all(axis=1)
+    found = set()
+    for four in windows[fits][:, _DIGITS].reshape(-1, 12, 4):
+        read = np.rint(four * 7 / four.sum(axis=1, keepdims=True)).astype(int) @ (1000, 100, 10, 1)
+        digits = [_BY_WIDTHS.get(v) for v in read.tolist()]
+        if None in digits or any(kind != "L" for _, kind in digits[6:]):
+            continue
+        first = _FIRST.get("".join(kind for _, kind in digits[:6]))
+        code = first + "".join(d for d, _ in digits) if first else ""
+        if code and sum(int(d) * (3 if k % 2 else 1) for k, d in enumerate(code)) % 10 == 0:
+            found.add(code)
+    return found
 
 
 def codes_of_line(grey: np.ndarray) -> set[str]:
@@ -60,54 +63,53 @@ def codes_of_line(grey: np.ndarray) -> set[str]:
         if any((dark == other).all() for other in seen):
             continue
         seen.append(dark)
-        edges = np.flatnonzero(np.diff(dark)) + 1
-        bounds = np.concatenate([[0], edges, [len(grey)]])
-        widths = np.diff(bounds)
-        if len(widths) < RUNS:
-            continue
+        edges = np.flatnonzero(dark[1:] != dark[:-1]) + 1
+        widths = np.diff(np.concatenate([[0], edges, [len(grey)]]))
         first = 0 if dark[0] else 1
-        for at in range(first, len(widths) - RUNS + 1, 2):
-            window = widths[at : at + RUNS]
-            for ordered in (window, window[::-1]):
-                code = _code(ordered)
-                if code:
-                    found.add(code)
+        if len(widths) >= RUNS + first:
+            windows = np.lib.stride_tricks.sliding_window_view(widths, RUNS)[first::2]
+            found |= _codes(windows) | _codes(windows[:, ::-1])
     return found
 
 
 def scan_lines(images: DataFrame, every: int = 1) -> DataFrame:
-    """Grey lines of pictures (path, width, height, content: 8-bit RGB), across and down, every so many; broken pictures have none."""
+    """Grey lines of pictures (path, width, height, content: 8-bit RGB), across and down, every so many: each different one of a
+    picture once, with the number `n` of those like it.  Broken pictures have none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int]]:
         for batch in batches:
-            for path, content, w, h in zip(*[batch.column(c).to_pylist() for c in ("path", "content", "width", "height")], strict=True):
-                if content is None or not w or not h or w < 0 or h < 0 or len(content) < 3 * w * h:
+            contents = batch.column("content")
+            for k, (path, w, h) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("path", "width", "height")], strict=True)):
+                content = contents[k].as_buffer()
+                if content is None or not w or not h or w < 0 or h < 0 or content.size < 3 * w * h:
                     continue
-                grey = np.rint(np.frombuffer(content, np.uint8, 3 * w * h).reshape(h, w, 3) @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+                grey = np.rint(np.frombuffer(content, np.uint8, 3 * w * h).reshape(h, w, 3) @ _GREY).astype(np.uint8)
                 # A module is a pixel wide or more, so shorter lines can't hold a code.
-                lines = [line.tobytes() for way in (grey, grey.T) if way.shape[1] >= MODULES for line in way[::every]]
-                for at in range(0, len(lines), 256):
-                    some = lines[at : at + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some), pa.string()), pa.array(some, pa.binary())], ["path", "line"])
+                for line, n in Counter(line.tobytes() for way in (grey, grey.T) if way.shape[1] >= MODULES for line in way[::every]).items():
+                    yield path, line, n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batched(rows(batches), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], ["path", "line", "n"])
 
-    return images.select("path", "width", "height", "content").mapInArrow(run, "path string, line binary")
+    return images.select("path", "width", "height", "content").mapInArrow(run, "path string, line binary, n long")
 
 
 def votes(lines: DataFrame) -> DataFrame:
-    """(path, code) for each code that a line shows."""
+    """(path, code, n) for each code that a line shows, n times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(path, code) for path, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist(), strict=True) for code in codes_of_line(np.frombuffer(line, np.uint8))]
-            paths, codes = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(codes, pa.string())], ["path", "code"])
+            found = [(path, code, n) for path, line, n in zip(*[batch.column(c).to_pylist() for c in ("path", "line", "n")], strict=True) for code in codes_of_line(np.frombuffer(line, np.uint8))]
+            paths, codes, ns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(codes, pa.string()), pa.array(ns, pa.int64())], ["path", "code", "n"])
 
-    return lines.mapInArrow(run, "path string, code string")
+    return lines.mapInArrow(run, "path string, code string, n long")
 
 
 def barcodes(images: DataFrame, every: int = 1) -> DataFrame:
     """path, code and votes: of each picture the code that most lines show, of equals the least; pictures without one have no row."""
-    counted = votes(scan_lines(images, every)).groupBy("path", "code").agg(F.count("*").alias("votes"))
+    counted = votes(scan_lines(images, every)).groupBy("path", "code").agg(F.sum("n").alias("votes"))
     # The least of equals: the code's complement to nines grows as it falls.
     best = F.max_by(F.struct("code", "votes"), F.struct("votes", F.translate("code", "0123456789", "9876543210")))
     return counted.groupBy("path").agg(best.alias("b")).select("path", "b.code", "b.votes")

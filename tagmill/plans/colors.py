@@ -19,6 +19,12 @@ WIDE, HIGH = 160, 120
 _SETTINGS = colors.Settings(kernel=5, min_area=600, min_short=20, least_ratio=1.0, most_share=0.5)
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """Small rows that become pictures, over four tasks a core or more: by their own size they would be one task or two."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def _drawn(df: DataFrame, key: str, boxes) -> DataFrame:  # noqa: ANN001
     """A dark picture for each row, with boxes(key) of (x, y, width, height, colour) painted over it in order."""
 
@@ -110,7 +116,8 @@ def udf_barcode_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["path", "width", "height", "content"])
 
     part = F.col("p_partkey")
-    drawn = read(spark, sf_dir, "part").select(part.alias("part"), ean(part).alias("code")).mapInArrow(run, "path string, width int, height int, content binary")
+    drawn = read(spark, sf_dir, "part").select(part.alias("part"), ean(part).alias("code"))
+    drawn = _dealt(drawn, "part").mapInArrow(run, "path string, width int, height int, content binary")
     return scanlines.barcodes(drawn).select(F.col("path").cast("long").alias("part"), "code")
 
 

@@ -55,3 +55,19 @@ def test_votes_over_pictures(spark):
     tied = spark.createDataFrame([("t", len(line(a)), 2, np.ascontiguousarray(np.repeat(np.vstack([line(a), line(b)])[:, :, None], 3, axis=2)).tobytes())], images.schema)
     assert scanlines.barcodes(tied).first().code == min(a, b)
     assert scanlines.barcodes(images.limit(0)).count() == 0
+
+
+def test_equal_lines_of_a_picture_are_read_once(spark, monkeypatch):
+    a = ean("460000000791")
+    picture = np.ascontiguousarray(np.repeat(np.tile(line(a), (12, 1))[:, :, None], 3, axis=2))
+    images = spark.createDataFrame([("p", picture.shape[1], picture.shape[0], picture.tobytes())], "path string, width int, height int, content binary")
+    assert [(r.path, r.n) for r in scanlines.scan_lines(images).collect()] == [("p", 12)]
+    assert [(r.code, r.votes) for r in scanlines.barcodes(images).collect()] == [(a, 12)]
+
+
+def test_pictures_of_one_small_file_are_drawn_by_many_tasks(spark, sf_dir):
+    from tagmill.plans import colors
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    assert parts.rdd.getNumPartitions() < 4 <= colors._dealt(parts, "p_partkey").rdd.getNumPartitions()
+    assert colors.udf_barcode_pixels(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
