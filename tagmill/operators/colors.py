@@ -110,11 +110,26 @@ def red_panel(rgb: np.ndarray) -> tuple[float, float, float, float] | None:
 
 def _pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray | None]]:
     for batch in batches:
-        for path, content, w, h in zip(*[batch.column(c).to_pylist() for c in ("path", "content", "width", "height")], strict=True):
-            fits = content is not None and w and h and w > 0 and h > 0 and len(content) >= 3 * w * h
+        contents = batch.column("content")
+        for k, (path, w, h) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("path", "width", "height")], strict=True)):
+            content = contents[k].as_buffer()
+            fits = content is not None and w and h and w > 0 and h > 0 and content.size >= 3 * w * h
             yield path, np.frombuffer(content, np.uint8, 3 * w * h).reshape(h, w, 3) if fits else None
 
 
+def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 512, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most so many rows, ended by the row that brings their last cells, if bytes, to `most_bytes`."""
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += len(row[-1]) if isinstance(row[-1], bytes) else 0
+        if len(some) == most or held >= most_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+            some, held = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def detect_tags(images: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Tags of pictures (path, width, height, content): path, x1, y1, x2, y2 and score (the box's area), the largest first_n of a picture.
 
@@ -122,12 +137,8 @@ def detect_tags(images: DataFrame, settings: Settings = Settings()) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, rgb in _pictures(batches):
-            boxes = candidates(rgb, settings) if rgb is not None else []
-            if boxes:
-                x1, y1, x2, y2 = zip(*boxes, strict=True)
-                score = [(c - a) * (d - b) for a, b, c, d in boxes]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(boxes)), *[pa.array(c, pa.int64()) for c in (x1, y1, x2, y2, score)], pa.array(range(len(boxes)), pa.int64())], ["path", "x1", "y1", "x2", "y2", "score", "nth"])
+        rows = ((path, *box, (box[2] - box[0]) * (box[3] - box[1]), k) for path, rgb in _pictures(batches) if rgb is not None for k, box in enumerate(candidates(rgb, settings)))
+        yield from _batched(rows, pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("x1", "y1", "x2", "y2", "score", "nth"))]))
 
     found = images.select("path", "width", "height", "content").mapInArrow(run, "path string, x1 long, y1 long, x2 long, y2 long, score long, nth long")
     order = [-F.col("score"), F.col("nth")]
@@ -140,14 +151,12 @@ def panels(images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])
-        for path, rgb in _pictures(batches):
-            panel = red_panel(rgb) if rgb is not None else None
-            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([dict(zip(("x1", "y1", "x2", "y2"), panel, strict=True)) if panel else None], kind)], ["path", "panel"])
+        found = ((path, red_panel(rgb) if rgb is not None else None) for path, rgb in _pictures(batches))
+        yield from _batched(((path, dict(zip(kind.names, panel, strict=True)) if panel else None) for path, panel in found), pa.schema([("path", pa.string()), ("panel", kind)]))
 
     return images.select("path", "width", "height", "content").mapInArrow(run, "path string, panel struct<x1:double,y1:double,x2:double,y2:double>")
 
 
-
 def straightened(images: DataFrame) -> DataFrame:
     """Pictures (path, width, height, content) deskewed: in their new size, with ok; those without a clear outline stay as they are, ok false.
 
@@ -155,13 +164,15 @@ def straightened(images: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, rgb in _pictures(batches):
-            out, ok = deskew.deskew(rgb) if rgb is not None else (None, False)
-            shape = out.shape if out is not None else (None, None)
-            values = ([path], pa.string()), ([shape[1]], pa.int32()), ([shape[0]], pa.int32()), ([out.tobytes() if out is not None else None], pa.binary()), ([ok], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], ["path", "width", "height", "content", "ok"])
+        def rows() -> Iterator[tuple]:
+            for path, rgb in _pictures(batches):
+                out, ok = deskew.deskew(rgb) if rgb is not None else (None, False)
+                yield (path, ok, *((out.shape[1], out.shape[0], out.tobytes()) if out is not None else (None, None, None)))
+
+        yield from _batched(rows(), pa.schema([("path", pa.string()), ("ok", pa.bool_()), ("width", pa.int32()), ("height", pa.int32()), ("content", pa.binary())]))
 
-    return images.select("path", "width", "height", "content").mapInArrow(run, "path string, width int, height int, content binary, ok boolean")
+    found = images.select("path", "width", "height", "content").mapInArrow(run, "path string, ok boolean, width int, height int, content binary")
+    return found.select("path", "width", "height", "content", "ok")
 
 
 def crops(images: DataFrame, boxes: DataFrame, pad: float = 0.0, turn: str = "", least_side: int | None = None) -> DataFrame:

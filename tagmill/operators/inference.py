@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -155,16 +156,25 @@ def panel_color(red: Column, yellow: Column) -> Column:
     return F.when((red >= yellow) & (red > 0.12), "red").when(yellow > 0.08, "yellow").otherwise("")
 
 
+@lru_cache(1)
+def _hsv_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Hue by sector (red, green or blue is most), difference of the two others + 255, and span; saturation by most and span."""
+    sector, less, span = np.ix_((0.0, 2.0, 4.0), np.arange(-255.0, 256.0), np.where(np.arange(256) == 0, 1.0, np.arange(256.0)))
+    hue = np.where(np.arange(256) == 0, 0.0, (sector + less / span) * 30)
+    most, span = np.arange(256.0)[:, None], np.arange(256.0)
+    return (np.rint(hue % 180) % 180).astype(np.uint8), np.minimum(np.rint(255 * span / np.where(most == 0, 1.0, most)), 255).astype(np.uint8)
+
+
 def _hsv(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hue in half degrees (0 to 179), saturation and value of 0 to 255, rounded, of 8-bit pixels."""
-    c = rgb.astype(np.float64)
-    most, least = c.max(-1), c.min(-1)
-    span = most - least
-    safe = np.where(span == 0, 1.0, span)
-    r, g, b = c[..., 0], c[..., 1], c[..., 2]
-    hue = np.where(most == r, (g - b) / safe, np.where(most == g, 2 + (b - r) / safe, 4 + (r - g) / safe)) * 30
-    hue = np.where(span == 0, 0.0, hue)
-    return np.rint(hue % 180) % 180, np.rint(255 * span / np.where(most == 0, 1.0, most)), most
+    r, g, b = (np.ascontiguousarray(rgb[..., k]) for k in range(3))
+    most = np.maximum(np.maximum(r, g), b)
+    span = most - np.minimum(np.minimum(r, g), b)
+    hues, saturations = _hsv_tables()
+    red, green = most == r, most == g
+    first, second = np.where(red, g, np.where(green, b, r)), np.where(red, b, np.where(green, r, g))
+    at = np.where(red, 0, np.where(green, 511, 1022)) + (first.astype(np.int16) - second + 255)
+    return hues.reshape(-1)[(at << 8) + span], saturations.reshape(-1)[(most.astype(np.int32) << 8) + span], most
 
 
 def color_shares(pixels: Column) -> Column:

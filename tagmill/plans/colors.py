@@ -41,7 +41,7 @@ def _drawn(df: DataFrame, key: str, boxes) -> DataFrame:  # noqa: ANN001
                 n = len(out)
                 yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys[at : at + 64]]), pa.array([WIDE] * n, pa.int32()), pa.array([HIGH] * n, pa.int32()), pa.array(out, pa.binary())], ["path", "width", "height", "content"])
 
-    return df.select(key).mapInArrow(run, "path string, width int, height int, content binary")
+    return _dealt(df.select(key), key).mapInArrow(run, "path string, width int, height int, content binary")
 
 
 # Blobs grow by two pixels on each side; the strip above a tag is as high as the tag; a margin of 8 % goes on each side.

@@ -3,6 +3,7 @@
 import csv
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,24 @@ def test_the_crops_query_broadcasts_no_picture(spark, sf_dir):
     from tagmill.plans.colors import udf_crops
 
     assert "Broadcast" not in udf_crops(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hues_and_saturations_are_those_of_the_formula():
+    from tagmill.operators.inference import _hsv
+
+    rgb = np.random.default_rng(5).integers(0, 256, (4000, 3), np.uint8) // np.array([1, 1, 16], np.uint8) * np.array([1, 1, 16], np.uint8)
+    h, s, v = _hsv(rgb)
+    for (r, g, b), hue, saturation, value in zip(rgb.tolist(), h.tolist(), s.tolist(), v.tolist(), strict=True):
+        span = max(r, g, b) - min(r, g, b)
+        want = 0.0 if not span else 30 * ((g - b) / span if r == max(r, g, b) else 2 + (b - r) / span if g == max(r, g, b) else 4 + (r - g) / span)
+        assert (hue, saturation, value) == (round(want % 180) % 180, round(255 * span / max(r, g, b, 1)), max(r, g, b))
+
+
+def test_pictures_drawn_from_a_small_table_and_their_panels_come_in_many_tasks_and_few_batches(spark, sf_dir):
+    from tagmill.plans import colors as plans
+
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    drawn = plans._drawn(customers, "c_custkey", lambda k: [])
+    assert customers.rdd.getNumPartitions() < 4 <= drawn.rdd.getNumPartitions()
+    sizes = [b.num_rows for b in colors._batched(((str(k), bytes(5)) for k in range(7)), pa.schema([("path", pa.string()), ("content", pa.binary())]), 4, 12)]
+    assert sizes == [3, 3, 1]
