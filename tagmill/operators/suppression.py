@@ -1,22 +1,22 @@
 """Greedy suppression, temporal clusters and identities of repeated observations.
 
 Greedy rules depend on an order, so each takes its order columns and expects
-them to be total.  A group (one image, one frame, one video) is folded inside
-the JVM over its sorted array, and the identities of a recording grow in one
-Arrow group; groups are bounded by what one detector run or one recording
-yields, never by the corpus.
+them to be total.  A group of one image or frame is folded inside the JVM over
+its sorted array; the clusters of a recording stream through a task, and its
+identities grow in one Arrow group, bounded by what one recording yields, never
+by the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,34 +54,48 @@ def precluster(df: DataFrame, group: list[str], frame: str, order: list[Column],
     """Best row of each run of overlapping rows over neighbouring frames.
 
     A row joins the first cluster, by creation, seen at most `gap` frames before it whose best row it overlaps; a best
-    row gives way only to a strictly higher `better`.  A recording is cut where no row follows for more than `gap`
-    frames, as no cluster reaches over; inside a piece a row is tested against the clusters that it can still join.
+    row gives way only to a strictly higher `better`.  `order` begins with the frame.  A recording's rows stream through one
+    task in order, which holds only the clusters that a row can still join; a row without a frame or box is its own cluster.
     """
-    before = F.lag(frame).over(Window.partitionBy(*group).orderBy(frame))
-    begins = F.when(F.col(frame) - before <= gap, 0).otherwise(1)
-    pieces = df.withColumn("_begins", begins).withColumn("_piece", F.sum("_begins").over(Window.partitionBy(*group).orderBy(frame).rangeBetween(Window.unboundedPreceding, 0)))
-    rows = F.transform("rows", lambda r: F.struct(r[frame].alias("last"), r.alias("best")))
-    none = F.filter(rows, lambda _: F.lit(False))
-
-    def step(acc: Column, x: Column) -> Column:
-        def old(c: Column) -> Column:
-            return x["last"] - c["last"] > gap
-
-        def fits(c: Column) -> Column:
-            return iou_at_least(Box.of(c["best"]), Box.of(x["best"]), numerator, denominator)
-
-        def update(c: Column) -> Column:
-            return F.struct(x["last"].alias("last"), F.when(x["best"][better] > c["best"][better], x["best"]).otherwise(c["best"]).alias("best"))
-
-        def add(seen: Column) -> Column:
-            at = F.array_position(F.transform(seen, fits), True)
-            return _let(at, lambda ix: F.when(ix == 0, F.array_append(seen, x)).otherwise(F.transform(seen, lambda c, i: F.when(i == ix - 1, update(c)).otherwise(c))))
-
-        over = F.when(F.exists(acc["open"], old), F.concat(acc["over"], F.filter(acc["open"], old))).otherwise(acc["over"])
-        return F.struct(_let(F.filter(acc["open"], lambda c: ~old(c)), add).alias("open"), over.alias("over"))
-
-    clusters = F.aggregate(rows, F.struct(none.alias("open"), none.alias("over")), step, lambda acc: F.concat(acc["over"], acc["open"]))
-    return _sorted_groups(pieces, [*group, "_piece"], order, fields).select(*group, F.explode(clusters).alias("c")).select(*group, "c.best.*")
+    names, places = [*group, *fields], [f"_o{k}" for k in range(len(order))]
+    in_order = df.select(*names, *[c.alias(p) for c, p in zip(order, places, strict=True)]).repartition(*group).sortWithinPartitions(*group, *places)
+    keys, (at_frame, at_better, *at_box) = len(group), [names.index(c) for c in (frame, better, *BOX)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, clusters, over = None, None, [], []  # a cluster: last frame, box and area of its best row, that row's `better`, the row
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:keys] != key:
+                    over += [c[7] for c in clusters]
+                    key, now, clusters = row[:keys], None, []
+                f, s, (x1, y1, x2, y2) = row[at_frame], row[at_better], [row[k] for k in at_box]
+                if f is None or x1 is None or y1 is None or x2 is None or y2 is None:
+                    over.append(row)
+                    continue
+                if f != now:
+                    over += [c[7] for c in clusters if f - c[0] > gap]
+                    now, clusters = f, [c for c in clusters if f - c[0] <= gap]
+                area = (x2 - x1) * (y2 - y1)
+                for c in clusters:
+                    _, left, top, right, bottom, other, best, _ = c
+                    wide = (right if right < x2 else x2) - (left if left > x1 else x1)
+                    if wide > 0:
+                        high = (bottom if bottom < y2 else y2) - (top if top > y1 else y1)
+                        if high > 0 and wide * high * denominator >= (other + area - wide * high) * numerator:
+                            c[0] = f
+                            if s is not None and best is not None and s > best:
+                                c[1:] = x1, y1, x2, y2, area, s, row
+                            break
+                else:
+                    clusters.append([f, x1, y1, x2, y2, area, s, row])
+            if over:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*over, strict=True), batch.schema.types, strict=True)], schema=batch.schema)
+                over = []
+        if clusters:
+            over = [c[7] for c in clusters]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*over, strict=True), batch.schema.types, strict=True)], schema=batch.schema)
+
+    return in_order.select(*names).mapInArrow(run, T.StructType([df.schema[c] for c in names]))
 
 
 def in_frame(df: DataFrame, group: list[str], order: list[Column], fields: list[str], quality: str, radius: int = 8, numerator: int | None = 9, denominator: int = 20) -> DataFrame:

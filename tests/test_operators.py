@@ -326,3 +326,32 @@ def test_every_query_against_its_sql(spark, sf_dir):
 def test_entry(spark):
     assert len(__spark_entry__.entry(spark).columns) == 29
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_clusters_of_a_recording_stream_in_order_and_none_is_gathered(spark):
+    r = random.Random(12)
+    rows = [(g, f, k, x, y, x + r.randrange(20, 60), y + r.randrange(20, 60), r.randrange(9)) for g in range(3) for f in range(60) for k in range(r.randrange(4)) for x, y in [(r.randrange(80), r.randrange(80))]]
+    rows += [(0, None, 0, 1, 1, 9, 9, 5), (1, 7, 9, None, 1, 9, 9, 5)]
+    want = [(0, *rows[-2][1:]), (1, *rows[-1][1:])]
+    for g in range(3):
+        clusters = []
+        for row in sorted((x for x in rows[:-2] if x[0] == g), key=lambda x: (x[1], -x[7], x[2])):
+            for c in clusters:
+                b = c[1]
+                w, h = min(b[5], row[5]) - max(b[3], row[3]), min(b[6], row[6]) - max(b[4], row[4])
+                both = (b[5] - b[3]) * (b[6] - b[4]) + (row[5] - row[3]) * (row[6] - row[4]) - w * h
+                if row[1] - c[0] <= 2 and w > 0 and h > 0 and 4 * w * h >= both:
+                    c[0], c[1] = row[1], row if row[7] > b[7] else b
+                    break
+            else:
+                clusters.append([row[1], row])
+        want += [c[1] for c in clusters]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.createDataFrame(rows, "g long, f long, k long, x1 long, y1 long, x2 long, y2 long, s long")
+        out = suppression.precluster(df, ["g"], "f", [F.col("f"), -F.col("s"), F.col("k")], ["f", "k", "x1", "y1", "x2", "y2", "s"], "s", gap=2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "Window" not in plan
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
