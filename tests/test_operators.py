@@ -355,3 +355,10 @@ def test_clusters_of_a_recording_stream_in_order_and_none_is_gathered(spark):
         assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_loss_funnel_gathers_no_recording(spark, sf_dir):
+    from tagmill.plans.evaluation import agg_loss_funnel
+
+    plan = agg_loss_funnel(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
