@@ -133,41 +133,46 @@ class Tags:
     default: np.ndarray
     card: np.ndarray
     bare: np.ndarray  # without a barcode
+    name: np.ndarray
     names: list[str]
 
     @classmethod
     def of(cls, rows: pa.Table) -> Tags:
         text = lambda c: [x or "" for x in rows.column(c).to_pylist()]
 
-        def numbered(values: list[str], least: int) -> np.ndarray:
-            seen: dict[str, int] = {}
+        def numbered(values: list[str], least: int, seen: dict[str, int]) -> np.ndarray:
             return np.array([seen.setdefault(v, len(seen)) if len(v) >= least else -1 for v in values], np.int64)
 
-        codes = text("_barcode")
-        return cls(*(rows.column(c).to_numpy() for c in BOX), numbered(codes, 8), numbered(text("_price_default"), 1), numbered(text("_price_card"), 1), np.array([c == "" for c in codes], bool), text("_product_name"))
+        codes, names = text("_barcode"), {}
+        cells = numbered(codes, 8, {}), numbered(text("_price_default"), 1, {}), numbered(text("_price_card"), 1, {}), np.array([c == "" for c in codes], bool), numbered(text("_product_name"), 0, names)
+        return cls(*(rows.column(c).to_numpy() for c in BOX), *cells, list(names))
 
-    def same_as(self, k: int, numerator: int, denominator: int, spatial: int) -> np.ndarray:
-        """Which rows are one thing with row k: equal barcode of 8 digits or more, overlap at the IoU, or (with `spatial`)
-        centers that near, an equal price, and names alike or no barcodes."""
-        x1, y1, x2, y2 = self.x1[k], self.y1[k], self.x2[k], self.y2[k]
-        wide = np.minimum(self.x2, x2) - np.maximum(self.x1, x1)
-        high = np.minimum(self.y2, y2) - np.maximum(self.y1, y1)
+    def met(self, by: np.ndarray, rows: np.ndarray, numerator: int, denominator: int, spatial: int) -> np.ndarray:
+        """Which of `rows` are one thing with any of `by`: equal barcode of 8 digits or more, overlap at the IoU, or (with
+        `spatial`) centers that near, an equal price, and names alike or no barcodes."""
+        x1, y1, x2, y2 = (c[by][:, None] for c in (self.x1, self.y1, self.x2, self.y2))
+        u1, v1, u2, v2 = self.x1[rows], self.y1[rows], self.x2[rows], self.y2[rows]
+        wide, high = np.minimum(u2, x2) - np.maximum(u1, x1), np.minimum(v2, y2) - np.maximum(v1, y1)
         inter = wide * high
-        union = (self.x2 - self.x1) * (self.y2 - self.y1) + ((x2 - x1) * (y2 - y1) - inter)
-        same = (wide > 0) & (high > 0) & (denominator * inter >= numerator * union)
-        if self.barcode[k] >= 0:
-            same |= self.barcode == self.barcode[k]
-        if spatial > 0:
-            price = np.zeros(len(same), bool)
+        same = ((wide > 0) & (high > 0) & (denominator * inter >= numerator * ((u2 - u1) * (v2 - v1) + ((x2 - x1) * (y2 - y1) - inter)))).any(axis=0)
+        codes = self.barcode[by]
+        same |= (self.barcode[rows] >= 0) & (self.barcode[rows] == codes[0] if len(by) == 1 else np.isin(self.barcode[rows], codes))
+        rest = np.flatnonzero(~same)
+        if spatial > 0 and len(rest):
+            some = rows[rest]
+            near = np.zeros((len(by), len(some)), bool)
             for column in (self.default, self.card):
-                if column[k] >= 0:
-                    price |= column == column[k]
-            price &= ~same
-            rows = np.nonzero(price)[0]
-            if len(rows):
-                apart = (self.x1[rows] + self.x2[rows] - (x1 + x2)) ** 2 + (self.y1[rows] + self.y2[rows] - (y1 + y2)) ** 2
-                for i in rows[apart <= 4 * spatial * spatial].tolist():
-                    same[i] = (self.bare[i] and self.bare[k]) or alike(self.names[i], self.names[k])
+                near |= (column[some] >= 0) & (column[some] == column[by][:, None])
+            i, j = np.nonzero(near)
+            a, b = by[i], some[j]
+            close = (self.x1[b] + self.x2[b] - (self.x1[a] + self.x2[a])) ** 2 + (self.y1[b] + self.y2[b] - (self.y1[a] + self.y2[a])) ** 2 <= 4 * spatial * spatial
+            a, b, j = a[close], b[close], j[close]
+            bare = self.bare[a] & self.bare[b]
+            same[rest[j[bare]]] = True
+            left = ~same[rest[j]]
+            kinds, of = np.unique(self.name[b[left]] * len(self.names) + self.name[a[left]], return_inverse=True)
+            fits = np.array([alike(self.names[k // len(self.names)], self.names[k % len(self.names)]) for k in kinds.tolist()], bool)
+            same[rest[j[left][fits[of]]]] = True
         return same
 
 
@@ -177,63 +182,81 @@ def alike(a: str, b: str) -> bool:
     return bool(a and b) and SequenceMatcher(None, a, b).ratio() >= 0.35
 
 
+# Fixed value: pairs that are compared at once.
+PAIRS = 1 << 15
+
+
 def grow_identities(tags: Tags, quality: np.ndarray, numerator: int, denominator: int, spatial: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row the first row of its identity; and which rows are their identity's best, the first to join among equals.
 
     An identity grows from the first row left by passes over the rest in order; a row joins if it is one thing with any
-    row that has joined before it.  Time is the square of a recording's rows, in arrays; memory is in proportion to them.
+    row that has joined before it.  Rows that have joined are compared, in blocks, with those only that have not: memory is
+    in proportion to a recording's rows, and time to them times those that large identities leave over.
     """
-    n = len(quality)
+    n, rules = len(quality), (numerator, denominator, spatial)
     of, best = np.full(n, -1), np.zeros(n, bool)
-    free = np.ones(n, bool)
-    for seed in range(n):
-        if not free[seed]:
-            continue
-        of[seed], free[seed], joined = seed, False, [seed]
-        hit = tags.same_as(seed, numerator, denominator, spatial) & free
-        begin, grown = seed + 1, False
-        while True:
-            at = begin + int(hit[begin:].argmax()) if begin < n else n
-            if at < n and hit[at]:
-                of[at], free[at], hit[at] = seed, False, False
-                joined.append(at)
-                hit |= tags.same_as(at, numerator, denominator, spatial) & free
-                begin, grown = at + 1, True
-            elif grown:
-                begin, grown = seed + 1, False
-            else:
-                break
-        best[joined[int(np.argmax(quality[joined]))]] = True
+    free = np.arange(n)
+    while len(free):
+        seed, free, block = int(free[0]), free[1:], 1
+        joined, todo = [np.array([seed])], np.array([seed])
+        while len(todo) and len(free):
+            hit = tags.met(todo[:block], free, *rules)
+            todo, free, new = np.concatenate([free[hit], todo[block:]]), free[~hit], free[hit]  # the last to join are nearest to those left
+            joined.append(new)
+            block = max(1, min(2 * block, PAIRS // max(1, len(free))))
+        members = np.sort(np.concatenate(joined))
+        of[members] = seed
+        most = quality[members[int(np.argmax(quality[members]))]]
+        top = members[quality[members] == most] if most == most else members[np.isnan(quality[members])]
+        best[top[0] if len(top) == 1 else _first_to_join(tags, members, set(top.tolist()), rules)] = True
     return of, best
 
 
-def identities(df: DataFrame, scope: list[str], order: list[str], quality: str, numerator: int = 9, denominator: int = 20, spatial: int = 0) -> DataFrame:
-    """df with identity (place, in input order, of the first row of the thing, counted in its recording) and best.
+def _first_to_join(tags: Tags, members: np.ndarray, among: set[int], rules: tuple[int, int, int]) -> int:
+    """The first of some members of an identity to join it, as it grows from its first member by passes in order."""
+    free, hit = np.ones(len(members), bool), np.zeros(len(members), bool)
+    at, begin = 0, 0
+    while int(members[at]) not in among:
+        free[at], hit[at] = False, False
+        others = np.flatnonzero(free & ~hit)
+        if len(others):
+            hit[others[tags.met(members[at : at + 1], members[others], *rules)]] = True
+        begin = at + 1
+        ahead = np.flatnonzero(hit[begin:])[:1] + begin if hit[begin:].any() else np.flatnonzero(hit)[:1]
+        at = int(ahead[0])
+    return int(members[at])
+
+
+def identities(df: DataFrame, scope: list[str], order: list[str], quality: str, numerator: int = 9, denominator: int = 20, spatial: int = 0, keep: list[str] | None = None, named: str | None = None) -> DataFrame:
+    """df (or its columns `keep`) with identity (place, in input order, of the first row of the thing, counted in its recording;
+    that row's column `named` where one is given) and best.
 
     Rows are text cells barcode, price_default, price_card, product_name (compared trimmed and in lower case) and box
     columns; `scope` names a recording, `order` the input order in it.  Identities reach over all of a recording, so a
     recording is one group.
     """
-    cells = ("barcode", "price_default", "price_card", "product_name")
-    given = df.select("*", *[clean(F.col(c)).alias(f"_{c}") for c in cells])
-    schema = T.StructType(list(df.schema)).add("identity", T.IntegerType()).add("best", T.BooleanType())
+    cells, keep = ("barcode", "price_default", "price_card", "product_name"), df.columns if keep is None else keep
+    carried = dict.fromkeys([*keep, *scope, *order, quality, *BOX, *([named] if named else [])])
+    given = df.select(*carried, *[clean(F.col(c)).alias(f"_{c}") for c in cells])
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("identity", df.schema[named].dataType if named else T.IntegerType()), T.StructField("best", T.BooleanType())])
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in order])
         of, best = grow_identities(Tags.of(rows), rows.column(quality).to_numpy(), numerator, denominator, spatial)
-        return rows.drop_columns([f"_{c}" for c in cells]).append_column("identity", pa.array(of, pa.int32())).append_column("best", pa.array(best))
+        return rows.select(keep).append_column("identity", rows.column(named).take(pa.array(of)) if named else pa.array(of, pa.int32())).append_column("best", pa.array(best))
 
     return given.groupBy(*scope).applyInArrow(run, schema)
 
 
-def dedupe(df: DataFrame, scope: list[str], frame: str, order: list[str], quality: str, spatial: int = 0) -> DataFrame:
-    """The best row of each thing in a recording: first among the rows of a frame, then over all frames.
+def dedupe(df: DataFrame, scope: list[str], frame: str, order: list[str], quality: str, spatial: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """The best row of each thing in a recording (or its columns `keep`): first among the rows of a frame, then over all frames.
 
     A recording's rows come back together and in input order.
     """
-    fields = [c for c in df.columns if c not in (*scope, frame)]
+    needed = dict.fromkeys([*keep, *scope, frame, *order, quality, *BOX, "barcode", "price_default", "price_card", "product_name"]) if keep else df.columns
+    fields = [c for c in df.columns if c in needed and c not in (*scope, frame)]
     kept = in_frame(df, [*scope, frame], [F.col(c) for c in order if c != frame], fields, quality)
-    return identities(kept, scope, order, quality, spatial=spatial).filter("best").drop("identity", "best")
+    return identities(kept, scope, order, quality, spatial=spatial, keep=keep).filter("best").drop("identity", "best")
 
 
 def best_by(df: DataFrame, group: list[str], score: list[Column]) -> DataFrame:

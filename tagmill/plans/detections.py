@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.functions import geometry as geo
@@ -151,9 +151,7 @@ ident AS (SELECT u AS {row}, min(v) AS identity FROM reach GROUP BY u)"""
 @query(f"WITH RECURSIVE {DET}, {_TAG}, {_sql_identities('tagged', 'video', 'row', 40)} SELECT t.image_id, t.row, i.identity FROM tagged t JOIN ident i USING (row)")
 def dup_identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP06, DUP07: transitive identity by barcode, overlap, or place and price, in a video."""
-    found = suppression.identities(_tagged(spark, sf_dir), ["video"], ["row"], "quality", spatial=40)
-    first = F.min("row").over(Window.partitionBy("video", "identity"))
-    return found.select("image_id", "row", first.alias("identity"))
+    return suppression.identities(_tagged(spark, sf_dir), ["video"], ["row"], "quality", spatial=40, keep=["image_id", "row"], named="row").drop("best")
 
 
 _SEED_ROW = "struct_pack(x1 := o.x1, y1 := o.y1, x2 := o.x2, y2 := o.y2, best := struct_pack(row := o.row, quality := o.quality))"
@@ -171,7 +169,7 @@ SELECT video, arg_max(w.row, w.quality) AS row, max(w.quality) AS quality FROM w
 @query(_full_sql())
 def dup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP08, ORD09: the best row of each thing, first in its frame, then over the recording; in input order."""
-    return suppression.dedupe(_tagged(spark, sf_dir), ["video"], "frame", ["row"], "quality", spatial=40).select("video", "row", "quality")
+    return suppression.dedupe(_tagged(spark, sf_dir), ["video"], "frame", ["row"], "quality", spatial=40, keep=["video", "row", "quality"])
 
 
 @query(f"WITH {DET} SELECT part AS track, max(conf * ((x2-x1)*(y2-y1))) AS score, arg_max(image_id, (conf * ((x2-x1)*(y2-y1)), -image_id, -line, -supp)) AS image_id FROM det GROUP BY part")
@@ -280,5 +278,5 @@ def flagship_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = contract.result_rows(parsed, keep=keys)
     tenths = geo.row_quality_tenths(F.col("conf"), *[F.col(c) for c in ("barcode", "price_card", "price_default", "product_name", "discount_amount", "color")], contract.ABSENT)
     kept_order = ["frame", "down", "line", "part", "supp"]
-    found = suppression.dedupe(rows.withColumn("quality", tenths), ["video"], "frame", kept_order, "quality", spatial=200)
+    found = suppression.dedupe(rows.withColumn("quality", tenths), ["video"], "frame", kept_order, "quality", spatial=200, keep=contract.COLUMNS)
     return found.select(contract.COLUMNS)
