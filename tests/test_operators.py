@@ -379,3 +379,9 @@ def test_identities_compare_rows_with_those_only_that_are_left():
     of, best = suppression.grow_identities(tags, g.integers(0, 9, n), 9, 20, 40)
     assert time.process_time() - began < 4
     assert (of == 0).all() and best.sum() == 1
+
+
+def test_identities_are_named_by_their_first_row_without_a_window(spark, sf_dir):
+    from tagmill.plans.detections import dup_identity_components
+
+    assert "Window" not in dup_identity_components(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
