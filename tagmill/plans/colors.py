@@ -13,18 +13,12 @@ from tagmill.operators import colors, evaluation, rows, scanlines
 from tagmill.plans.proxies import DET, EAN, det, ean, read
 from tagmill.plans.registry import query
 from tagmill.sources import onefile, readers
-from tagmill.sources.scratch import new_folder
+from tagmill.sources.scratch import dealt, new_folder
 
 WIDE, HIGH = 160, 120
 _SETTINGS = colors.Settings(kernel=5, min_area=600, min_short=20, least_ratio=1.0, most_share=0.5)
 
 
-def _dealt(df: DataFrame, key: str) -> DataFrame:
-    """Small rows that become pictures, over four tasks a core or more: by their own size they would be one task or two."""
-    spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
-
-
 def _drawn(df: DataFrame, key: str, boxes) -> DataFrame:  # noqa: ANN001
     """A dark picture for each row, with boxes(key) of (x, y, width, height, colour) painted over it in order."""
 
@@ -41,7 +35,7 @@ def _drawn(df: DataFrame, key: str, boxes) -> DataFrame:  # noqa: ANN001
                 n = len(out)
                 yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys[at : at + 64]]), pa.array([WIDE] * n, pa.int32()), pa.array([HIGH] * n, pa.int32()), pa.array(out, pa.binary())], ["path", "width", "height", "content"])
 
-    return _dealt(df.select(key), key).mapInArrow(run, "path string, width int, height int, content binary")
+    return dealt(df.select(key), key).mapInArrow(run, "path string, width int, height int, content binary")
 
 
 # Blobs grow by two pixels on each side; the strip above a tag is as high as the tag; a margin of 8 % goes on each side.
@@ -117,7 +111,7 @@ def udf_barcode_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     part = F.col("p_partkey")
     drawn = read(spark, sf_dir, "part").select(part.alias("part"), ean(part).alias("code"))
-    drawn = _dealt(drawn, "part").mapInArrow(run, "path string, width int, height int, content binary")
+    drawn = dealt(drawn, "part").mapInArrow(run, "path string, width int, height int, content binary")
     return scanlines.barcodes(drawn).select(F.col("path").cast("long").alias("part"), "code")
 
 

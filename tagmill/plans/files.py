@@ -9,7 +9,7 @@ from tagmill.functions.geometry import Box, yolo_box, yolo_line
 from tagmill.operators import splits
 from tagmill.plans.proxies import DET, det, read
 from tagmill.plans.registry import query
-from tagmill.sources import readers, sinks
+from tagmill.sources import readers, sinks, storage
 from tagmill.sources.scratch import new_folder
 
 
@@ -169,10 +169,8 @@ def snk_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = c("o_orderkey") % 300, c("o_orderkey") % 200
     boxes = read(spark, sf_dir, "orders").select(*place(c("o_custkey")), x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 50).alias("y2"))
     rows = sinks.dataset_rows(boxes, frames, yolo_line(F.lit(0), yolo_box(Box.columns(), F.lit(640), F.lit(640))), F.lit(True), F.when(c("frame") % 10 == 7, "val").otherwise("train"))
-    sinks.write_label_files(rows, ["price_tag"], path)
-    back = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(f"{path}/labels").select(F.regexp_extract(F.input_file_name(), "labels/([a-z]+)/", 1).alias("split"), "value")
-    # An empty file has no row in a text scan; the listing has it.
-    every = readers.listing(spark, f"{path}/labels", ("txt",)).select(F.regexp_extract("path", "labels/([a-z]+)/", 1).alias("split"), "length")
-    counts = every.groupBy("split").agg(F.count("*").alias("files"), F.count_if(c("length") == 0).alias("negatives"))
-    lines = back.groupBy("split").agg(F.sum(F.size(F.array_remove(F.split("value", "\n"), ""))).alias("n_lines"))
-    return counts.join(lines, "split").select("split", "files", "n_lines", "negatives")
+    written = sinks.write_label_files(rows, ["price_tag"], path)
+    # Read by name inside tasks: Spark's own scans skip empty files, and list a folder at the driver.
+    back = storage.read_files(written.filter(c("path").endswith(".txt"))).select(F.regexp_extract("path", "labels/([a-z]+)/", 1).alias("split"), "length", F.decode("content", "UTF-8").alias("value"))
+    n_lines = F.sum(F.size(F.array_remove(F.split("value", "\n"), "")).cast("long"))
+    return back.groupBy("split").agg(F.count("*").alias("files"), n_lines.alias("n_lines"), F.count_if(c("length") == 0).alias("negatives"))

@@ -100,10 +100,12 @@ def write_label_files(rows: DataFrame, names: list[str], path: str) -> DataFrame
 
     Gives path and length of what was written.  Frames without a line have an empty label file, as trainers expect.
     """
+    from tagmill.sources.scratch import dealt
     from tagmill.sources.storage import write_files
 
     lines = F.array_join("lines", "\n")
     labels = rows.select(F.concat(F.lit("labels/"), "split", F.lit("/"), "stem", F.lit(".txt")).alias("name"), F.when(F.size("lines") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary").alias("content"))
+    labels = dealt(labels, "name")
     if "content" in rows.columns:
         pictures = rows.filter("content is not null").select(F.concat(F.lit("images/"), "split", F.lit("/"), "stem", F.lit(".jpg")).alias("name"), "content")
         labels = labels.unionByName(pictures)

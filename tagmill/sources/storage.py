@@ -58,19 +58,51 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = located(folder)
+        made: set[str] = set()
         for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+            names, lengths = batch.column("name").to_pylist(), []
+            for name, content in zip(names, batch.column("content"), strict=True):
                 data = content.as_py() or b""
                 data = data.encode() if isinstance(data, str) else data
                 path = f"{root.rstrip('/')}/{name}"
                 parent, base = path.rsplit("/", 1)
-                where.create_dir(parent, recursive=True)
+                if parent not in made:
+                    where.create_dir(parent, recursive=True)
+                    made.add(parent)
                 part = f"{parent}/_{uuid.uuid4().hex}-{base}"
                 with where.open_output_stream(part) as out:
                     out.write(data)
                 where.move(part, path)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([len(data)], pa.int64())], ["path", "length"])
+                lengths.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}" for name in names], pa.string()), pa.array(lengths, pa.int64())], ["path", "length"])
 
     from tagmill.sources.scratch import materialize
 
     return materialize(df.select("name", "content").mapInArrow(write, "path string, length long"))
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """path, length and content of the files that rows name (path), each once, empty ones too: read inside tasks, with no listing at the driver.
+
+    A file that is not there is an error.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(some: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["path", "length", "content"])
+
+        some, held = [], 0
+        for path in (path for b in batches for path in b.column("path").to_pylist()):
+            source = Ranges(path)
+            some.append((path, source.size, source(0, source.size)))
+            source.close()
+            held += source.size
+            if len(some) == 1024 or held >= 8 << 20:
+                yield batch(some)
+                some, held = [], 0
+        if some:
+            yield batch(some)
+
+    from tagmill.sources.scratch import dealt
+
+    return dealt(paths.select("path"), "path").distinct().mapInArrow(read, "path string, length long, content binary")

@@ -107,3 +107,13 @@ def test_csv_folders_by_each_files_header(spark, tmp_path):
     (tmp_path / "none").mkdir()
     (tmp_path / "none/empty.csv").write_text("")
     assert readers.csv(spark, str(tmp_path / "none"), ["id"], recursive=True).count() == 0
+
+
+def test_label_files_are_read_back_with_the_empty_ones_and_without_a_listing(spark, tmp_path):
+    from tagmill.plans.files import snk_label_files
+
+    spark.createDataFrame([(k,) for k in range(20)], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k % 5) for k in range(40)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    out = snk_label_files(spark, str(tmp_path))
+    assert "binaryFile" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {("train", 18, 40, 13), ("val", 2, 0, 2)}

@@ -69,5 +69,5 @@ def test_pictures_of_one_small_file_are_drawn_by_many_tasks(spark, sf_dir):
     from tagmill.plans import colors
 
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    assert parts.rdd.getNumPartitions() < 4 <= colors._dealt(parts, "p_partkey").rdd.getNumPartitions()
+    assert parts.rdd.getNumPartitions() < 4 <= colors.dealt(parts, "p_partkey").rdd.getNumPartitions()
     assert colors.udf_barcode_pixels(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
