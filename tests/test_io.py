@@ -117,3 +117,14 @@ def test_label_files_are_read_back_with_the_empty_ones_and_without_a_listing(spa
     out = snk_label_files(spark, str(tmp_path))
     assert "binaryFile" not in out._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in out.collect()} == {("train", 18, 40, 13), ("val", 2, 0, 2)}
+
+
+def test_files_are_read_by_name_once_each(spark, tmp_path):
+    from tagmill.sources import storage
+
+    for k in range(5):
+        (tmp_path / f"{k}.txt").write_bytes(b"x" * k)
+    paths = spark.createDataFrame([(f"file:{tmp_path}/{k % 5}.txt",) for k in range(9)], "path string")
+    found = storage.read_files(paths)
+    assert found.rdd.getNumPartitions() >= 4
+    assert sorted((r["path"][-5:], r["length"], bytes(r["content"])) for r in found.collect()) == [(f"{k}.txt", k, b"x" * k) for k in range(5)]
