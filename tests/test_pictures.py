@@ -197,3 +197,10 @@ def test_pictures_drawn_from_a_small_table_and_their_panels_come_in_many_tasks_a
     assert customers.rdd.getNumPartitions() < 4 <= drawn.rdd.getNumPartitions()
     sizes = [b.num_rows for b in colors._batched(((str(k), bytes(5)) for k in range(7)), pa.schema([("path", pa.string()), ("content", pa.binary())]), 4, 12)]
     assert sizes == [3, 3, 1]
+
+
+def test_tags_and_labels_of_one_small_file_are_drawn_by_many_tasks(spark, sf_dir):
+    from tagmill.plans import colors as plans
+
+    for made in (plans.udf_color_tags, plans.udf_deskew):
+        assert "REPARTITION_BY_NUM" in made(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
