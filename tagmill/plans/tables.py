@@ -68,9 +68,7 @@ def joi_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda df, name, *keys: df.select((c("image_id") % 500).alias("g"), *keys, (c("x1") + c("x2")).alias(f"{name}_x"), (c("y1") + c("y2")).alias(f"{name}_y"))
     a = side(det(spark, sf_dir), "a", (c("image_id") * 10 + c("line")).alias("l"))
     b = side(gt(spark, sf_dir), "b", c("image_id").alias("r"))
-    d = (c("a_x") - c("b_x")) * (c("a_x") - c("b_x")) + (c("a_y") - c("b_y")) * (c("a_y") - c("b_y"))
-    near = matching.within(a, b, "g", ("x", "y"), 45).withColumn("d", d).filter("d <= 2000")
-    return matching.one_to_one(near.groupBy("g", "l", "r").agg(F.min("d").alias("d")), ["g"], "l", "r", "d")
+    return matching.one_to_one_near(a, b, "g", "l", "r", 2000)
 
 
 @query(f"WITH {DET}, {GT}, e AS (SELECT b.image_id, a.line, a.part, a.supp, a.conf - {DIST} AS score FROM gt b JOIN det a USING (image_id) WHERE {DIST} <= 90000), q AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, line, part, supp) AS rn FROM e) SELECT image_id, line, part, supp, score FROM q WHERE rn = 1")

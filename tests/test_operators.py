@@ -385,3 +385,23 @@ def test_identities_are_named_by_their_first_row_without_a_window(spark, sf_dir)
     from tagmill.plans.detections import dup_identity_components
 
     assert "Window" not in dup_identity_components(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_to_one_of_points_lists_no_pairs(spark, sf_dir, monkeypatch):
+    import numpy as np
+
+    from tagmill.plans.tables import joi_one_to_one
+
+    for seed in range(40):
+        g = np.random.default_rng(seed)
+        monkeypatch.setattr(matching, "EDGES", int(g.choice([1, 30, 1 << 20])))
+        n, k, size, most = int(g.integers(1, 60)), int(g.integers(1, 40)), int(g.choice([3, 30, 120])), int(g.choice([0, 50, 2000]))
+        a, b = (g.integers(0, n, n), *g.integers(-size, size, (2, n))), (g.permutation(k), *g.integers(-size, size, (2, k)))
+        left, right, want = set(), set(), []
+        for d, x, y in sorted((int((ax - bx) ** 2 + (ay - by) ** 2), int(i), int(j)) for i, ax, ay in zip(*a, strict=True) for j, bx, by in zip(*b, strict=True)):
+            if d <= most and x not in left and y not in right:
+                left.add(x)
+                right.add(y)
+                want.append((x, y, d))
+        assert sorted(zip(*map(list, matching._greedy_near(*a, *b, most)), strict=True)) == sorted(want)
+    assert "Join" not in joi_one_to_one(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
