@@ -3,8 +3,8 @@
 Rows wait in a key's state until the watermark has passed them, so they are folded in the
 order of their time (then of their other columns) over all batches; rows later than the
 watermark allows are dropped, as everywhere in Spark (a delay above zero lets rows of one time come in
-several batches).  Each key has one timer, at the next
-moment at which a waiting row ripens or what is open ends; when it fires, the fold and
+several batches).  Keys share buckets of state, and a bucket has one timer, at the next
+moment at which a waiting row of a key ripens or what is open ends; when it fires, the fold and
 `ended` are asked, and a key with nothing left has no state.  So runs and clusters close without an
 end marker as soon as any key's events move the watermark on, and dead keys cost nothing.
 
@@ -13,6 +13,7 @@ State is kept by the RocksDB store, which this kind of operator needs (`started`
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,23 +48,30 @@ class Fold:
 
 
 class Ordered(StatefulProcessor):
-    """Feeds a fold with each key's rows in order of (time, other columns)."""
+    """Feeds a fold with each key's rows in order of (time, other columns).
 
-    def __init__(self, key: str, columns: list[str], waiting: T.StructType, opened: T.StructType, fold: Fold, out: list[str]) -> None:
-        self.key, self.columns, self.schemas, self.fold, self.names = key, columns, (waiting, opened), fold, out
+    A group of state is a bucket of keys: its keys' waiting rows and open things are read and written as one value, so a
+    key costs no calls to the state store of its own.
+    """
+
+    def __init__(self, key: str, columns: list[str], fold: Fold, out: list[str]) -> None:
+        self.key, self.columns, self.fold, self.names = key, columns, fold, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schemas[0])
-        self.opened = handle.getListState("opened", self.schemas[1])
+        self.kept = handle.getValueState("kept", T.StructType().add("keys", "binary"))
         self.timer = handle.getValueState("timer", T.StructType().add("at", "long"))
 
-    def _frame(self, key: tuple, rows: Rows) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=self.names)
+    def _keys(self) -> dict[object, tuple[Rows, Rows]]:
+        return pickle.loads(self.kept.get()[0]) if self.kept.exists() else {}
 
-    def _rearm(self, waiting: Rows, opened: Rows) -> None:
-        due = [t for t in (min((r[0] for r in waiting), default=None), self.fold.due(opened)) if t is not None]
-        had = self.timer.get()[0] if self.timer.exists() else None
+    def _store(self, keys: dict[object, tuple[Rows, Rows]], had: int | None) -> None:
+        """Keeps the keys and moves the timer to the next moment at which any of them has something to do."""
+        if keys:
+            self.kept.update((pickle.dumps(keys, pickle.HIGHEST_PROTOCOL),))
+        elif self.kept.exists():
+            self.kept.clear()
+        due = [t for waiting, opened in keys.values() for t in (min((r[0] for r in waiting), default=None), self.fold.due(opened)) if t is not None]
         now = min(due) if due else None
         if had == now:
             return
@@ -75,37 +83,42 @@ class Ordered(StatefulProcessor):
             self.handle.registerTimer(now)
             self.timer.update((now,))
 
-    def _store(self, state, rows: Rows) -> None:  # noqa: ANN001
-        if rows:
-            state.put(rows)
-        elif state.exists():
-            state.clear()
+    def _frame(self, rows: Rows) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.names)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        parts = ((p["timed_live"].tolist(), p["timed_ms"].tolist(), p["timed_row"].tolist()) for p in rows)
-        new = [(at, *(row[c] for c in self.columns)) for part in parts for live, at, row in zip(*part, strict=True) if live]
+        new: dict[object, Rows] = {}
+        for p in rows:
+            for k, live, at, row in zip(p[self.key].tolist(), p["timed_live"].tolist(), p["timed_ms"].tolist(), p["timed_row"].tolist(), strict=True):
+                if live:
+                    new.setdefault(k, []).append((at, *(row[c] for c in self.columns)))
         if new:
-            waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-            self._store(self.waiting, waiting + new)
-            self._rearm(waiting + new, [tuple(r) for r in self.opened.get()] if self.opened.exists() else [])
-        yield self._frame(key, [])
+            keys = self._keys()
+            for k, some in new.items():
+                waiting, opened = keys.get(k, ([], []))
+                keys[k] = (waiting + some, opened)
+            self._store(keys, self.timer.get()[0] if self.timer.exists() else None)
+        yield self._frame([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        now = timerValues.getCurrentWatermarkInMs()
+        now, out, left = timerValues.getCurrentWatermarkInMs(), [], {}
         # A fired timer is gone; what is registered from here on is another.
         self.timer.clear()
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        opened = [tuple(r) for r in self.opened.get()] if self.opened.exists() else []
-        ripe, out = sorted((r for r in waiting if r[0] <= now), key=lambda r: [(v is not None, v if v is not None else 0) for v in r]), []
-        for r in ripe:
-            opened, made = self.fold.row(opened, r[0], r[1:])
-            out += made
-        opened, made = self.fold.ended(opened, now)
-        waiting = [r for r in waiting if r[0] > now]
-        self._store(self.waiting, waiting)
-        self._store(self.opened, opened)
-        self._rearm(waiting, opened)
-        yield self._frame(key, out + made)
+        for k, (waiting, opened) in self._keys().items():
+            for r in sorted((r for r in waiting if r[0] <= now), key=lambda r: [(v is not None, v if v is not None else 0) for v in r]):
+                opened, made = self.fold.row(opened, r[0], r[1:])
+                out += [(k, *m) for m in made]
+            opened, made = self.fold.ended(opened, now)
+            out += [(k, *m) for m in made]
+            waiting = [r for r in waiting if r[0] > now]
+            if waiting or opened:
+                left[k] = (waiting, opened)
+        self._store(left, None)
+        yield self._frame(out)
+
+
+# Fixed value: buckets of keys. A stream that has state must keep it.
+BUCKETS = 1024
 
 
 def folded(stream: DataFrame, key: str, at: Column, columns: list[str], fold: Fold, delay: str) -> DataFrame:
@@ -116,11 +129,10 @@ def folded(stream: DataFrame, key: str, at: Column, columns: list[str], fold: Fo
     # One column of structs: with a null in it, a plain column of longs would reach Python as doubles.
     live, row = F.col(key).isNotNull(), F.struct(*columns)
     any_key = F.coalesce(key, F.lit("" if dict(stream.dtypes)[key] == "string" else 0).cast(dict(stream.dtypes)[key]))
-    rows = stream.select(any_key.alias(key), at.alias("timed_at"), F.unix_millis(at).alias("timed_ms"), live.alias("timed_live"), row.alias("timed_row")).withWatermark("timed_at", delay)
-    waiting = T.StructType([T.StructField("timed_ms", T.LongType()), *[T.StructField(c, stream.schema[c].dataType) for c in columns]])
+    bucket = F.pmod(F.xxhash64(any_key), F.lit(BUCKETS))
+    rows = stream.select(bucket.alias("timed_bucket"), any_key.alias(key), at.alias("timed_at"), F.unix_millis(at).alias("timed_ms"), live.alias("timed_live"), row.alias("timed_row")).withWatermark("timed_at", delay)
     out = T.StructType([rows.schema[key], *T.StructType.fromDDL(fold.out)])
-    processor = Ordered(key, columns, waiting, T.StructType.fromDDL(fold.state), fold, out.names)
-    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    return rows.groupBy("timed_bucket").transformWithStateInPandas(Ordered(key, columns, fold, out.names), out, "Append", "EventTime")
 
 
 def started(out: DataFrame, path: str, checkpoint: str):  # noqa: ANN201

@@ -88,3 +88,12 @@ def test_jobs_step_once_for_each_stage(spark, tmp_path):
     stream = batches(spark, tmp_path, parts, schema).withColumn("at", F.col("at").cast("timestamp"))
     got, _ = result(spark, tmp_path, timed.job_states(stream, "job", "at", "event", "stage", "error", patience=60_000, delay="30 seconds"))
     assert sorted((r.job, r.status, r.current_stage, r.error_message) for r in got) == [(1, "completed", "finalize", None), (2, "failed", "classify", "broken"), (3, "queued", "classify", None), (4, "queued", "detect", None)]
+
+
+def test_keys_share_buckets_of_state(spark, tmp_path, monkeypatch):
+    """Two thousand keys of one report each are at most a few rows of state: a key costs no state calls of its own."""
+    monkeypatch.setattr(timed, "BUCKETS", 8)
+    rows = [(k, 1 + k % 7, k % 100) for k in range(2000)]
+    got, progress = result(spark, tmp_path, timed.runs(batches(spark, tmp_path, [rows, [(None, 10_000, 0)]], "job long, frame long, score long"), "job", "frame", "score", gap=4))
+    assert sorted(map(tuple, got)) == plain_runs(rows, 4)
+    assert max(p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators) <= 8 * 4
