@@ -11,6 +11,7 @@ from tagmill.functions.geometry import Box
 from tagmill.operators import contract, suppression
 from tagmill.plans.proxies import DET, FIELDS, GT, ID, OCR, VIDEO, det, gt, ocr, read, video
 from tagmill.plans.registry import query
+from tagmill.sources.scratch import dealt
 
 RANKED = "o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, line, part, supp) AS rn FROM {src})"
 OVER = "greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
@@ -265,7 +266,8 @@ def flagship_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = video(suppression.nms(rules(det(spark, sf_dir)), ["image_id"], order(), FIELDS))
     best = suppression.precluster(kept, ["video"], "frame", [F.col("frame"), *order()], ["frame", *FIELDS], "conf", gap=4)
-    labels = ocr(spark, sf_dir, "p_type").select("part", prices.parse_text(F.col("text")).alias("p")).select("part", "p.*")
+    # A label takes long to parse, so the few bytes of labels go over many tasks.
+    labels = dealt(ocr(spark, sf_dir, "p_type"), "part").select("part", prices.parse_text(F.col("text")).alias("p")).select("part", "p.*")
     code = ean(F.col("part"))
     parsed = best.join(labels, "part").select(
         "video", "frame", "line", "part", "supp", "conf", "x1", "y1", "x2", "y2", (-F.col("conf")).alias("down"), "product_name", "price_default", "price_card", "discount_amount",
